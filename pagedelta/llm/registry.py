@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import decontaminate, quality_ranker, quality_rules, toxicity
 
 QUERIES = {
+    "op1_quality_ranker": quality_ranker.op1_quality_ranker,
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op9_quality_rules": quality_rules.op9_quality_rules,
 }
 ORACLES = {
+    "op5_decontaminate": decontaminate.OP5_SQL,
     "op9_quality_rules": quality_rules.OP9_SQL,
 }
