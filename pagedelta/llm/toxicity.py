@@ -29,7 +29,7 @@ SAMPLE = 10_000
 SLOTS = 1 << 18
 PREFIX = 4
 FACTORS = 4
-MIN_CHI2 = 25.0
+MIN_CHI2 = 30.0
 THRESHOLD = 0.5
 
 
@@ -71,7 +71,7 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.raw(flat, row, len(lists)), -30, 30)))
 
 
-def fit_machine(lists: pd.Series, y: np.ndarray, rounds: int = 400, rate: float = 0.05, ridge: float = 2e-4) -> Machine:
+def fit_machine(lists: pd.Series, y: np.ndarray, rounds: int = 600, rate: float = 0.05, ridge: float = 1e-5) -> Machine:
     """Full-batch Adam on the logistic loss."""
     n = len(y)
     flat, row = _flat(lists)
@@ -82,7 +82,7 @@ def fit_machine(lists: pd.Series, y: np.ndarray, rounds: int = 400, rate: float
     gap = with_ / n1 - (all_ - with_) / (n - n1)
     share = np.clip(all_ / n, 1e-12, 1 - 1e-12)
     chi2 = gap**2 / (share * (1 - share) * (1 / n1 + 1 / (n - n1)))
-    slots = np.flatnonzero((chi2 >= MIN_CHI2) & (all_ >= 5))
+    slots = np.flatnonzero((chi2 >= MIN_CHI2) & (all_ >= 4))
     at = np.full(SLOTS, -1, np.int64)
     at[slots] = np.arange(len(slots))
     term = at[flat]
