@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality_ranker, quality_rules, toxicity
+from . import decontaminate, pii, quality_ranker, quality_rules, toxicity
 
 QUERIES = {
     "op1_quality_ranker": quality_ranker.op1_quality_ranker,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op7_pii": pii.op7_pii,
     "op9_quality_rules": quality_rules.op9_quality_rules,
 }
 ORACLES = {

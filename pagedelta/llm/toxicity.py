@@ -71,7 +71,7 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.raw(flat, row, len(lists)), -30, 30)))
 
 
-def fit_machine(lists: pd.Series, y: np.ndarray, rounds: int = 600, rate: float = 0.05, ridge: float = 1e-5) -> Machine:
+def fit_machine(lists: pd.Series, y: np.ndarray, rounds: int = 600, rate: float = 0.05, ridge: float = 4e-5) -> Machine:
     """Full-batch Adam on the logistic loss."""
     n = len(y)
     flat, row = _flat(lists)
