@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, pii, quality_ranker, quality_rules, toxicity
+from . import decontaminate, packing, pii, quality_ranker, quality_rules, simhash, toxicity
 
 QUERIES = {
     "op1_quality_ranker": quality_ranker.op1_quality_ranker,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_packing": packing.op6_packing,
     "op7_pii": pii.op7_pii,
+    "op8_simhash": simhash.op8_simhash,
     "op9_quality_rules": quality_rules.op9_quality_rules,
 }
 ORACLES = {
