@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, pii, quality_ranker, quality_rules, simhash, toxicity
+from . import decontaminate, packing, pii, quality_ranker, quality_rules, simhash, toxicity, warc
 
 QUERIES = {
     "op1_quality_ranker": quality_ranker.op1_quality_ranker,
+    "op3_warc": warc.op3_warc,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_packing": packing.op6_packing,
@@ -14,6 +15,7 @@ QUERIES = {
     "op9_quality_rules": quality_rules.op9_quality_rules,
 }
 ORACLES = {
+    "op3_warc": warc.OP3_SQL,
     "op5_decontaminate": decontaminate.OP5_SQL,
     "op9_quality_rules": quality_rules.OP9_SQL,
 }
