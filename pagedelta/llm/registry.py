@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, pii, quality_ranker, quality_rules, simhash, toxicity, warc
+from . import decontaminate, packing, pii, quality_ranker, quality_rules, simhash, toxicity, warc, wrapper
 
 QUERIES = {
     "op1_quality_ranker": quality_ranker.op1_quality_ranker,
+    "op2_main_text": wrapper.op2_main_text,
     "op3_warc": warc.op3_warc,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_decontaminate": decontaminate.op5_decontaminate,
