@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, pii, quality_ranker, quality_rules, simhash, toxicity, warc, wrapper
+from . import decontaminate, packing, pii, quality_ranker, quality_rules, simhash, suffix_dedup, toxicity, warc, wrapper
 
 QUERIES = {
     "op1_quality_ranker": quality_ranker.op1_quality_ranker,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_pii": pii.op7_pii,
     "op8_simhash": simhash.op8_simhash,
     "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 ORACLES = {
     "op3_warc": warc.OP3_SQL,
