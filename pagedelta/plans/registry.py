@@ -3,12 +3,450 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import page as P
+from ..functions import text as T
+from ..functions.textdiff import diff_summary
+from ..operators import changes as C
+from ..operators.discovery import merge_urls, prioritize
+from ..sources.store import retained
+from ..streaming.replay import count_windows
+from . import fixtures as X
+from . import report as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+RUN_TS = datetime(2024, 1, 31, 6, 30)
+STAMP = "2024-01-31T06:30:00+00:00"
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with the DuckDB SQL that it equals."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _pages(spark, sf_dir):
+    b = X.base(spark, sf_dir)
+    return X.previous(b), X.current(b)
+
+
+def _detected(spark, sf_dir, first_run=False):
+    prev, curr = _pages(spark, sf_dir)
+    return C.detect_changes(
+        X.as_state(prev), X.as_urls(curr), X.as_extracts(curr), X.as_feeds(curr), X.as_statuses(prev), X.site_names(X.base(spark, sf_dir)), RUN_TS, first_run
+    )
+
+
+# ------------------------------------------------------------------ scalar functions and extraction
+
+_TEXT = f"WITH {X.BASE_SQL} "
+
+
+@query(_TEXT + "SELECT page_id, sha256(main_text) AS content_hash, CAST(CASE WHEN main_text = '' THEN 0 ELSE len(string_split(main_text, ' ')) END AS INTEGER) AS word_count, substring(main_text, 1, 2000) AS content_snippet FROM base")
+def page_text_hash(spark, sf_dir):
+    text = F.col("main_text")
+    return X.base(spark, sf_dir).select("page_id", T.content_hash(text).alias("content_hash"), T.word_count(text).alias("word_count"), T.snippet(text).alias("content_snippet"))
+
+
+@query(_TEXT + "SELECT page_id, title, h1 FROM base")
+def page_title_h1(spark, sf_dir):
+    return X.base(spark, sf_dir).select("page_id", "title", "h1")
+
+
+@query()
+def page_extracts(spark, sf_dir):
+    got = P.extract(X.table(spark, sf_dir, "pages").withColumn("domain", F.regexp_extract("url", X.DOMAIN, 1)))
+    return got.select("url", "content_hash", "title", "meta_description", F.array_join("h1_tags", "|").alias("h1_tags"), "word_count", "canonical", F.array_join("schemas", "|").alias("schemas"), "noindex")
+
+
+@query("""
+WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS p FROM documents),
+w AS (SELECT doc_id, p, list_filter(string_split_regex(p, '\\s+'), lambda x: x <> '') AS ws FROM s),
+c AS (SELECT doc_id, CASE WHEN length(p) > 200 THEN list_transform(range(0, greatest(len(ws), 1), 15), lambda i: array_to_string(ws[i + 1:i + 15], ' '))
+  ELSE [regexp_replace(p, '^\\s+|\\s+$', '', 'g')] END AS parts FROM w),
+e AS (SELECT doc_id, unnest(parts) AS sentence FROM c)
+SELECT doc_id, sentence, count(*) AS n FROM e WHERE sentence <> '' GROUP BY ALL""")
+def doc_sentences(spark, sf_dir):
+    rows = X.table(spark, sf_dir, "documents").select("doc_id", F.explode(T.sentences(F.col("text"))).alias("sentence"))
+    return rows.groupBy("doc_id", "sentence").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS netloc FROM pages")
+def url_parts(spark, sf_dir):
+    u = F.col("url")
+    return X.table(spark, sf_dir, "pages").select("page_id", T.scheme(u).alias("scheme"), T.netloc(u).alias("netloc"))
+
+
+@query("""
+SELECT page_id, rtrim(lower(url), '/') AS match_key, rtrim(lower(url), '/') = rtrim(lower(url || '/'), '/')  AS slash_is_trivial,
+  replace(rtrim(lower(url), '/'), '://www.', '://') = replace(rtrim(lower(replace(url, '://', '://www.')), '/'), '://www.', '://') AS www_is_trivial,
+  rtrim(lower(url), '/') = rtrim(lower(url || 'x'), '/') AS path_is_trivial FROM pages""")
+def url_norm_key(spark, sf_dir):
+    u = F.col("url")
+    trivial = lambda v: T.is_trivial_redirect(u, v)
+    return X.table(spark, sf_dir, "pages").select(
+        "page_id", T.match_key(u).alias("match_key"), trivial(F.concat(u, F.lit("/"))).alias("slash_is_trivial"),
+        trivial(F.replace(u, F.lit("://"), F.lit("://www."))).alias("www_is_trivial"), trivial(F.concat(u, F.lit("x"))).alias("path_is_trivial"),
+    )
+
+
+_ID = "'chg_' || substring(md5('{stamp}:' || domain || ':' || url || '{tail}'), 1, 12)"
+
+
+@query(_TEXT + "SELECT page_id, " + ", ".join(f"{_ID.format(stamp=STAMP, tail=t and ':' + t)} AS id_{t or 'plain'}" for t in ("", "title", "meta", "h1", "schema")) + " FROM base")
+def change_ids(spark, sf_dir):
+    d, u, ts = F.col("domain"), F.col("url"), T.iso_utc(F.lit(RUN_TS).cast("timestamp"))
+    kinds = ("", "title", "meta", "h1", "schema")
+    return X.base(spark, sf_dir).select("page_id", *(T.change_id(ts, d, u, k).alias(f"id_{k or 'plain'}") for k in kinds))
+
+
+# ------------------------------------------------------------------ snapshots
+
+_STATUS = """
+status AS (SELECT coalesce(p.domain, c.domain) AS domain, coalesce(p.url, c.url) AS url,
+  CASE WHEN p.url IS NULL THEN 'new' WHEN c.url IS NULL THEN 'missing' ELSE 'existing' END AS status
+  FROM prev p FULL OUTER JOIN curr c ON p.domain = c.domain AND p.url = c.url)
+"""
+
+
+@query(_TEXT + f", {_STATUS} SELECT * FROM status")
+def snapshot_status(spark, sf_dir):
+    return C.page_status(*_pages(spark, sf_dir))
+
+
+def _status_query(kind: str):
+    def run(spark, sf_dir):
+        return C.page_status(*_pages(spark, sf_dir)).filter(F.col("status") == kind).select("domain", "url")
+
+    QUERIES[f"{kind}_pages"] = run
+    ORACLES[f"{kind}_pages"] = _TEXT + f", {_STATUS} SELECT domain, url FROM status WHERE status = '{kind}'"
+
+
+for _kind in ("new", "existing", "missing"):
+    _status_query(_kind)
+
+
+@query(_TEXT + f""", {_STATUS}
+SELECT domain, CAST(count_if(status <> 'new') AS BIGINT) AS known, CAST(count_if(status = 'missing') AS BIGINT) AS missing,
+  count_if(status <> 'new') > 0 AND 2 * count_if(status = 'missing') > count_if(status <> 'new') AS crawl_failed
+FROM (SELECT s.* FROM status s UNION ALL SELECT 'gone.test', 'u' || page_id, CASE WHEN page_id % 3 = 0 THEN 'existing' ELSE 'missing' END FROM base) GROUP BY domain""")
+def mass_missing_guard(spark, sf_dir):
+    gone = X.base(spark, sf_dir).select(
+        F.lit("gone.test").alias("domain"), F.concat(F.lit("u"), F.col("page_id").cast("string")).alias("url"), F.when(F.col("page_id") % 3 == 0, "existing").otherwise("missing").alias("status")
+    )
+    return C.failed_crawls(C.page_status(*_pages(spark, sf_dir)).unionByName(gone))
+
+
+@query(_TEXT + """,
+gone AS (SELECT p.domain, p.url FROM prev p ANTI JOIN curr c ON p.domain = c.domain AND p.url = c.url),
+fresh AS (SELECT c.domain, c.url FROM curr c ANTI JOIN prev p ON p.domain = c.domain AND p.url = c.url)
+SELECT g.domain, g.url AS old_url, f.url AS new_url FROM gone g JOIN fresh f ON g.domain = f.domain AND rtrim(lower(g.url), '/') = rtrim(lower(f.url), '/')
+WHERE rtrim(g.url, '/') <> rtrim(f.url, '/')""")
+def url_case_changes(spark, sf_dir):
+    return C.case_changes(*_pages(spark, sf_dir))
+
+
+_BOTH = """
+old AS (SELECT domain, url, page_id, title, h1, main_text, sha256(main_text) AS content_hash, CAST(CASE WHEN main_text = '' THEN 0 ELSE len(string_split(main_text, ' ')) END AS INTEGER) AS word_count,
+  substring(main_text, 1, 2000) AS snippet, consecutive_missing, CASE WHEN page_id % 3 = 1 THEN 'Article,FAQPage' ELSE 'Article' END AS schemas FROM prev),
+now_ AS (SELECT domain, url, page_id, title, h1, main_text, sha256(main_text) AS content_hash, CAST(CASE WHEN main_text = '' THEN 0 ELSE len(string_split(main_text, ' ')) END AS INTEGER) AS word_count,
+  substring(main_text, 1, 2000) AS snippet, CASE WHEN page_id % 10 = 7 THEN 'Article,Product' WHEN page_id % 3 = 1 THEN 'Article,FAQPage' ELSE 'Article' END AS schemas FROM curr),
+both_ AS (SELECT o.domain, o.url, o.title AS old_title, n.title AS new_title, o.h1 AS old_h1, n.h1 AS new_h1, o.content_hash AS old_hash, n.content_hash AS new_hash,
+  o.word_count AS old_words, n.word_count AS new_words, o.snippet AS old_snippet, n.snippet AS new_snippet, o.schemas AS old_schemas, n.schemas AS new_schemas
+  FROM old o JOIN now_ n ON o.domain = n.domain AND o.url = n.url)
+"""
+
+
+def _events(spark, sf_dir, kind):
+    return _detected(spark, sf_dir)[0].filter(F.col("change_type") == kind)
+
+
+def _ids(tail=""):
+    return _ID.format(stamp=STAMP, tail=tail)
+
+
+@query(_TEXT + f", {_BOTH} SELECT {_ids(':title')} AS id, domain, url, new_title AS title, old_title, new_title FROM both_ WHERE old_title <> '' AND new_title <> '' AND old_title <> new_title")
+def title_changes(spark, sf_dir):
+    return _events(spark, sf_dir, "title_change").select("id", "domain", "url", "title", "details.old_title", "details.new_title")
+
+
+@query(_TEXT + f", {_BOTH} SELECT {_ids(':h1')} AS id, domain, url, old_h1, new_h1 FROM both_ WHERE old_h1 <> '' AND new_h1 <> '' AND old_h1 <> new_h1")
+def h1_changes(spark, sf_dir):
+    return _events(spark, sf_dir, "h1_change").select("id", "domain", "url", "details.old_h1", "details.new_h1")
+
+
+@query(_TEXT + f""", {_BOTH} SELECT {_ids(':schema')} AS id, domain, url,
+  array_to_string(list_sort(list_filter(string_split(new_schemas, ','), lambda x: NOT list_contains(string_split(old_schemas, ','), x))), ',') AS added,
+  array_to_string(list_sort(list_filter(string_split(old_schemas, ','), lambda x: NOT list_contains(string_split(new_schemas, ','), x))), ',') AS removed
+FROM both_ WHERE old_schemas <> new_schemas""")
+def schema_set_changes(spark, sf_dir):
+    got = _events(spark, sf_dir, "schema_change")
+    return got.select("id", "domain", "url", F.array_join("details.added_schemas", ",").alias("added"), F.array_join("details.removed_schemas", ",").alias("removed"))
+
+
+# In these fixtures a text that differs within the snippet differs in a sentence of more than ten characters.
+_UPDATED = "old_hash <> new_hash AND (old_snippet <> new_snippet OR abs(new_words - old_words) > 20)"
+
+
+@query(_TEXT + f""", {_BOTH} SELECT {_ids()} AS id, domain, url, substring(old_hash, 1, 12) AS old_hash, substring(new_hash, 1, 12) AS new_hash,
+  new_words - old_words AS word_count_change, old_words AS old_word_count, new_words AS new_word_count FROM both_ WHERE {_UPDATED}""")
+def content_updates(spark, sf_dir):
+    got = _events(spark, sf_dir, "content_update")
+    return got.select("id", "domain", "url", *(F.col(f"details.{c}") for c in ("old_hash", "new_hash", "word_count_change", "old_word_count", "new_word_count")))
+
+
+@query(_TEXT + f", {_BOTH} SELECT domain, url FROM both_ WHERE old_hash <> new_hash AND NOT ({_UPDATED})")
+def minor_suppressed(spark, sf_dir):
+    prev, curr = _pages(spark, sf_dir)
+    a, b = X.as_state(prev), X.as_extracts(curr)
+    changed = a.alias("a").join(b.alias("b"), ["domain", "url"]).filter("a.content_hash <> b.content_hash").select("domain", "url")
+    return changed.join(_events(spark, sf_dir, "content_update"), ["domain", "url"], "left_anti")
+
+
+@query()
+def content_diff_summary(spark, sf_dir):
+    got = _events(spark, sf_dir, "content_update")
+    return got.select("id", "url", "details.diff_summary", F.array_join("details.added", " | ").alias("added"), F.array_join("details.removed", " | ").alias("removed"))
+
+
+@query(_TEXT + f""", {_BOTH}, fresh AS (SELECT n.* FROM now_ n ANTI JOIN old o ON o.domain = n.domain AND o.url = n.url)
+SELECT {_ids()} AS id, domain, url, title, CASE WHEN page_id % 20 = 0 THEN 'sitemap+rss' ELSE 'sitemap' END AS source,
+  CASE WHEN page_id % 20 = 0 THEN 'Tue, 30 Jan 2024' END AS published_date, CASE WHEN page_id % 20 = 0 THEN substring(main_text, 1, 50) ELSE '' END AS summary,
+  nullif(word_count, 0) AS word_count, nullif(h1, '') AS h1, schemas FROM fresh""")
+def new_page_events(spark, sf_dir):
+    got = _events(spark, sf_dir, "new_page")
+    return got.select("id", "domain", "url", "title", *(F.col(f"details.{c}") for c in ("source", "published_date", "summary", "word_count", "h1")), F.array_join("details.schemas", ",").alias("schemas"))
+
+
+_DUE = """
+gone AS (SELECT p.* FROM prev p ANTI JOIN curr c ON p.domain = c.domain AND p.url = c.url),
+share AS (SELECT domain, 2 * (SELECT count(*) FROM gone g WHERE g.domain = p.domain) > count(*) AS failed FROM prev p GROUP BY domain),
+due AS (SELECT g.*, row_number() OVER (PARTITION BY g.domain ORDER BY g.url) AS k FROM gone g JOIN share s ON g.domain = s.domain WHERE NOT s.failed AND g.consecutive_missing + 1 >= 2)
+"""
+
+
+@query(_TEXT + f""", {_DUE} SELECT {_ids()} AS id, domain, url, title,
+  CASE WHEN k <= 50 AND page_id % 40 = 1 AND page_id % 10 = 1 THEN 'redirect' ELSE 'page_removed' END AS change_type, consecutive_missing + 1 AS missing_runs,
+  CASE WHEN k <= 50 AND page_id % 40 = 1 AND page_id % 10 = 1 THEN 301 END AS status_code,
+  CASE WHEN k <= 50 AND page_id % 40 = 1 AND page_id % 10 = 1 THEN url || '/moved' END AS redirect_to FROM due""")
+def redirects_vs_removed(spark, sf_dir):
+    got = _detected(spark, sf_dir)[0].filter(F.col("change_type").isin("redirect", "page_removed"))
+    return got.select("id", "domain", "url", "title", "change_type", "details.missing_runs", "details.redirect.status_code", "details.redirect.redirect_to")
+
+
+@query(_TEXT + f""", {_BOTH}, {_DUE},
+x AS (SELECT coalesce(o.domain, n.domain) AS domain, coalesce(o.url, n.url) AS url, n.url IS NULL AS missing, o.url IS NULL AS fresh, o.consecutive_missing AS was,
+  coalesce(n.content_hash, o.content_hash) AS content_hash, coalesce(nullif(n.title, ''), o.title, '') AS title, coalesce(n.word_count, o.word_count) AS word_count,
+  coalesce(n.schemas, o.schemas) AS schemas, CASE WHEN n.page_id % 4 = 0 THEN '2024-01-30' END AS lastmod
+  FROM old o FULL OUTER JOIN now_ n ON o.domain = n.domain AND o.url = n.url)
+SELECT x.domain, x.url, strftime(CASE WHEN fresh THEN TIMESTAMP '2024-01-31 06:30:00' ELSE TIMESTAMP '2024-01-01' END, '%Y-%m-%d %H:%M:%S') AS first_seen,
+  strftime(CASE WHEN missing THEN TIMESTAMP '2024-01-20' ELSE TIMESTAMP '2024-01-31 06:30:00' END, '%Y-%m-%d %H:%M:%S') AS last_seen,
+  content_hash, title, word_count, schemas, CASE WHEN missing THEN NULL ELSE lastmod END AS lastmod_from_sitemap,
+  CAST(CASE WHEN NOT missing THEN 0 WHEN failed THEN was ELSE was + 1 END AS INTEGER) AS consecutive_missing
+FROM x LEFT JOIN share ON share.domain = x.domain WHERE NOT (missing AND NOT failed AND was + 1 >= 2)""")
+def next_state(spark, sf_dir):
+    got = _detected(spark, sf_dir)[1]
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return got.select("domain", "url", text("first_seen"), text("last_seen"), "content_hash", "title", "word_count", F.array_join("schemas", ",").alias("schemas"), "lastmod_from_sitemap", "consecutive_missing")
+
+
+_COUNTS = f"""
+ev AS (SELECT domain, 'title_change' AS change_type FROM both_ WHERE old_title <> '' AND new_title <> '' AND old_title <> new_title
+  UNION ALL SELECT domain, 'h1_change' FROM both_ WHERE old_h1 <> '' AND new_h1 <> '' AND old_h1 <> new_h1
+  UNION ALL SELECT domain, 'schema_change' FROM both_ WHERE old_schemas <> new_schemas
+  UNION ALL SELECT domain, 'content_update' FROM both_ WHERE {_UPDATED}
+  UNION ALL SELECT n.domain, 'new_page' FROM now_ n ANTI JOIN old o ON o.domain = n.domain AND o.url = n.url
+  UNION ALL SELECT g.domain, 'url_case_change' FROM gone g JOIN (SELECT c.domain, c.url FROM curr c ANTI JOIN prev p ON p.domain = c.domain AND p.url = c.url) f
+    ON g.domain = f.domain AND rtrim(lower(g.url), '/') = rtrim(lower(f.url), '/') WHERE rtrim(g.url, '/') <> rtrim(f.url, '/')
+  UNION ALL SELECT domain, CASE WHEN k <= 50 AND page_id % 40 = 1 AND page_id % 10 = 1 THEN 'redirect' ELSE 'page_removed' END FROM due)
+"""
+
+
+@query(_TEXT + f", {_BOTH}, {_DUE}, {_COUNTS} SELECT domain, change_type, count(*) AS n FROM ev GROUP BY ALL")
+def change_counts(spark, sf_dir):
+    return _detected(spark, sf_dir)[0].groupBy("domain", "change_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_TEXT + "SELECT upper(domain) AS name, domain, CAST(0 AS BIGINT) AS n_changes FROM base GROUP BY domain")
+def first_run_is_silent(spark, sf_dir):
+    from ..operators.run import run_summary
+
+    return run_summary(_detected(spark, sf_dir, True)[0], X.site_names(X.base(spark, sf_dir))).withColumn("n_changes", F.col("n_changes").cast("bigint"))
+
+
+_URLS = """
+u AS (SELECT domain, url, CASE WHEN page_id % 4 = 0 THEN '2024-01-30' END AS lastmod, 'sitemap' AS source, page_id AS ordinal FROM curr WHERE page_id % 10 <> 0),
+f AS (SELECT domain, url, title, 'Tue, 30 Jan 2024' AS published FROM curr WHERE page_id % 20 = 0),
+m AS (SELECT domain, url, lastmod, '' AS title, source, ordinal FROM u UNION ALL
+  SELECT domain, url, published, title, 'feed', 1099511627776 + row_number() OVER (PARTITION BY domain ORDER BY url) FROM f ANTI JOIN u USING (domain, url))
+"""
+
+
+def _merged(spark, sf_dir):
+    _, curr = _pages(spark, sf_dir)
+    return merge_urls(X.as_urls(curr).filter("ordinal % 10 <> 0"), X.as_feeds(curr))
+
+
+@query(_TEXT + f", {_URLS} SELECT * FROM m")
+def merged_urls(spark, sf_dir):
+    return _merged(spark, sf_dir)
+
+
+@query(_TEXT + f""", {_URLS},
+t AS (SELECT m.domain, m.url, CASE WHEN p.url IS NULL THEN 1 WHEN f.url IS NOT NULL THEN 2 WHEN coalesce(m.lastmod, '') <> '' THEN 3 ELSE 4 END AS tier, m.ordinal
+  FROM m LEFT JOIN prev p ON p.domain = m.domain AND p.url = m.url LEFT JOIN f ON f.domain = m.domain AND f.url = m.url),
+k AS (SELECT domain, url, tier, row_number() OVER (PARTITION BY domain ORDER BY tier, CASE WHEN tier < 4 THEN lpad(CAST(ordinal AS VARCHAR), 20, '0') ELSE md5('7:' || url) END, url) AS place FROM t)
+SELECT domain, url, CAST(tier AS INTEGER) AS tier, CAST(place AS INTEGER) AS place FROM k WHERE place <= 50""")
+def prioritized_urls(spark, sf_dir):
+    prev, curr = _pages(spark, sf_dir)
+    return prioritize(_merged(spark, sf_dir), prev, X.as_feeds(curr), 50, 7)
+
+
+# ------------------------------------------------------------------ the log
+
+_LOG = f"WITH {X.LOG_SQL} "
+_COLS = "seq, ts, domain, url, change_type"
+_TS = "strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts"
+
+
+def _shown(log: DataFrame) -> DataFrame:
+    return log.select("seq", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "domain", "url", "change_type")
+
+
+_SHOWN = f"seq, {_TS}, domain, url, change_type"
+
+
+@query(_LOG + f"SELECT {_SHOWN} FROM log WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 30 DAY")
+def log_filter_30d(spark, sf_dir):
+    return _shown(R.since(X.log(spark, sf_dir), X.AS_OF, 30))
+
+
+@query(_LOG + f"SELECT {_SHOWN} FROM log WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-13'")
+def log_filter_custom(spark, sf_dir):
+    return _shown(R.between(X.log(spark, sf_dir), date(2024, 1, 5), date(2024, 1, 12)))
+
+
+@query(_LOG + f"SELECT {_SHOWN} FROM log WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 14 DAY AND domain = 'site2' AND change_type = 'redirect'")
+def log_filter_type_domain(spark, sf_dir):
+    return _shown(R.matching(R.since(X.log(spark, sf_dir), X.AS_OF, 14), "site2", "redirect"))
+
+
+def _n(kind: str) -> str:
+    return f"CAST(count(*) FILTER (WHERE change_type = '{kind}') AS BIGINT)"
+
+
+@query(_LOG + f"SELECT (SELECT count(*) FROM sites) AS n_sites, (SELECT CAST(sum(total_pages) AS BIGINT) FROM sites) AS total_pages, {_n('new_page')} AS n_new, {_n('content_update')} AS n_updates, count(*) AS n_total FROM log")
+def global_stats(spark, sf_dir):
+    return R.global_stats(X.log(spark, sf_dir), X.sites(spark))
+
+
+@query(_LOG + f"""SELECT s.domain, name, CAST(total_pages AS BIGINT) AS total_pages, {_n('new_page')} AS n_new, {_n('content_update')} AS n_updates, count(l.seq) AS n_total,
+  CAST(100.0 AS DOUBLE) * total_pages / (SELECT max(total_pages) FROM sites) AS bar_pct FROM sites s LEFT JOIN log l ON s.domain = l.domain GROUP BY ALL""")
+def site_cards(spark, sf_dir):
+    return R.site_cards(X.log(spark, sf_dir), X.sites(spark))
+
+
+@query(_LOG + f"SELECT count(*) AS n_total, {_n('new_page')} AS n_new, {_n('content_update')} AS n_updates, {_n('redirect')} AS n_redirects, {_n('page_removed')} AS n_removed FROM log")
+def activity_stats(spark, sf_dir):
+    return R.activity_stats(X.log(spark, sf_dir))
+
+
+@query(_LOG + """, n AS (SELECT change_type, count(*) AS n, min(seq) AS first_seq FROM log GROUP BY 1)
+SELECT change_type, n, first_seq, CAST(100.0 AS DOUBLE) * n / (SELECT max(n) FROM n) AS pct_of_max, CAST(100.0 AS DOUBLE) * n / (SELECT sum(n) FROM n) AS pct_of_total FROM n""")
+def type_breakdown(spark, sf_dir):
+    return R.type_breakdown(X.log(spark, sf_dir))
+
+
+_WEEK = "CAST(ts AS DATE) - CAST(dayofweek(ts) AS INTEGER)"
+
+
+@query(_LOG + f""", w AS (SELECT {_WEEK} AS week, {_n('new_page')} AS n_new, {_n('content_update')} AS n_updates, count(*) AS n_total FROM log GROUP BY 1)
+SELECT week, n_new, n_updates, n_total, n_total - n_new - n_updates AS n_other FROM w ORDER BY week DESC LIMIT 12""")
+def weekly_trend(spark, sf_dir):
+    return R.weekly_trend(X.log(spark, sf_dir))
+
+
+@query(_LOG + """, n AS (SELECT domain, count(*) AS n FROM log WHERE change_type = 'content_update' GROUP BY 1)
+SELECT s.domain, name, coalesce(n, 0) AS n, CAST(100.0 AS DOUBLE) * coalesce(n, 0) / (SELECT max(n) FROM n) AS pct_of_max FROM sites s LEFT JOIN n ON s.domain = n.domain""")
+def site_chart(spark, sf_dir):
+    return R.site_chart(X.log(spark, sf_dir), X.sites(spark), "content_update")
+
+
+@query(_LOG + f""", w AS (SELECT domain, {_WEEK} AS week, count(*) AS n FROM log GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY week DESC) AS k FROM w)
+SELECT domain, count(*) AS n_weeks, string_agg(CAST(n AS VARCHAR), ' → ' ORDER BY week) AS line FROM k WHERE k <= 4 GROUP BY domain HAVING count(*) > 1""")
+def week_sparkline(spark, sf_dir):
+    return R.sparklines(X.log(spark, sf_dir))
+
+
+@query(_LOG + f""", w AS (SELECT domain, {_WEEK} AS week, count(*) AS n FROM log GROUP BY 1, 2), l AS (SELECT DISTINCT week FROM w ORDER BY week DESC LIMIT 6),
+d AS (SELECT DISTINCT domain FROM log)
+SELECT d.domain, l.week, coalesce(w.n, 0) AS n FROM d CROSS JOIN l LEFT JOIN w ON w.domain = d.domain AND w.week = l.week""")
+def week_pivot_long(spark, sf_dir):
+    return R.week_table_long(X.log(spark, sf_dir))
+
+
+@query(_LOG + f""", l AS (SELECT domain, strftime({_WEEK}, '%Y-%m-%d') AS week FROM log)
+SELECT domain, """ + ", ".join(f"CAST(count_if(week = '{w}') AS BIGINT) AS \"{w}\"" for w in ("2023-12-31", "2024-01-07", "2024-01-14", "2024-01-21", "2024-01-28")) + " FROM l GROUP BY domain")
+def week_pivot(spark, sf_dir):
+    return R.week_table(X.log(spark, sf_dir))
+
+
+@query(_LOG + f"SELECT {_SHOWN} FROM (SELECT * FROM log ORDER BY ts DESC, seq LIMIT 10)")
+def log_recent10(spark, sf_dir):
+    return _shown(R.recent(X.log(spark, sf_dir)))
+
+
+@query(_LOG + f"SELECT {_SHOWN} FROM (SELECT * FROM log ORDER BY ts DESC, seq LIMIT 50 OFFSET 50)")
+def log_page2(spark, sf_dir):
+    return _shown(R.page(X.log(spark, sf_dir), 2))
+
+
+@query(_LOG + f"SELECT {_SHOWN} FROM (SELECT * FROM log ORDER BY ts DESC, seq LIMIT 500)")
+def retention_cap(spark, sf_dir):
+    return _shown(retained(X.log(spark, sf_dir), 500, ("ts",), ("seq",)))
+
+
+@query(_TEXT + f""", {_BOTH} SELECT 'chg' AS kind, upper(domain) AS "Competitor", domain AS "Domain", url AS "URL", new_title AS "Title", old_title AS "Old Title", new_title AS "New Title",
+  '' AS "Word Count", '' AS "Schemas", '' AS "Noindex" FROM both_ WHERE old_title <> '' AND new_title <> '' AND old_title <> new_title""")
+def export_changes(spark, sf_dir):
+    got = R.export_changes(_events(spark, sf_dir, "title_change"))
+    return got.select(F.lit("chg").alias("kind"), "Competitor", "Domain", "URL", "Title", "Old Title", "New Title", "Word Count", "Schemas", "Noindex")
+
+
+@query(_LOG + f"""SELECT s.domain, name AS competitor, CAST(total_pages AS BIGINT) AS total_pages, count(l.seq) AS total_changes, {_n('new_page')} AS new_pages,
+  {_n('content_update')} AS content_updates, {_n('redirect')} AS redirects, {_n('page_removed')} AS removed FROM sites s LEFT JOIN log l ON s.domain = l.domain GROUP BY ALL""")
+def export_summary(spark, sf_dir):
+    return R.export_summary(X.log(spark, sf_dir), X.sites(spark))
+
+
+@query(_LOG + f"SELECT {_WEEK} AS week, change_type, count(*) AS n FROM log GROUP BY 1, 2")
+def weekly_window(spark, sf_dir):
+    return count_windows(X.log(spark, sf_dir)).select(F.to_date("start").alias("week"), "change_type", "n")
+
+
+@query()
+def conversation_diffs(spark, sf_dir):
+    """Each turn of a conversation against the one before it, through the text diff."""
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("conv_id").orderBy("turn")
+    rows = X.table(spark, sf_dir, "conversations").withColumn("before", F.coalesce(F.lag("text").over(w), F.lit("")))
+    d = diff_summary(F.col("before"), F.coalesce("text", F.lit("")))
+    return rows.select("conv_id", "turn", d.alias("d")).select("conv_id", "turn", "d.summary", F.size("d.added").alias("n_added"), F.size("d.removed").alias("n_removed"))
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["change_counts"](spark, sf_dir)
+    return change_counts(spark, sf_dir)
