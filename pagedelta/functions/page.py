@@ -152,14 +152,18 @@ def read_page(html: str | None) -> tuple:
     return (title or "", description or "", h1, "noindex" in (robots or ""), canonical or "", schemas, " ".join(_texts(area, lambda n: n is area or is_content(n))))
 
 
-@F.pandas_udf(SIGNALS)
-def page_signals(html: pd.Series) -> pd.DataFrame:
+def page_signals(html: Column) -> Column:
+    """``read_page`` as a struct column."""
+    return F.pandas_udf(_signals, SIGNALS)(html)
+
+
+def _signals(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([read_page(h) for h in html], columns=["title", "meta_description", "h1_tags", "noindex", "canonical", "schemas", "main_text"])
 
 
 def extract(captures: DataFrame) -> DataFrame:
     """Page extracts of captures (domain, url, html)."""
-    rows = captures.select("domain", "url", page_signals("html").alias("p")).select("domain", "url", "p.*")
+    rows = captures.select("domain", "url", page_signals(F.col("html")).alias("p")).select("domain", "url", "p.*")
     text = T.normalize_text(F.col("main_text"))
     rows = rows.withColumn("main_text", text)
     body = F.col("main_text")

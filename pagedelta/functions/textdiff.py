@@ -6,6 +6,7 @@ import difflib
 import re
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import CHUNK_WORDS, LONG_SENTENCE
@@ -55,7 +56,11 @@ def text_diff(old: str | None, new: str | None) -> tuple[list[str], list[str], s
     return added, removed, ", ".join(said) or "Minor text changes detected"
 
 
-@F.pandas_udf(DIFF)
-def diff_summary(old: pd.Series, new: pd.Series) -> pd.DataFrame:
+def diff_summary(old: Column, new: Column) -> Column:
+    """``text_diff`` as a struct column."""
+    return F.pandas_udf(_diffs, DIFF)(old, new)
+
+
+def _diffs(old: pd.Series, new: pd.Series) -> pd.DataFrame:
     got = [text_diff(a, b) for a, b in zip(old, new, strict=True)]
     return pd.DataFrame(got, columns=["added", "removed", "summary"])

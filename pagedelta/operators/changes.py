@@ -22,13 +22,12 @@ KEY = ("domain", "url")
 MINOR_WORDS = 20
 HASH_SHOWN = 12
 META_SHOWN = 150
-_DETAILS = TY._parse_datatype_string(schemas.DETAILS)
-_FIELDS = {f.name: f.dataType for f in _DETAILS.fields}
 
 
 def details(**given: Column) -> Column:
     """The details struct with the given members; the rest are null."""
-    return F.struct(*(given.get(n, F.lit(None)).cast(t).alias(n) for n, t in _FIELDS.items()))
+    fields = TY.StructType.fromDDL(schemas.DETAILS.removeprefix("struct<").removesuffix(">"))
+    return F.struct(*(given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields))
 
 
 def text_list(x: Column) -> Column:

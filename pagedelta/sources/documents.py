@@ -39,7 +39,6 @@ def robots_rules(robots: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf("boolean")
 def _allowed(body: pd.Series, url: pd.Series) -> pd.Series:
     parsers: dict[str, RobotFileParser] = {}
     out = []
@@ -60,7 +59,7 @@ def can_fetch(urls: DataFrame, robots: DataFrame, to: str = "allowed") -> DataFr
     rules = robots.select(F.col("netloc").alias("_netloc"), F.col("body").alias("_rules"))
     rules = rules.groupBy("_netloc").agg(F.first("_rules").alias("_rules"))
     got = urls.withColumn("_netloc", netloc(F.col("url"))).join(rules, "_netloc", "left")
-    return got.withColumn(to, _allowed("_rules", "url")).drop("_netloc", "_rules")
+    return got.withColumn(to, F.pandas_udf(_allowed, "boolean")("_rules", "url")).drop("_netloc", "_rules")
 
 
 def effective_delay(default: Column, crawl_delay: Column) -> Column:
@@ -86,7 +85,6 @@ def sitemap_candidates(sites: DataFrame, robots: DataFrame) -> DataFrame:
     return sites.join(named, "domain", "left").select("domain", F.posexplode(every).alias("pos", "url"))
 
 
-@F.pandas_udf("string")
 def _inflated(body: pd.Series) -> pd.Series:
     def one(b: bytes | None) -> str | None:
         if b is None:
@@ -109,7 +107,7 @@ def parse_sitemaps(documents: DataFrame) -> DataFrame:
 
     A document that is not well-formed is salvaged tag by tag.
     """
-    text = documents.select("url", _inflated("body").alias("xml"))
+    text = documents.select("url", F.pandas_udf(_inflated, "string")("body").alias("xml"))
     root = F.lower(F.regexp_extract("xml", r"(?s)^\W*(?:<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>]*>|\s)*<(?:\w+:)?(\w+)", 1))
     parsed = F.from_xml("xml", _SITEMAP, {"ignoreNamespace": "true", "mode": "PERMISSIVE"})
     rows = text.withColumns({"root": root, "doc": parsed})

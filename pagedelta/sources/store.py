@@ -27,7 +27,7 @@ class Store:
 
     def pointer(self) -> dict:
         """{"run": last committed run, "run_ts": its time}; run 0 before the first."""
-        path = f"{self.root}/_current"
+        path = f"{self.root}/current.json"
         fs, at = self._fs(path)
         if not fs.exists(at):
             return {"run": 0, "run_ts": None}
@@ -35,7 +35,7 @@ class Store:
         return json.loads(rows[0][0])
 
     def _turn(self, run: int, run_ts: datetime) -> None:
-        path = f"{self.root}/_current"
+        path = f"{self.root}/current.json"
         fs, at = self._fs(path)
         _, new = self._fs(f"{path}.new")
         out = fs.create(new, True)
