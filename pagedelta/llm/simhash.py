@@ -217,19 +217,9 @@ def links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame
     return units.mapInPandas(search, "a long, b long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(v, root) of every vertex that is not the least of its component. Edges (a, b) have a > b."""
-    edges = checkpointed(edges)
-    parents = None
-    while not edges.isEmpty():
-        up = checkpointed(edges.groupBy("a").agg(F.min("b").alias("p")))
-        parents = up if parents is None else parents.unionByName(up)
-        moved = edges.join(up, "a").join(up.select(F.col("a").alias("b"), F.col("p").alias("q")), "b", "left")
-        x, y = F.col("p"), F.coalesce("q", "b")
-        edges = checkpointed(moved.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).filter("a <> b").distinct())
-    if parents is None:
-        return edges.select(F.col("a").alias("v"), F.col("b").alias("root"))
-    roots = parents.select(F.col("a").alias("v"), F.col("p").alias("root"))
+def _resolved(parents: DataFrame) -> DataFrame:
+    """(v, root) of a forest (v, p) in which each v has one parent, by pointer jumping."""
+    roots = parents.select("v", F.col("p").alias("root"))
     while True:
         roots = checkpointed(roots)
         up = roots.select(F.col("v").alias("root"), F.col("root").alias("next"))
@@ -239,6 +229,23 @@ def components(edges: DataFrame) -> DataFrame:
         roots = stepped.select("v", F.coalesce("next", "root").alias("root"))
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(v, root) of every vertex that is not the least of its component, each once. Edges (a, b) have a > b.
+
+    A vertex that hooks is replaced by the root of its tree of this round in every edge, so it takes part in no later round.
+    """
+    edges = checkpointed(edges)
+    parents = edges.limit(0).select(F.col("a").alias("v"), F.col("b").alias("p"))
+    while not edges.isEmpty():
+        up = _resolved(edges.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("p")))
+        parents = parents.unionByName(up.withColumnRenamed("root", "p"))
+        moved = edges.join(up.select(F.col("v").alias("a"), F.col("root").alias("x")), "a")
+        moved = moved.join(up.select(F.col("v").alias("b"), F.col("root").alias("y")), "b", "left")
+        x, y = F.col("x"), F.coalesce("y", "b")
+        edges = checkpointed(moved.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).filter("a <> b").distinct())
+    return _resolved(parents)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """doc_id, fp, component_id (the least id reachable through links)."""
     rows = staged(fingerprints(docs, id_col, text_col), "simhash")
