@@ -44,16 +44,22 @@ def run_once(store: Store, config: Config, inputs: Inputs, run_ts: datetime) ->
     sites = config.site_frame(spark)
     prev, at = store.load_state(), store.pointer()
     urls, entries = discover(sites, inputs, settings.max_pages_per_domain, settings.feeds_bypass_filters)
+    # Each of these is read by several of the steps below.
+    urls, entries = urls.persist(), entries.persist()
     chosen = prioritize(urls, prev, entries, settings.max_hash_per_domain, at["run"] + 1)
     captures = inputs.captures.join(chosen.select("domain", "url"), ["domain", "url"], "left_semi")
     first_run = at["run"] == 0
     if settings.first_run_scope == "site" and not first_run:
         known = [r[0] for r in prev.select("domain").distinct().join(sites, "domain", "left_semi").collect()]  # sites of the config at most
         first_run = ~F.col("domain").isin(known)
+    found = extract(captures).persist()
     changes, state = C.detect_changes(
-        prev, urls, extract(captures), entries, inputs.statuses, sites, run_ts, first_run, settings.removal_threshold_runs, settings.max_missing_checks
+        prev, urls, found, entries, inputs.statuses, sites, run_ts, first_run, settings.removal_threshold_runs, settings.max_missing_checks
     )
-    return store.save(changes, state, total_urls(state, sites), run_ts)
+    run = store.save(changes, state, lambda saved: total_urls(saved, sites), run_ts)
+    for held in (urls, entries, found):
+        held.unpersist()
+    return run
 
 
 def run_summary(changes: DataFrame, sites: DataFrame) -> DataFrame:

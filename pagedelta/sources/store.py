@@ -7,6 +7,7 @@ a run that died can be repeated: it writes the same version again. Events are wr
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,11 +63,13 @@ class Store:
         got = self._read(f"{self.root}/changes", schemas.CHANGES + ", run int")
         return got.filter(F.col("run") <= self.pointer()["run"])
 
-    def save(self, changes: DataFrame, state: DataFrame, sites: DataFrame, run_ts: datetime) -> int:
+    def save(self, changes: DataFrame, state: DataFrame, sites: Callable[[DataFrame], DataFrame], run_ts: datetime) -> int:
+        """Write a run and turn the pointer. ``sites`` makes the sites table from the state as it was written."""
         run = self.pointer()["run"] + 1
         changes.write.mode("overwrite").parquet(f"{self.root}/changes/run={run}")
         state.write.mode("overwrite").partitionBy("domain").parquet(f"{self.root}/pages/run={run}")
-        sites.write.mode("overwrite").parquet(f"{self.root}/sites/run={run}")
+        saved = self._read(f"{self.root}/pages/run={run}", schemas.PAGE_STATE)
+        sites(saved).write.mode("overwrite").parquet(f"{self.root}/sites/run={run}")
         self._turn(run, run_ts)
         return run
 
