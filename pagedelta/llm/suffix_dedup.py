@@ -2,14 +2,21 @@
 
 Positions are ranked by the string that begins there, at growing lengths: the rank of a string of 2n bytes is the pair of the
 ranks of its halves. Up to ``HALF`` bytes ranks are names, hashes of pairs of names, that need no other position to be
-known; there the corpus is sorted for the first time. A position whose name is unique drops out. The rest take the pair
-of names at their place and ``HALF`` bytes on, are sorted again, and each string of ``LENGTH`` bytes that a smaller
-document also has is removed from the larger.
+known; there the corpus is sorted for the first time. What is unique drops out. The rest take the pair of names at their
+place and ``HALF`` bytes on, are sorted again, and each string of ``LENGTH`` bytes that a smaller document also has is removed
+from the larger.
 
-Not every position needs to be sorted at the first length: of the ``HALF``-byte names inside a string of ``LENGTH`` bytes the
-least one stands for it, which is the same wherever the string occurs. Names are sorted in buckets of their hash; a task
-first merges the equal names of a batch of documents, so a string that all documents share costs one row a batch. Sorted
-buckets answer each batch with a bit for each name it sent; answers lie in the shared folder, by batch.
+Not every position needs to be sorted. Of the ``HALF``-byte names inside a string of ``LENGTH`` bytes the least one stands for it,
+its key, which is the same wherever the string occurs. Strings side by side with one key are a run.
+
+1. Keys are sorted: runs whose key is in one document only are done.
+2. Of the rest, signatures of whole runs are sorted, by key: a run that a smaller document has from end to end is removed, and
+   where all runs of a key are alike nothing else can match.
+3. Where runs of a key differ, the smallest document of each signature sends the names of the run's single strings.
+
+Names are sorted in buckets of their hash; a task first merges the equal names of a batch of documents, so a string that all
+documents share costs one row a batch. Sorted buckets answer each batch with bits for the names it sent; answers lie in
+the shared folder, by batch.
 
 Names have 64 bits. Two different strings that agree in one would be taken for equal; for n candidate strings the chance
 of any such pair is below n * n / 2**65.
@@ -92,9 +99,21 @@ class Batch:
         low = low[self.start]
         new = np.ones(len(low), bool)
         new[1:] = (low[1:] != low[:-1]) | (self.doc[1:] != self.doc[:-1])
-        self.run = np.cumsum(new) - 1  # strings with the same least name, side by side
+        self.run = np.cumsum(new) - 1
+        self.first = np.flatnonzero(new)
+        self.last = np.append(self.first[1:], len(low))[: len(self.first)] - 1
         self.low, self.low_doc = low[new], self.doc[new]
 
+    def strings(self, which: np.ndarray) -> np.ndarray:
+        """Names of whole strings, by number."""
+        at = self.start[which]
+        return pair(self.half[at], self.half[at + HALF])
+
+    def signatures(self, runs: np.ndarray) -> np.ndarray:
+        """Names of whole runs: of a run's first and last string, and its length."""
+        a, b = self.first[runs], self.last[runs]
+        return pair(pair(self.strings(a), self.strings(b)), (b - a).astype(U))
+
     def digests(self) -> tuple[np.ndarray, np.ndarray]:
         """A name for the whole text of each long document."""
         docs = np.flatnonzero(self.long)
@@ -104,68 +123,78 @@ class Batch:
 
 
 class Merged:
-    """The distinct names of a batch by bucket, each with the smallest id that has it."""
+    """The distinct names of a batch, by bucket of their key, each with the smallest id that has it."""
 
-    def __init__(self, name: np.ndarray, ids: np.ndarray, buckets: int) -> None:
+    def __init__(self, name: np.ndarray, ids: np.ndarray, buckets: int, key: np.ndarray | None = None) -> None:
         order = np.lexsort((ids, name))
         name, ids = name[order], ids[order]
         first = np.ones(len(name), bool)
         first[1:] = name[1:] != name[:-1]
         at = np.flatnonzero(first)
-        ends = np.append(at[1:], len(name)) - 1
-        self.name, self.least, self.many = name[at], ids[at], ids[at] != ids[ends] if len(at) else np.zeros(0, bool)
-        self.bucket = (self.name % U(buckets)).astype(np.int64)
-        self.order = np.argsort(self.bucket, kind="stable")
-
-    def rows(self, batch: int) -> list[tuple]:
-        bucket = self.bucket[self.order]
-        cuts = np.flatnonzero(np.diff(bucket)) + 1
+        ends = np.append(at[1:], len(name))[: len(at)] - 1
+        self.name, self.least, self.many = name[at], ids[at], ids[at] != ids[ends]
+        self.key = self.name if key is None else key[order][at]
+        bucket = (self.key % U(buckets)).astype(np.int64)
+        self.order = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.diff(bucket[self.order])) + 1
+        self.parts = [(int(bucket[p[0]]), p) for p in np.split(self.order, cuts)] if len(at) else []
+
+    def rows(self, batch: int, keyed: bool = False) -> pd.DataFrame:
         out = []
-        for part in np.split(self.order, cuts) if len(bucket) else []:
+        for bucket, part in self.parts:
             known, which = np.unique(self.least[part], return_inverse=True)
             small = which.astype("<u2" if len(known) < 1 << 16 else "<u4")
-            out.append((int(self.bucket[part[0]]), batch, self.name[part].tobytes(), known.tobytes(), small.tobytes(), np.packbits(self.many[part]).tobytes()))
-        return out
-
-    def answers(self, replies: dict[int, bytes], kind: int) -> np.ndarray:
-        """The bits of one kind for ``name``, from the replies by bucket."""
-        out = np.zeros(len(self.name), bool)
-        bucket = self.bucket[self.order]
-        cuts = np.flatnonzero(np.diff(bucket)) + 1
-        for part in np.split(self.order, cuts) if len(bucket) else []:
-            bits = np.frombuffer(replies[int(self.bucket[part[0]])][kind], np.uint8)
-            out[part] = np.unpackbits(bits, count=len(part)).astype(bool)
-        return out
+            key = self.key[part].tobytes() if keyed else b""
+            out.append((bucket, batch, self.name[part].tobytes(), key, known.tobytes(), small.tobytes(), np.packbits(self.many[part]).tobytes()))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in SENT.split(", ")])
+
+    def answers(self, replies: dict[int, tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Both bits of the reply for each of ``name``."""
+        out = np.zeros((2, len(self.name)), bool)
+        for bucket, part in self.parts:
+            for k in (0, 1):
+                out[k, part] = np.unpackbits(np.frombuffer(replies[bucket][k], np.uint8), count=len(part))
+        return out[0], out[1]
 
     def find(self, name: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.name, name)
 
 
-SENT = "bucket long, batch long, name binary, known binary, which binary, many binary"
+SENT = "bucket long, batch long, name binary, key binary, known binary, which binary, many binary"
 REPLY = "part long, batch long, bucket long, earlier binary, shared binary"
 
 
+def _groups(x: np.ndarray, *then: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by x, then by ``then``; where each group of equal x begins in it, and the group of each place."""
+    order = np.lexsort((*then[::-1], x))
+    first = np.ones(len(x), bool)
+    first[1:] = x[order][1:] != x[order][:-1]
+    return order, np.flatnonzero(first), np.cumsum(first) - 1
+
+
 def _sorted_bucket(rows: pd.DataFrame) -> pd.DataFrame:
-    """Sort a bucket's names; tell each batch which have a smaller id elsewhere, and which occur in another document."""
-    name = [np.frombuffer(x, U) for x in rows["name"]]
-    sizes = np.array([len(x) for x in name])
+    """Sort a bucket's names. ``earlier``: a smaller id has the name. ``shared``: another document has it, or, of names with
+    keys, the key has other names."""
+    names_ = [np.frombuffer(x, U) for x in rows["name"]]
+    sizes = np.array([len(x) for x in names_])
     ids = []
     for known, which, n in zip(rows["known"], rows["which"], sizes, strict=True):
-        kind = "<u2" if len(which) == 2 * n else "<u4"
-        ids.append(np.frombuffer(known, np.int64)[np.frombuffer(which, kind)])
-    many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(rows["many"], sizes, strict=True)])
-    name, ids = np.concatenate(name), np.concatenate(ids)
-    order = np.lexsort((ids, name))
-    first = np.ones(len(name), bool)
-    first[1:] = name[order][1:] != name[order][:-1]
-    group = np.cumsum(first) - 1
-    at = np.flatnonzero(first)
-    smallest, largest = ids[order][at], ids[order][np.append(at[1:], len(name)) - 1]
+        ids.append(np.frombuffer(known, np.int64)[np.frombuffer(which, "<u2" if len(which) == 2 * n else "<u4")])
+    name, ids, key = np.concatenate(names_), np.concatenate(ids), np.frombuffer(b"".join(rows["key"]), U)
     earlier, shared = np.zeros(len(name), bool), np.zeros(len(name), bool)
+    order, at, group = _groups(name, ids)
+    smallest = ids[order][at]
     earlier[order] = smallest[group] < ids[order]
-    any_many = np.zeros(len(at), bool)
-    np.logical_or.at(any_many, group, many[order].astype(bool))
-    shared[order] = ((smallest != largest) | any_many)[group]
+    if len(key):
+        by_key, begins, of = _groups(key, name)
+        last = np.append(begins[1:], len(key)) - 1
+        shared[by_key] = (name[by_key][begins] != name[by_key][last])[of]
+    else:
+        many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(rows["many"], sizes, strict=True)])
+        largest = ids[order][np.append(at[1:], len(name)) - 1]
+        any_many = np.zeros(len(at), bool)
+        np.logical_or.at(any_many, group, many[order].astype(bool))
+        shared[order] = ((smallest != largest) | any_many)[group]
     cuts = np.cumsum(sizes)[:-1]
     out = [
         (b >> 24, b, k, np.packbits(e).tobytes(), np.packbits(s).tobytes())
@@ -195,6 +224,53 @@ class _Replies:
         return self.held.get(batch, {})
 
 
+class _Rounds:
+    """What the rounds have said of one batch so far; each method needs the answers of the rounds before."""
+
+    def __init__(self, batch: Batch, buckets: int) -> None:
+        self.batch, self.buckets = batch, buckets
+        digest, self.whole = batch.digests()
+        self.digest = digest
+        self.keys = Merged(np.concatenate([batch.low, digest]), np.concatenate([batch.ids[batch.low_doc], batch.ids[self.whole]]), buckets)
+
+    def take_keys(self, replies: dict) -> None:
+        """Copies of smaller documents, and the runs whose key another document has."""
+        batch = self.batch
+        earlier, shared = self.keys.answers(replies)
+        at = self.keys.find(self.digest)
+        self.copy = np.zeros(len(batch.ids), bool)
+        self.copy[self.whole] = earlier[at] | (self.keys.least[at] < batch.ids[self.whole])
+        self.open = np.flatnonzero(shared[self.keys.find(batch.low)] & ~self.copy[batch.low_doc])
+        self.sign = batch.signatures(self.open)
+        self.signs = Merged(self.sign, batch.ids[batch.low_doc[self.open]], self.buckets, batch.low[self.open])
+
+    def take_signs(self, replies: dict) -> None:
+        """Runs that a smaller document has whole, and the strings of those that must be looked at one by one."""
+        batch = self.batch
+        earlier, mixed = self.signs.answers(replies)
+        at = self.signs.find(self.sign)
+        own = batch.ids[batch.low_doc[self.open]]
+        taken = earlier[at] | (self.signs.least[at] < own)
+        self.taken = np.zeros(len(batch.low), bool)
+        self.taken[self.open[taken]] = True
+        unclear = np.zeros(len(batch.low), bool)
+        unclear[self.open[mixed[at] & ~taken]] = True
+        self.which = np.flatnonzero(unclear[batch.run])
+        self.name = batch.strings(self.which)
+        self.singles = Merged(self.name, batch.ids[batch.doc[self.which]], self.buckets)
+
+    def lost(self, replies: dict) -> np.ndarray:
+        """For each byte of the batch whether it goes; copies are not marked."""
+        batch = self.batch
+        earlier, _ = self.singles.answers(replies)
+        at = self.singles.find(self.name)
+        gone = self.which[earlier[at] | (self.singles.least[at] < batch.ids[batch.doc[self.which]])]
+        gone = batch.start[np.concatenate([np.flatnonzero(self.taken[batch.run]), gone])]
+        size = len(batch.data) + 1
+        depth = np.bincount(gone, minlength=size) - np.bincount(gone + LENGTH, minlength=size)[:size]
+        return np.cumsum(depth[:-1]) > 0
+
+
 def _ask(work: DataFrame, send, name: str) -> str:
     """Send names to their buckets, and keep the answers by part of the work table."""
     spark = work.sparkSession
@@ -205,24 +281,6 @@ def _ask(work: DataFrame, send, name: str) -> str:
     return path
 
 
-def _named_docs(batch: Batch, buckets: int) -> Merged:
-    digest, docs = batch.digests()
-    return Merged(np.concatenate([batch.low, digest]), np.concatenate([batch.ids[batch.low_doc], batch.ids[docs]]), buckets)
-
-
-def _candidates(batch: Batch, sent: Merged, replies: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Copies (by document), and the numbers and names of the strings that may repeat in other documents."""
-    shared, earlier = sent.answers(replies, 1), sent.answers(replies, 0)
-    digest, docs = batch.digests()
-    at = sent.find(digest)
-    copy = np.zeros(len(batch.ids), bool)
-    copy[docs] = earlier[at] | (sent.least[at] < batch.ids[docs])
-    open_ = shared[sent.find(batch.low)][batch.run] if len(batch.run) else np.zeros(0, bool)
-    which = np.flatnonzero(open_ & ~copy[batch.doc])
-    start = batch.start[which]
-    return copy, which, pair(batch.half[start], batch.half[start + HALF])
-
-
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, spans (start and end byte of each maximal removed run), kept (remaining bytes)."""
 
@@ -251,46 +309,46 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     work = staged(rows.mapInPandas(gather, "batch long, ids binary, sizes binary, data binary, n long"), "suffix-work")
     total = work.agg(F.sum("n")).first()[0] or 0
     buckets = max(16, -(-total // BUCKET_BYTES))
-    columns = [c.split()[0] for c in SENT.split(", ")]
 
-    def batches_of(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, Batch]]:
+    def batches_of(frames: Iterator[pd.DataFrame], *answers: str) -> Iterator[tuple[int, _Rounds, list[dict]]]:
+        replies = [_Replies(x) for x in answers]
         for frame in frames:
             for _, row in frame.iterrows():
-                yield int(row["batch"]), Batch(row)
+                k = int(row["batch"])
+                yield k, _Rounds(Batch(row), buckets), [r.of(k) for r in replies]
+
+    def send_keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for k, rounds, _ in batches_of(frames):
+            yield rounds.keys.rows(k)
+
+    first = _ask(work, send_keys, "suffix-keys")
 
-    def send_halves(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for k, batch in batches_of(frames):
-            yield pd.DataFrame(_named_docs(batch, buckets).rows(k), columns=columns)
+    def send_signs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for k, rounds, (a,) in batches_of(frames, first):
+            rounds.take_keys(a)
+            yield rounds.signs.rows(k, keyed=True)
 
-    first = _ask(work, send_halves, "suffix-first")
+    second = _ask(work, send_signs, "suffix-signs")
 
-    def send_wholes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        replies = _Replies(first)
-        for k, batch in batches_of(frames):
-            _, which, name = _candidates(batch, _named_docs(batch, buckets), replies.of(k))
-            yield pd.DataFrame(Merged(name, batch.ids[batch.doc[which]], buckets).rows(k), columns=columns)
+    def send_singles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for k, rounds, (a, b) in batches_of(frames, first, second):
+            rounds.take_keys(a)
+            rounds.take_signs(b)
+            yield rounds.singles.rows(k)
 
-    second = _ask(work, send_wholes, "suffix-second")
+    third = _ask(work, send_singles, "suffix-singles")
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        halves, wholes = _Replies(first), _Replies(second)
-        for k, batch in batches_of(frames):
-            copy, which, name = _candidates(batch, _named_docs(batch, buckets), halves.of(k))
-            own = batch.ids[batch.doc[which]]
-            sent = Merged(name, own, buckets)
-            at = sent.find(name)
-            gone = batch.start[which][sent.answers(wholes.of(k), 0)[at] | (sent.least[at] < own)] if len(at) else at
-            depth = np.zeros(len(batch.data) + 1, np.int32)
-            np.add.at(depth, gone, 1)
-            np.add.at(depth, gone + LENGTH, -1)
-            lost = np.cumsum(depth[:-1]) > 0
-            out = []
+        for _, rounds, (a, b, c) in batches_of(frames, first, second, third):
+            rounds.take_keys(a)
+            rounds.take_signs(b)
+            batch, lost, out = rounds.batch, rounds.lost(c), []
             for i, doc_id in enumerate(batch.ids):
-                a, b = batch.at[i], batch.at[i + 1]
-                flags = np.ones(b - a, bool) if copy[i] else lost[a:b]
+                lo, hi = batch.at[i], batch.at[i + 1]
+                flags = np.ones(hi - lo, bool) if rounds.copy[i] else lost[lo:hi]
                 edge = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
                 spans = [{"start": int(s), "end": int(e)} for s, e in edge.reshape(-1, 2)]
-                out.append((None if doc_id == NO_ID else str(doc_id), int(b - a), spans, batch.data[a:b][~flags].tobytes()))
+                out.append((None if doc_id == NO_ID else str(doc_id), int(hi - lo), spans, batch.data[lo:hi][~flags].tobytes()))
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "spans", "kept"])
 
     got = work.mapInPandas(cut, "doc_id string, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
