@@ -9,7 +9,11 @@ from pagedelta.llm import decontaminate, packing, pii
 from pagedelta.llm.common import staged, table
 
 
-def test_stages(spark, sf_dir):
+SF = "/root/testdata/sf0.01"  # the smallest with labels enough to learn from
+
+
+def test_stages(spark):
+    sf_dir = SF
     docs = table(spark, sf_dir, "documents")
     columns, kept = docs.columns, {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
