@@ -7,7 +7,8 @@ place and ``HALF`` bytes on, are sorted again, and each string of ``LENGTH`` byt
 from the larger.
 
 Not every position needs to be sorted. Of the ``HALF``-byte names inside a string of ``LENGTH`` bytes the least one stands for it,
-its key, which is the same wherever the string occurs. Strings side by side with one key are a run.
+its key, which is the same wherever the string occurs. Strings side by side with one key are a run, cut after ``RUN`` strings, so
+that its first and last string hold every byte of it.
 
 1. Keys are sorted: runs whose key is in one document only are done.
 2. Of the rest, signatures of whole runs are sorted, by key: a run that a smaller document has from end to end is removed, and
@@ -43,6 +44,7 @@ from .warc import open_fs
 
 HALF = 25
 LENGTH = 2 * HALF
+RUN = LENGTH - HALF + 1  # strings of a longer run could differ between the bytes of its first and its last
 BATCH_BYTES = 2 << 20
 BUCKET_BYTES = 12 << 20
 NO_ID = np.iinfo(np.int64).max
@@ -99,6 +101,9 @@ class Batch:
         low = low[self.start]
         new = np.ones(len(low), bool)
         new[1:] = (low[1:] != low[:-1]) | (self.doc[1:] != self.doc[:-1])
+        begin = np.flatnonzero(new)
+        since = np.arange(len(low)) - np.repeat(begin, np.diff(np.append(begin, len(low))))
+        new |= since % RUN == 0
         self.run = np.cumsum(new) - 1
         self.first = np.flatnonzero(new)
         self.last = np.append(self.first[1:], len(low))[: len(self.first)] - 1

@@ -450,6 +450,19 @@ def test_repeats_equal_brute_force(spark, docs, batch, monkeypatch):
     assert sorted(((r.doc_id, r.n_bytes, bytes(r.kept), len(r.spans)) for r in got), key=str) == brute_repeats(rows)
 
 
+def test_repeats_of_periodic_texts(spark):
+    """One key over a whole text: its 25 bytes have a name below all those of the strings that straddle a separator."""
+    import random
+
+    random.seed(5)
+    key = "mlwljtfhlxahufpigespyqsof"
+    texts = [key + "".join(s + key for s in x) for x in ("AAXAA", "AAYAA", "AAXAAA", "YAAXAAY", "AA", "X")]
+    texts += [key + "".join(random.choice("AAAX") + key for _ in range(random.randint(1, 12))) for _ in range(30)]
+    rows = [(i, t[random.choice([0, 0, 3]) :]) for i, t in enumerate(texts)]
+    got = suffix_dedup.repeated(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    assert sorted(((r.doc_id, r.n_bytes, bytes(r.kept), len(r.spans)) for r in got), key=str) == brute_repeats(rows)
+
+
 def test_repeats_of_odd_rows(odd, none):
     assert suffix_dedup.repeated(odd).count() == len(ODD_ROWS)
     assert suffix_dedup.repeated(none).count() == 0
