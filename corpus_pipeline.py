@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagedelta.llm import decontaminate, packing, pii, simhash, toxicity
+from pagedelta.llm import decontaminate, near_copies, packing, pii, toxicity
 from pagedelta.llm.common import checkpointed, crc_bucket, staged, table
 
 
@@ -28,7 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(docs)
+    found = near_copies.near_copies(docs)
     return _without(docs, found.filter("doc_id <> component_id"))
 
 

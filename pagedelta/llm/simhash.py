@@ -73,8 +73,8 @@ def majority(lists: list[np.ndarray]) -> np.ndarray:
     return out.view(np.int64)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (64 bits as a signed long)."""
+def fingerprint(hashes: Column) -> Column:
+    """The fingerprint (64 bits as a signed long) of a column of shingle hashes."""
 
     @F.pandas_udf("long")
     def simhash(lists: pd.Series) -> pd.Series:
@@ -87,9 +87,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 part, size = [], 0
         return pd.Series(np.concatenate([*out, majority(part)]) if len(lists) else np.zeros(0, np.int64))
 
+    return simhash(hashes)
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp (64 bits as a signed long)."""
     words, hashes = shingle_hashes(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("doc_id"), words.alias("words"))
-    return rows.select("doc_id", simhash(hashes).alias("fp"))
+    return rows.select("doc_id", fingerprint(hashes).alias("fp"))
 
 
 def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
