@@ -3,23 +3,26 @@
 Pages of a host share templates. A page becomes a stream of blocks, each with the path of tags that holds it and its text.
 Two streams are aligned; where they agree they stay, what only one has becomes optional, what repeats becomes a repeated
 group, and text that differs becomes a slot. Aligning page after page gives the host's wrapper: a sequence of path nodes
-that are plain, optional (?) or repeated (+), with no unions. Text that every page of a wrapper has in common is template.
+that are plain, optional (?) or repeated (+), with no unions. Wrappers are kept by host and layout (the path that holds most of a
+page's text), so that an error page or a second kind of page does not end those of the others. At a node of the wrapper a text is
+template that at least nine tenths of the layout's distinct pages have there; pages without blocks do not count.
 
-Alignment is a fold whose partial results can be aligned with one another, so each task folds its pages by host, and
-partial wrappers meet in two rounds; no task sees all pages of a host. Pages and wrappers meet in a join that Spark can split,
+Alignment is a fold whose partial results can be aligned with one another, so each task folds its pages by host and layout, and
+partial wrappers meet in two rounds; no task sees all pages of a host. Texts are counted by Spark. Pages and wrappers meet in a join that Spark can split,
 where one host holds a third of the pages.
 
 From the blocks of a page the main text takes those in its article (else the main element, else the body), less those in
 elements that are named or classed as menus, notices, forms, adverts, comments and the like, less template text.
 
 Defined results: a null or empty page has no text; a null url has no wrapper, its page is read by the other rules
-alone; repeated rows count as pages of their own; only page_id, url and html are read; an empty table gives an empty
+alone; pages of equal blocks count once towards a template; only page_id, url and html are read; an empty table gives an empty
 result.
 """
 
 from __future__ import annotations
 
 import html as entities
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -33,6 +36,8 @@ from .common import staged, table
 
 MIN_BODIES = 3
 MAX_TEMPLATE = 300
+# The share of a layout's distinct pages that have a template text: 9 / 10.
+NUM, DEN = 9, 10
 
 # Element names and the words in class, id and role that mark what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -190,8 +195,8 @@ def blocks(page: str) -> list[Block]:
     return [b for b in out if b.text]
 
 
-def chosen(found: list[Block], template: dict[str, int] | None = None) -> list[str]:
-    """Texts of the blocks that make the main text. ``template``: path to checksum of text that all pages share."""
+def chosen(found: list[Block], template: dict[str, list[int]] | None = None) -> list[str]:
+    """Texts of the blocks that make the main text. ``template``: path to checksums of its template texts."""
     kept = [b for b in found if not b.skip]
     for which in (0, 1):
         sizes: dict[int, int] = {}
@@ -204,7 +209,7 @@ def chosen(found: list[Block], template: dict[str, int] | None = None) -> list[s
             break
     else:
         kept = [b for b in kept if 2 * b.linked < len("".join(b.parts))]
-    return [b.text for b in kept if not template or template.get(b.path) != crc32(b.text.encode())]
+    return [b.text for b in kept if not template or crc32(b.text.encode()) not in template.get(b.path, ())]
 
 
 # A wrapper: {"n": pages, "bodies": up to MIN_BODIES checksums of bodies, "nodes": [[path, repeated, optional, text]]}, where text is
@@ -272,17 +277,33 @@ def expression(wrapper: dict) -> str:
     return " ".join(f"({p} {'#' if t is None else hex(t)}){marks[r, o]}" for p, r, o, t in wrapper["nodes"])
 
 
-def template_of(wrapper: dict) -> dict[str, int]:
-    """Path to checksum of the texts that every page of the wrapper has, once its pages differ enough to tell."""
-    if len(wrapper["bodies"]) < MIN_BODIES:
-        return {}
+def layout_of(found: list[Block]) -> int:
+    """The checksum of the path that holds the most text of a page, of what is not marked as outside the article if there is any."""
+    sizes: dict[str, int] = {}
+    for b in [b for b in found if not b.skip] or found:
+        at = b.path.rpartition("/")[0]
+        sizes[at] = sizes.get(at, 0) + sum(map(len, b.parts))
+    return crc32(max(sizes, key=lambda k: (sizes[k], k)).encode()) if sizes else 0
+
+
+def mark(path: str, text: int) -> int:
+    """One number for a path and the checksum of a text."""
+    return (crc32(path.encode()) & 0x7FFFFFFF) << 32 | text
+
+
+def template_of(wrapper: dict, marks: list[int]) -> dict[str, list[int]]:
+    """Path to checksums of the template texts. ``marks``: of the texts that enough pages of the wrapper have."""
+    texts: dict[int, list[int]] = {}
+    for m in marks:
+        texts.setdefault(m >> 32, []).append(m & 0xFFFFFFFF)
     paths = [n[0] for n in wrapper["nodes"]]
-    return {p: t for p, r, o, t in wrapper["nodes"] if t is not None and not r and not o and paths.count(p) == 1}
+    once = {p for p, r, _, _ in wrapper["nodes"] if not r and paths.count(p) == 1}
+    return {p: sorted(texts[c]) for p in dict.fromkeys(paths) if p in once and (c := crc32(p.encode()) & 0x7FFFFFFF) in texts}
 
 
-def _fold(wrappers: Iterator[tuple[str, dict]], into: dict[str, dict]) -> None:
-    for host, w in wrappers:
-        into[host] = align(into[host], w) if host in into else w
+def _fold(wrappers: Iterator[tuple], into: dict) -> None:
+    for key, w in wrappers:
+        into[key] = align(into[key], w) if key in into else w
 
 
 def _host(pages: DataFrame) -> DataFrame:
@@ -291,28 +312,49 @@ def _host(pages: DataFrame) -> DataFrame:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (JSON) of every host."""
+    """host, layout, wrapper (JSON), marks (of template texts) of every layout whose pages differ enough to tell."""
+    schema = "host string, layout long, wrapper string"
+
+    def rows_of(held: dict) -> pd.DataFrame:
+        return pd.DataFrame([(*key, json.dumps(w)) for key, w in held.items()], columns=["host", "layout", "wrapper"])
 
     def of_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, dict] = {}
+        held: dict[tuple, dict] = {}
         for batch in batches:
-            _fold(((h, wrap(blocks(p))) for h, p in zip(batch["host"], batch["html"], strict=True)), held)
+            seen = []
+            for host, page in zip(batch["host"], batch["html"], strict=True):
+                found = blocks(page)
+                if not found:
+                    continue
+                layout, texts = layout_of(found), [crc32(b.text.encode()) for b in found]
+                _fold([((host, layout), wrap(found))], held)
+                every = [mark(b.path, t) for b, t in zip(found, texts, strict=True)]
+                body = hashlib.blake2b(repr(every).encode(), digest_size=7).digest()
+                own = {m for b, m in zip(found, every, strict=True) if sum(map(len, b.parts)) <= MAX_TEMPLATE}
+                seen.append((host, layout, None, int.from_bytes(body), sorted(own)))
+            yield pd.DataFrame(seen, columns=["host", "layout", "wrapper", "body", "marks"])
             if len(held) > 20_000:  # many hosts: pass on what there is, the next step aligns it
-                yield pd.DataFrame([(h, json.dumps(w)) for h, w in held.items()], columns=["host", "wrapper"])
+                yield rows_of(held).assign(body=None, marks=None)
                 held = {}
-        yield pd.DataFrame([(h, json.dumps(w)) for h, w in held.items()], columns=["host", "wrapper"])
+        yield rows_of(held).assign(body=None, marks=None)
 
     def of_wrappers(rows: pd.DataFrame) -> pd.DataFrame:
-        held: dict[str, dict] = {}
-        _fold(((h, json.loads(w)) for h, w in zip(rows["host"], rows["wrapper"], strict=True)), held)
-        return pd.DataFrame([(h, json.dumps(w)) for h, w in held.items()], columns=["host", "wrapper"])
+        held: dict[tuple, dict] = {}
+        _fold((((h, k), json.loads(w)) for h, k, w in zip(rows["host"], rows["layout"], rows["wrapper"], strict=True)), held)
+        return rows_of(held)
 
-    schema = "host string, wrapper string"
     rows = _host(pages).filter(F.col("host").isNotNull()).select("host", "html")
-    partial = rows.mapInPandas(of_pages, schema)
-    salted = partial.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(32)))
-    once = salted.groupBy("host", "salt").applyInPandas(of_wrappers, schema)
-    return once.groupBy("host").applyInPandas(of_wrappers, schema)
+    rows = staged(rows.mapInPandas(of_pages, schema + ", body long, marks array<long>"), "wrapper-pages")
+    salted = rows.filter("wrapper IS NOT NULL").select("host", "layout", "wrapper").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(32)))
+    once = salted.groupBy("host", "layout", "salt").applyInPandas(of_wrappers, schema)
+    aligned = once.groupBy("host", "layout").applyInPandas(of_wrappers, schema)
+    bodies = rows.filter("wrapper IS NULL").groupBy("host", "layout", "body").agg(F.first("marks").alias("marks"))
+    # The mark -1 counts the pages themselves.
+    each = bodies.select("host", "layout", F.explode(F.concat("marks", F.array(F.lit(-1).cast("long")))).alias("mark"))
+    counts = each.groupBy("host", "layout", "mark").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_BODIES)
+    of = counts.filter("mark = -1").select("host", "layout", F.col("n").alias("pages"))
+    often = counts.filter("mark <> -1").join(of, ["host", "layout"]).filter(DEN * F.col("n") >= NUM * F.col("pages"))
+    return aligned.join(often.groupBy("host", "layout").agg(F.collect_list("mark").alias("marks")), ["host", "layout"])
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -320,10 +362,12 @@ def main_text(pages: DataFrame) -> DataFrame:
     known = wrappers(pages)
 
     @F.pandas_udf("string")
-    def template(column: pd.Series) -> pd.Series:
-        return pd.Series([json.dumps(template_of(json.loads(w))) for w in column], dtype=object)
+    def template(column: pd.Series, marks: pd.Series) -> pd.Series:
+        return pd.Series([json.dumps(template_of(json.loads(w), [int(x) for x in m])) for w, m in zip(column, marks, strict=True)], dtype=object)
 
-    known = staged(known.select("host", template("wrapper").alias("template")), "wrapper-templates").filter("template <> '{}'")
+    known = known.select("host", "layout", template("wrapper", "marks").alias("template")).filter("template <> '{}'")
+    by_layout = F.map_from_entries(F.collect_list(F.struct(F.col("layout").cast("string"), "template")))
+    known = staged(known.groupBy("host").agg(F.to_json(by_layout).alias("template")), "wrapper-templates")
 
     @F.pandas_udf("string")
     def extract(htmls: pd.Series, templates: pd.Series) -> pd.Series:
@@ -331,8 +375,9 @@ def main_text(pages: DataFrame) -> DataFrame:
         out = []
         for page, t in zip(htmls, templates, strict=True):
             if t is not None and t not in read:
-                read[t] = json.loads(t)
-            out.append("\n".join(chosen(blocks(page), read.get(t))))
+                read[t] = {int(k): json.loads(v) for k, v in json.loads(t).items()}
+            found = blocks(page)
+            out.append("\n".join(chosen(found, read[t].get(layout_of(found)) if t is not None else None)))
         return pd.Series(out, dtype=object)
 
     rows = _host(pages)
