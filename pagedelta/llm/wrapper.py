@@ -4,12 +4,13 @@ Pages of a host share templates. A page becomes a stream of blocks, each with th
 Two streams are aligned; where they agree they stay, what only one has becomes optional, what repeats becomes a repeated
 group, and text that differs becomes a slot. Aligning page after page gives the host's wrapper: a sequence of path nodes
 that are plain, optional (?) or repeated (+), with no unions. Wrappers are kept by host and layout (the path that holds most of a
-page's text), so that an error page or a second kind of page does not end those of the others. At a node of the wrapper a text is
-template that at least nine tenths of the layout's distinct pages have there; pages without blocks do not count.
+page's text), so that an error page or a second kind of page does not end those of the others. At a node of the wrapper a text of
+any length is template that at least nine tenths of the layout's distinct pages have there; in a repeated group, which may hold the
+paragraphs of the article, the layout must have ten distinct pages to tell. Pages without blocks do not count.
 
 Alignment is a fold whose partial results can be aligned with one another, so each task folds its pages by host and layout, and
-partial wrappers meet in two rounds; no task sees all pages of a host. Texts are counted by Spark. Pages and wrappers meet in a join that Spark can split,
-where one host holds a third of the pages.
+partial wrappers meet in two rounds; no task sees all pages of a host. Texts are counted by Spark. Pages and wrappers meet in a
+join that Spark can split, where one host holds a third of the pages.
 
 From the blocks of a page the main text takes those in its article (else the main element, else the body), less those in
 elements that are named or classed as menus, notices, forms, adverts, comments and the like, less template text.
@@ -21,10 +22,11 @@ result.
 
 from __future__ import annotations
 
-import html as entities
 import hashlib
+import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -35,7 +37,8 @@ from pyspark.sql import functions as F
 from .common import staged, table
 
 MIN_BODIES = 3
-MAX_TEMPLATE = 300
+# Distinct pages that a layout needs for template texts in a group that repeats, where the paragraphs of articles are too.
+MIN_REPEATED = 10
 # The share of a layout's distinct pages that have a template text: 9 / 10.
 NUM, DEN = 9, 10
 
@@ -219,8 +222,7 @@ def chosen(found: list[Block], template: dict[str, list[int]] | None = None) ->
 def wrap(found: list[Block]) -> dict:
     nodes: list[list] = []
     for b in found:
-        own = crc32(b.text.encode()) if len(b.text) <= MAX_TEMPLATE else None
-        nodes.append([b.path, False, False, own])
+        nodes.append([b.path, False, False, crc32(b.text.encode())])
     body = crc32("\n".join(b.text for b in found).encode())
     return {"n": 1, "bodies": [body], "nodes": fold_repeats(nodes)}
 
@@ -291,14 +293,15 @@ def mark(path: str, text: int) -> int:
     return (crc32(path.encode()) & 0x7FFFFFFF) << 32 | text
 
 
-def template_of(wrapper: dict, marks: list[int]) -> dict[str, list[int]]:
-    """Path to checksums of the template texts. ``marks``: of the texts that enough pages of the wrapper have."""
+def template_of(wrapper: dict, marks: list[int], pages: int) -> dict[str, list[int]]:
+    """Path to checksums of the template texts. ``marks``: of the texts that enough of its ``pages`` distinct pages have."""
     texts: dict[int, list[int]] = {}
     for m in marks:
         texts.setdefault(m >> 32, []).append(m & 0xFFFFFFFF)
-    paths = [n[0] for n in wrapper["nodes"]]
-    once = {p for p, r, _, _ in wrapper["nodes"] if not r and paths.count(p) == 1}
-    return {p: sorted(texts[c]) for p in dict.fromkeys(paths) if p in once and (c := crc32(p.encode()) & 0x7FFFFFFF) in texts}
+    paths = Counter(n[0] for n in wrapper["nodes"])
+    if pages < MIN_REPEATED:
+        paths -= Counter({p: paths[p] for p, r, _, _ in wrapper["nodes"] if r or paths[p] > 1})
+    return {p: sorted(texts[c]) for p in paths if (c := crc32(p.encode()) & 0x7FFFFFFF) in texts}
 
 
 def _fold(wrappers: Iterator[tuple], into: dict) -> None:
@@ -312,7 +315,7 @@ def _host(pages: DataFrame) -> DataFrame:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, layout, wrapper (JSON), marks (of template texts) of every layout whose pages differ enough to tell."""
+    """host, layout, wrapper (JSON), marks (of template texts), pages (distinct ones) of every layout whose pages differ enough to tell."""
     schema = "host string, layout long, wrapper string"
 
     def rows_of(held: dict) -> pd.DataFrame:
@@ -330,8 +333,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
                 _fold([((host, layout), wrap(found))], held)
                 every = [mark(b.path, t) for b, t in zip(found, texts, strict=True)]
                 body = hashlib.blake2b(repr(every).encode(), digest_size=7).digest()
-                own = {m for b, m in zip(found, every, strict=True) if sum(map(len, b.parts)) <= MAX_TEMPLATE}
-                seen.append((host, layout, None, int.from_bytes(body), sorted(own)))
+                seen.append((host, layout, None, int.from_bytes(body), sorted(set(every))))
             yield pd.DataFrame(seen, columns=["host", "layout", "wrapper", "body", "marks"])
             if len(held) > 20_000:  # many hosts: pass on what there is, the next step aligns it
                 yield rows_of(held).assign(body=None, marks=None)
@@ -354,7 +356,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
     counts = each.groupBy("host", "layout", "mark").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_BODIES)
     of = counts.filter("mark = -1").select("host", "layout", F.col("n").alias("pages"))
     often = counts.filter("mark <> -1").join(of, ["host", "layout"]).filter(DEN * F.col("n") >= NUM * F.col("pages"))
-    return aligned.join(often.groupBy("host", "layout").agg(F.collect_list("mark").alias("marks")), ["host", "layout"])
+    return aligned.join(often.groupBy("host", "layout").agg(F.collect_list("mark").alias("marks"), F.first("pages").alias("pages")), ["host", "layout"])
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -362,10 +364,11 @@ def main_text(pages: DataFrame) -> DataFrame:
     known = wrappers(pages)
 
     @F.pandas_udf("string")
-    def template(column: pd.Series, marks: pd.Series) -> pd.Series:
-        return pd.Series([json.dumps(template_of(json.loads(w), [int(x) for x in m])) for w, m in zip(column, marks, strict=True)], dtype=object)
+    def template(column: pd.Series, marks: pd.Series, pages: pd.Series) -> pd.Series:
+        found = (template_of(json.loads(w), [int(x) for x in m], n) for w, m, n in zip(column, marks, pages, strict=True))
+        return pd.Series([json.dumps(t) for t in found], dtype=object)
 
-    known = known.select("host", "layout", template("wrapper", "marks").alias("template")).filter("template <> '{}'")
+    known = known.select("host", "layout", template("wrapper", "marks", "pages").alias("template")).filter("template <> '{}'")
     by_layout = F.map_from_entries(F.collect_list(F.struct(F.col("layout").cast("string"), "template")))
     known = staged(known.groupBy("host").agg(F.to_json(by_layout).alias("template")), "wrapper-templates")
 

@@ -22,3 +22,10 @@ def test_odd_pages_do_not_end_a_template(spark):
 def test_copies_of_a_page_are_not_a_template(spark):
     got = texts(spark, [PAGE.format(0)] * 40 + [PAGE.format(i) for i in (1, 2, 3)])
     assert got[0] == got[39] == "Head 0\nOne 0\nTwo 0 and more of it"
+
+
+def test_long_and_repeated_texts_are_template(spark):
+    notice = "All rights in this text are reserved by its owner. " * 20
+    page = "<html><body><div class=page><h1>Head {0}</h1><p>One {0}<p>Sent to you from our office<p>Two {0} and more of it<p>" + notice + "<div class=end>" + notice + "</div></div></body></html>"
+    got = texts(spark, [page.format(i) for i in range(12)])
+    assert all(got[i] == f"Head {i}\nOne {i}\nTwo {i} and more of it" for i in range(12))
