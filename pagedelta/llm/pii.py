@@ -128,13 +128,13 @@ _MIN_SPELLED = 4
 _OPEN, _CLOSE = r"[\[({<]\s*", r"\s*[\])}>]"
 _AT = rf"\s*{_OPEN}(?:at|@){_CLOSE}\s*|\s+at\s+|\s+@\s*|@\s+|@|[_-]at[_-]"
 _DOT = rf"\s*{_OPEN}(?:dot|punkt|punto|point|\.){_CLOSE}\s*|\s+dot\s+|\s+\.\s*(?=[a-z])|\.|[_-]dot[_-]"
+_SEGMENT = r"[a-z0-9%+]++"
+_LOCAL = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-]){_SEGMENT}(?:(?:[._%+-]|{_DOT}){_SEGMENT})*+")
 _DISGUISED = re.compile(
-    rf"(?i)(?<![A-Za-z0-9._%+-])(?P<l>[a-z0-9%+]{{1,64}}(?:(?:[._%+-]|{_DOT})[a-z0-9%+]{{1,64}}){{0,6}}?)(?P<a>{_AT})"
-    rf"(?P<d>[a-z0-9]+(?:-[a-z0-9]+)*(?:(?:{_DOT})[a-z0-9]+(?:-[a-z0-9]+)*)+)"
+    rf"(?i)(?<=[a-z0-9%+])(?P<a>{_AT})(?P<d>[a-z0-9]+(?:-[a-z0-9]+)*(?:(?:{_DOT})[a-z0-9]+(?:-[a-z0-9]+)*)+)"
 )
 _WRITTEN_DOT = re.compile(r"(?i)^(?!(?:the|a|an|this|that)\b).*(?:\bdot\b|[\[({<])", re.S)
 _DOT_ONLY = re.compile(rf"(?i){_DOT}")
-_HINTS = ("[at", "(at", "{at", "<at", "[ at", "( at", "{ at", "< at", "[@", "(@", "{@", "<@", " @", "@ ", "dot", "(.)", "[.]", "{.}", "_at_", "-at-")
 
 
 class Rewritten:
@@ -170,16 +170,25 @@ def _unlike(text: str) -> list[tuple[int, int, str]]:
 
 def _undisguise(text: str) -> list[tuple[int, int, str]]:
     """Disguised at and dot signs inside what reads as an address."""
-    edits = []
-    for m in _DISGUISED.finditer(text):
-        plain_at = m["a"].strip() == "@" or any(x in m["a"] for x in "[({<_-")
-        if not plain_at and not _WRITTEN_DOT.search(m["d"]):
-            continue  # "look at example.com" is prose
+    edits: list[tuple[int, int, str]] = []
+    done, local, m = 0, _LOCAL.search(text), _DISGUISED.search(text)
+    while m:
         a, b = m.span("a")
-        for lo, hi in (m.span("l"), m.span("d")):
-            edits += [(x.start() + lo, x.end() + lo, ".") for x in _DOT_ONLY.finditer(text[lo:hi]) if x[0] != "."]
-        if m["a"] != "@":
-            edits.append((a, b, "@"))
+        while local and local.end() < a:
+            local = _LOCAL.search(text, local.end())
+        if local and local.start() < done:
+            local = _LOCAL.search(text, done)
+        if not local or local.start() >= a:
+            m = _DISGUISED.search(text, a + 1)
+            continue
+        done = m.end()
+        plain_at = m["a"].strip() == "@" or any(x in m["a"] for x in "[({<_-")
+        if plain_at or _WRITTEN_DOT.search(m["d"]):  # else "look at example.com" is prose
+            for lo, hi in ((local.start(), a), m.span("d")):
+                edits += [(x.start() + lo, x.end() + lo, ".") for x in _DOT_ONLY.finditer(text[lo:hi]) if x[0] != "."]
+            if m["a"] != "@":
+                edits.append((a, b, "@"))
+        m = _DISGUISED.search(text, done)
     return sorted(edits)
 
 
@@ -216,9 +225,8 @@ def find(text: str | None) -> list[tuple[str, int, int, bool]]:
         now = Rewritten.of(text).apply(edits)
     low = (now.text if now else text).lower()
     if "at" in low or "@" in low:
-        if any(h in low for h in _HINTS):
-            now = now or Rewritten.of(text)
-            now = now.apply(edits) if (edits := _undisguise(now.text)) else now
+        if edits := _undisguise(now.text if now else text):
+            now = (now or Rewritten.of(text)).apply(edits)
     if sum(w in low for w in _VALUE) >= 2:
         now = now or Rewritten.of(text)
         now = now.apply(edits) if (edits := _spelled(now.text)) else now
