@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field, fields
 from typing import Any
 
@@ -47,6 +48,9 @@ def read_config(raw: dict[str, Any]) -> Config:
 
 
 def load_config(path: str) -> Config:
+    if path.endswith(".json"):
+        with open(path, encoding="utf-8") as f:
+            return read_config(json.load(f))
     try:
         import yaml
     except ImportError as e:

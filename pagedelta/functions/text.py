@@ -35,9 +35,8 @@ def sentences(text: Column) -> Column:
     parts = F.split(text, rf"(?<=[.!?]){SPACE}")
 
     def pieces(p: Column) -> Column:
-        words = F.array_remove(F.split(p, SPACE), "")
-        starts = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(CHUNK_WORDS))
-        chunks = F.transform(starts, lambda s: F.array_join(F.slice(words, s + 1, CHUNK_WORDS), " "))
+        tidy = F.trim(F.regexp_replace(p, SPACE, " "))
+        chunks = F.regexp_extract_all(tidy, F.lit(rf"(?:[^ ]+ ){{0,{CHUNK_WORDS - 1}}}[^ ]+"), F.lit(0))
         return F.when(F.length(p) > LONG_SENTENCE, chunks).otherwise(F.array(F.regexp_replace(p, f"^{SPACE}|{SPACE}$", "")))
 
     return F.array_remove(F.flatten(F.transform(parts, pieces)), "")
@@ -100,17 +99,6 @@ def has_any(text: Column, patterns: Column) -> Column:
     return F.exists(patterns, lambda p: F.contains(text, p))
 
 
-def display_type(change_type: Column) -> Column:
-    return F.initcap(F.replace(change_type, F.lit("_"), F.lit(" ")))
-
-
-def range_label(days: str | int | None, start: str | None = None, end: str | None = None) -> str:
-    """Label of a time filter."""
-    if start or end:
-        return f"{start or '...'} to {end or '...'}"
-    return {"1": "24h", "0": "all"}.get(str(days), f"{days}d")
-
-
 def register(spark: SparkSession) -> None:
     """SQL names for the functions that plain SQL can call."""
     spark.sql(

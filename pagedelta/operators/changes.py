@@ -2,11 +2,13 @@
 
 One full outer join of the previous state with the urls found this run tells new, existing and missing pages apart; the
 page extracts, feed entries and url statuses are joined to it, and every row yields its events as an array that is
-exploded once. Joins are on (domain, url), never on the domain alone, so a large site is spread like many small ones.
+exploded once. Pages are joined on (domain, url), never on the domain alone, so a large site is spread like many small ones; what
+there is one row a site of is broadcast where the sites are at most ``BROADCAST_SITES``, and joined as Spark sees fit beyond.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +24,7 @@ KEY = ("domain", "url")
 MINOR_WORDS = 20
 HASH_SHOWN = 12
 META_SHOWN = 150
+BROADCAST_SITES = 100_000
 
 
 def details(**given: Column) -> Column:
@@ -67,8 +70,33 @@ def one_row_each(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")).select(*keys, "_r.*")
 
 
+def by_site(few: bool, rows: DataFrame) -> DataFrame:
+    """A table of one row a site, marked to be broadcast where the sites are few."""
+    return F.broadcast(rows) if few else rows
+
+
+def few_sites(*tables: DataFrame) -> bool:
+    """Whether the domains of the tables are at most ``BROADCAST_SITES``; reads that one column."""
+    each = tables[0].select("domain")
+    for t in tables[1:]:
+        each = each.unionByName(t.select("domain"))
+    return each.distinct().limit(BROADCAST_SITES + 1).count() <= BROADCAST_SITES
+
+
+def due_pages(prev: DataFrame, urls: DataFrame, guard: DataFrame, threshold: int, probes: int) -> DataFrame:
+    """(domain, url): of each site the first ``probes`` pages that have been missing for ``threshold`` runs; their urls are probed.
+
+    ``guard``: of ``failed_crawls``. Each task keeps that many rows of a site before Spark sorts them.
+    """
+    gone = prev.select(*KEY, "consecutive_missing").join(urls.select(*KEY).distinct(), list(KEY), "left_anti").join(guard, "domain", "left")
+    missing = F.coalesce("consecutive_missing", F.lit(0)) + 1
+    due = gone.filter(~F.col("crawl_failed") & (missing >= threshold))
+    place = F.row_number().over(W.partitionBy("domain").orderBy("url"))
+    return due.select(*KEY, place.alias("k")).filter(F.col("k") <= probes).select(*KEY)
+
+
 def classified(
-    prev: DataFrame, urls: DataFrame, extracts: DataFrame, feeds: DataFrame, statuses: DataFrame, first_run: Column, threshold: int, probes: int
+    prev: DataFrame, urls: DataFrame, extracts: DataFrame, feeds: DataFrame, statuses: DataFrame, first_run: Column, threshold: int, probes: int, few: bool
 ) -> DataFrame:
     """A row for each page of either snapshot, with its status and what is known of it: p, u, h, f, s (structs, null if none).
 
@@ -82,16 +110,14 @@ def classified(
     rows = p.join(u, list(KEY), "full_outer").join(h, list(KEY), "left").join(f, list(KEY), "left")
     status = F.when(F.col("p").isNull(), "new").when(F.col("u").isNull(), "missing").otherwise("existing")
     rows = rows.withColumns({"status": status, "first_run": first_run})
-    guard = failed_crawls(page_status(prev, urls)).select("domain", "crawl_failed")
+    guard = by_site(few, failed_crawls(page_status(prev, urls)).select("domain", "crawl_failed"))
     rows = rows.join(guard, "domain", "left")
     missing = F.coalesce(F.col("p.consecutive_missing"), F.lit(0)) + 1
     due = (F.col("status") == "missing") & ~F.col("crawl_failed") & ~F.col("first_run") & (missing >= threshold)
     rows = rows.withColumns({"missing_runs": missing, "due": F.coalesce(due, F.lit(False))})
-    # The first due pages of a site are probed; ranking only the due ones keeps the sort small.
-    ranked = rows.filter("due").select(*KEY, F.row_number().over(W.partitionBy("domain").orderBy("url")).alias("k"))
     s = wrap(one_row_each(statuses.select("url", "status_code", "redirect_to", "noindex"), "url"), "s", ("url",))
-    probed = ranked.filter(F.col("k") <= probes).select(*KEY).join(s, "url")
-    return rows.join(probed, list(KEY), "left")
+    probed = due_pages(prev, urls, guard, threshold, probes).join(s, "url")
+    return rows.join(probed, list(KEY), "left").withColumn("s", F.when(F.col("due"), F.col("s")))
 
 
 def detect_changes(
@@ -105,15 +131,18 @@ def detect_changes(
     first_run: bool | Column = False,
     threshold: int = 2,
     max_probes: int = 50,
+    hold: Callable[[DataFrame], DataFrame] = lambda rows: rows,
 ) -> tuple[DataFrame, DataFrame]:
     """Events (CHANGES) and the next state (PAGE_STATE).
 
     ``prev``: PAGE_STATE; ``urls``: DISCOVERED; ``extracts``: PAGE_EXTRACT of the pages read this run; ``statuses``: URL_STATUS of probed
-    urls. On a first run nothing is emitted and the state is written.
+    urls. On a first run nothing is emitted and the state is written. ``hold`` may write the joined pages down, for both results
+    read them.
     """
     first = F.lit(first_run) if isinstance(first_run, bool) else first_run
     now = F.lit(run_ts).cast("timestamp")
-    rows = classified(prev, urls, extracts, feeds, statuses, first, threshold, max_probes)
+    few = few_sites(prev, urls, sites)
+    rows = classified(prev, urls, extracts, feeds, statuses, first, threshold, max_probes, few)
     p, u, h, f, s = (lambda n, t=t: F.col(f"{t}.{n}") for t in "puhfs")
     text = lambda x: F.coalesce(x, F.lit(""))
     number = lambda x: F.coalesce(x, F.lit(0))
@@ -122,9 +151,9 @@ def detect_changes(
     updated = comparable & T.truthy(h("content_hash")) & (p("content_hash") != h("content_hash"))
     rows = rows.withColumns({"comparable": F.coalesce(comparable, F.lit(False)), "updated": F.coalesce(updated, F.lit(False))})
 
-    # Only pages whose hash changed go to Python.
-    changed = rows.filter("updated").select(*KEY, diff_summary(text(p("content_snippet")), text(h("content_snippet"))).alias("d"))
-    rows = rows.join(changed, list(KEY), "left")
+    # Only texts of pages whose hash changed go to Python.
+    shown = lambda x: F.when(F.col("updated"), text(x("content_snippet")))
+    rows = hold(rows.withColumn("d", F.when(F.col("updated"), diff_summary(shown(p), shown(h)))))
 
     title = F.when(T.truthy(h("title")), h("title")).otherwise(F.when(F.col("status") == "new", text(u("title"))).otherwise(text(p("title"))))
     stamp = T.iso_utc(now)
@@ -225,7 +254,7 @@ def detect_changes(
         text(F.col("title")).alias("title"),
         details(old_url=F.col("old_url"), new_url=F.col("new_url")).alias("details"),
     )
-    names = sites.select("domain", F.col("name").alias("competitor"))
+    names = by_site(few, sites.select("domain", F.col("name").alias("competitor")))
     changes = found.unionByName(cased).join(names, "domain", "left").select(
         "id", now.alias("timestamp"), "competitor", "domain", "url", "change_type", "title", "details"
     )
@@ -255,8 +284,3 @@ def detect_changes(
         F.when(~is_missing, 0).when(F.col("crawl_failed"), p("consecutive_missing")).otherwise(F.col("missing_runs")).cast("int").alias("consecutive_missing"),
     )
     return changes, state
-
-
-def details_json(found: Column) -> Column:
-    """Details as JSON with the members that the type has."""
-    return F.to_json(found)

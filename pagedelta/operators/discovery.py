@@ -10,13 +10,14 @@ from ..functions import text as T
 
 
 def merge_urls(sitemap: DataFrame, feeds: DataFrame) -> DataFrame:
-    """Sitemap urls, then feed urls that no sitemap has: (domain, url, lastmod, title, source, ordinal)."""
+    """Sitemap urls, then feed urls that no sitemap has, in their own order: (domain, url, lastmod, title, source, ordinal)."""
     first = sitemap.select(
         "domain", "url", "lastmod", F.lit("").alias("title"), F.lit("sitemap").alias("source"), F.col("ordinal").cast("bigint").alias("ordinal")
     )
-    extra = feeds.join(sitemap.select("domain", "url"), ["domain", "url"], "left_anti")
-    extra = extra.groupBy("domain", "url").agg(F.min(F.struct("published", "title")).alias("e"))
-    order = F.row_number().over(W.partitionBy("domain").orderBy("url"))
+    extra = feeds if "ordinal" in feeds.columns else feeds.withColumn("ordinal", F.lit(0).cast("bigint"))
+    extra = extra.join(sitemap.select("domain", "url"), ["domain", "url"], "left_anti")
+    extra = extra.groupBy("domain", "url").agg(F.min(F.struct("ordinal", "published", "title")).alias("e"))
+    order = F.row_number().over(W.partitionBy("domain").orderBy("e.ordinal", "url"))
     extra = extra.select(
         "domain", "url", F.col("e.published").alias("lastmod"), F.coalesce("e.title", F.lit("")).alias("title"), F.lit("feed").alias("source"),
         (F.lit(1 << 40) + order).alias("ordinal"),

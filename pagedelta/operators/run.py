@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions.page import extract
 from ..sources import documents as D
+from ..sources.fetch import Client, Response, check_status, decoded, fetch, over_network
 from ..sources.store import Store, total_urls
 from . import changes as C
 from .discovery import merge_urls, prioritize
@@ -18,50 +21,99 @@ from .discovery import merge_urls, prioritize
 
 @dataclass
 class Inputs:
-    """Tables of fetched documents. ``sitemaps``: url, body; ``feeds``: url, content_type, body; ``captures``: domain, url, html."""
+    """Tables of fetched documents. ``sitemaps``: url, body; ``feeds``: url, content_type, body; ``captures``: domain, url, html;
+    ``statuses``: URL_STATUS. The last two may be functions of the pages (domain, url) that are to be read or probed."""
 
     robots: DataFrame
     sitemaps: DataFrame
     feeds: DataFrame
-    captures: DataFrame
-    statuses: DataFrame
+    captures: DataFrame | Callable[[DataFrame], DataFrame]
+    statuses: DataFrame | Callable[[DataFrame], DataFrame]
 
 
 def discover(sites: DataFrame, inputs: Inputs, max_urls: int, feeds_bypass_filters: bool = True) -> tuple[DataFrame, DataFrame]:
     """Urls of all sites (DISCOVERED) and their feed entries."""
-    candidates = D.sitemap_candidates(sites, inputs.robots)
-    urls = D.sitemap_urls(candidates, inputs.sitemaps, max_urls)
-    urls = D.filter_patterns(D.can_fetch(urls, inputs.robots).filter("allowed").drop("allowed"), sites)
+
+    def wanted(urls: DataFrame) -> DataFrame:
+        return D.filter_patterns(D.can_fetch(urls, inputs.robots).filter("allowed").drop("allowed"), sites)
+
+    urls = D.sitemap_urls(D.sitemap_candidates(sites, inputs.robots), inputs.sitemaps, max_urls, wanted)
     entries = D.feed_entries(D.discover_feeds(sites, inputs.feeds), inputs.feeds)
-    if not feeds_bypass_filters:
-        entries = D.filter_patterns(D.can_fetch(entries, inputs.robots).filter("allowed").drop("allowed"), sites)
+    entries = entries if feeds_bypass_filters else wanted(entries)
     return merge_urls(urls, entries), entries
 
 
 def run_once(store: Store, config: Config, inputs: Inputs, run_ts: datetime) -> int:
-    """Run and commit; returns the run's number."""
+    """Run and commit; returns the run's number.
+
+    Tables that several steps read are written to the store's work folder, so a lost executor costs no second crawl.
+    """
     spark, settings = store.spark, config.settings
     sites = config.site_frame(spark)
     prev, at = store.load_state(), store.pointer()
     urls, entries = discover(sites, inputs, settings.max_pages_per_domain, settings.feeds_bypass_filters)
-    # Each of these is read by several of the steps below.
-    urls, entries = urls.persist(), entries.persist()
-    chosen = prioritize(urls, prev, entries, settings.max_hash_per_domain, at["run"] + 1)
-    captures = inputs.captures.join(chosen.select("domain", "url"), ["domain", "url"], "left_semi")
+    urls, entries = store.work(urls, "urls"), store.work(entries, "entries")
+    chosen = prioritize(urls, prev, entries, settings.max_hash_per_domain, at["run"] + 1).select("domain", "url")
+    captures = inputs.captures(chosen) if callable(inputs.captures) else inputs.captures.join(chosen, ["domain", "url"], "left_semi")
+    statuses = inputs.statuses
+    if callable(statuses):
+        guard = C.by_site(C.few_sites(prev, urls), C.failed_crawls(C.page_status(prev, urls)).select("domain", "crawl_failed"))
+        statuses = store.work(statuses(C.due_pages(prev, urls, guard, settings.removal_threshold_runs, settings.max_missing_checks)), "statuses")
     first_run = at["run"] == 0
     if settings.first_run_scope == "site" and not first_run:
         known = [r[0] for r in prev.select("domain").distinct().join(sites, "domain", "left_semi").collect()]  # sites of the config at most
         first_run = ~F.col("domain").isin(known)
-    found = extract(captures).persist()
+    found = store.work(extract(captures), "extracts")
     changes, state = C.detect_changes(
-        prev, urls, found, entries, inputs.statuses, sites, run_ts, first_run, settings.removal_threshold_runs, settings.max_missing_checks
+        prev, urls, found, entries, statuses, sites, run_ts, first_run, settings.removal_threshold_runs, settings.max_missing_checks, lambda rows: store.work(rows, "rows")
     )
     run = store.save(changes, state, lambda saved: total_urls(saved, sites), run_ts)
-    for held in (urls, entries, found):
-        held.unpersist()
+    store.prune(settings.max_changes_history)
+    store.clear_work()
     return run
 
 
+def crawl(store: Store, config: Config, run_ts: datetime, transport: Callable[[str, str, float], Response] = over_network, sleep: Callable[[float], None] = time.sleep) -> int:
+    """A whole run from the network: robots, sitemaps, feeds, pages, probes of missing pages, comparison, commit."""
+    spark, settings = store.spark, config.settings
+    sites = config.site_frame(spark)
+    delay, timeout = settings.request_delay_seconds, settings.request_timeout_seconds
+
+    def client() -> Client:
+        return Client(transport, delay, timeout, sleep=sleep)
+
+    hosts = sites.select("domain", F.explode(F.array(F.concat(F.lit("www."), "domain"), "domain")).alias("netloc"))
+    asked = hosts.select("netloc", F.concat(F.lit("https://"), "netloc", F.lit("/robots.txt")).alias("url"))
+    got = fetch(asked, client).join(asked, "url")
+    robots = store.work(got.select("netloc", decoded(F.col("content_type"), F.col("body")).alias("body")), "robots")
+
+    def polite(urls: DataFrame) -> DataFrame:
+        return fetch(D.with_delay(urls, robots, delay), client)
+
+    # A level of sitemaps at a time; each is asked for once.
+    level = D.sitemap_candidates(sites, robots).select("url").distinct()
+    sitemaps = None
+    for depth in range(D.MAX_DEPTH + 1):
+        new = store.work(polite(level).select("url", "body"), f"sitemaps-{depth}")
+        sitemaps = new if sitemaps is None else sitemaps.unionByName(new)
+        level = D.parse_sitemaps(new).select(F.explode("children").alias("url")).distinct()
+        level = level.join(sitemaps.select("url"), "url", "left_anti")
+    feeds = polite(D.feed_places(sites).select("url").distinct())
+    feeds = store.work(feeds.select("url", "content_type", decoded(F.col("content_type"), F.col("body")).alias("body")), "feeds")
+
+    def captures(chosen: DataFrame) -> DataFrame:
+        pages = polite(chosen.select("url").distinct())
+        if settings.html_only:
+            pages = pages.filter(F.lower("content_type").contains("html"))
+        pages = pages.select("url", decoded(F.col("content_type"), F.col("body")).alias("html"))
+        return store.work(chosen.join(pages, "url").select("domain", "url", "html"), "captures")
+
+    def statuses(due: DataFrame) -> DataFrame:
+        return check_status(D.with_delay(due.select("url"), robots, delay), client)
+
+    return run_once(store, config, Inputs(robots, sitemaps, feeds, captures, statuses), run_ts)
+
+
 def run_summary(changes: DataFrame, sites: DataFrame) -> DataFrame:
     """Events of a run by site."""
     n = changes.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,30 +12,17 @@ from ..functions import text as T
 from ..functions.textdiff import diff_summary
 from ..operators import changes as C
 from ..operators.discovery import merge_urls, prioritize
-from ..sources.store import retained
+from ..sources.store import retained, total_urls
 from ..streaming.replay import count_windows
 from . import fixtures as X
 from . import report as R
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import source_queries  # noqa: F401  registers its queries
+from .catalog import ORACLES, QUERIES, query
 
 RUN_TS = datetime(2024, 1, 31, 6, 30)
 STAMP = "2024-01-31T06:30:00+00:00"
 
 
-def query(sql: str | None = None):
-    """Register a query under its function's name, with the DuckDB SQL that it equals."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _pages(spark, sf_dir):
     b = X.base(spark, sf_dir)
     return X.previous(b), X.current(b)
@@ -65,7 +51,8 @@ def page_title_h1(spark, sf_dir):
     return X.base(spark, sf_dir).select("page_id", "title", "h1")
 
 
-@query()
+@query(_TEXT + """SELECT url, sha256(main_text) AS content_hash, replace(replace(title, '&quot;', '"'), '&amp;', '&') AS title, '' AS meta_description, replace(replace(h1, '&quot;', '"'), '&amp;', '&') AS h1_tags,
+  CAST(CASE WHEN main_text = '' THEN 0 ELSE len(string_split(main_text, ' ')) END AS INTEGER) AS word_count, '' AS canonical, '' AS schemas, false AS noindex FROM base""")
 def page_extracts(spark, sf_dir):
     got = P.extract(X.table(spark, sf_dir, "pages").withColumn("domain", F.regexp_extract("url", X.DOMAIN, 1)))
     return got.select("url", "content_hash", "title", "meta_description", F.array_join("h1_tags", "|").alias("h1_tags"), "word_count", "canonical", F.array_join("schemas", "|").alias("schemas"), "noindex")
@@ -448,5 +435,76 @@ def conversation_diffs(spark, sf_dir):
     return rows.select("conv_id", "turn", d.alias("d")).select("conv_id", "turn", "d.summary", F.size("d.added").alias("n_added"), F.size("d.removed").alias("n_removed"))
 
 
+# ------------------------------------------------------------------ runs
+
+
+@query(_TEXT + f", {_BOTH}, {_DUE}, {_COUNTS} SELECT upper(b.domain) AS name, b.domain, CAST((SELECT count(*) FROM ev WHERE ev.domain = b.domain) AS BIGINT) AS n_changes FROM base b GROUP BY b.domain")
+def run_counts(spark, sf_dir):
+    from ..operators.run import run_summary
+
+    return run_summary(_detected(spark, sf_dir)[0], X.site_names(X.base(spark, sf_dir)))
+
+
+@query(_TEXT + f""", {_DUE}, every_ AS (SELECT domain, url FROM prev UNION SELECT domain, url FROM curr)
+SELECT e.domain, upper(e.domain) AS name, count(*) - (SELECT count(*) FROM due WHERE due.domain = e.domain) AS total_urls_discovered FROM every_ e GROUP BY e.domain""")
+def total_urls_discovered(spark, sf_dir):
+    return total_urls(_detected(spark, sf_dir)[1], X.site_names(X.base(spark, sf_dir)))
+
+
+@query(_TEXT + f", {_DUE} SELECT domain, url FROM due WHERE k <= 2")
+def probe_cap(spark, sf_dir):
+    prev, curr = _pages(spark, sf_dir)
+    return C.due_pages(prev, curr, C.failed_crawls(C.page_status(prev, curr)), 2, 2)
+
+
+_META_NEW = "CASE WHEN substring(md5(url), 1, 1) < '4' THEN 'New about ' ELSE 'About ' END || url || repeat('.', 150)"
+
+
+@query(_TEXT + f""", {_BOTH}, t AS (SELECT domain, url, new_title, old_title, 'About ' || url || repeat('.', 150) AS old_meta, {_META_NEW} AS new_meta FROM both_)
+SELECT {_ids(':meta')} AS id, domain, url, coalesce(nullif(new_title, ''), old_title) AS title, substring(old_meta, 1, 150) AS old_meta, substring(new_meta, 1, 150) AS new_meta FROM t WHERE old_meta <> new_meta""")
+def meta_changes(spark, sf_dir):
+    prev, curr = _pages(spark, sf_dir)
+    rest = F.repeat(F.lit("."), F.lit(150))
+    about = F.concat(F.lit("About "), "url", rest)
+    new = F.when(F.substring(F.md5("url"), 1, 1) < "4", F.concat(F.lit("New about "), "url", rest)).otherwise(about)
+    names = X.site_names(X.base(spark, sf_dir))
+    before, found = X.as_state(prev).withColumn("meta_description", about), X.as_extracts(curr).withColumn("meta_description", new)
+    got = C.detect_changes(before, X.as_urls(curr), found, X.as_feeds(curr), X.as_statuses(prev), names, RUN_TS)[0]
+    return got.filter("change_type = 'meta_change'").select("id", "domain", "url", "title", "details.old_meta", "details.new_meta")
+
+
+@query(_TEXT + f", {_BOTH} SELECT domain, url, '\"' || old_title || '\" → \"' || new_title || '\"' AS line, CAST(0 AS INTEGER) AS n_tags FROM both_ WHERE old_title <> '' AND new_title <> '' AND old_title <> new_title")
+def title_lines(spark, sf_dir):
+    events = _events(spark, sf_dir, "title_change")
+    return R.detail_line(events).join(events.select("id", "change_type", "domain"), ["id", "change_type"]).select("domain", "url", "line", F.size("tags").alias("n_tags"))
+
+
+@query(_TEXT + f""", {_DUE} SELECT domain, url, CASE WHEN k <= 50 AND page_id % 40 = 1 THEN '301 → ' || url || '/moved' ELSE 'Missing 2 runs' END AS line FROM due""")
+def removal_lines(spark, sf_dir):
+    events = _detected(spark, sf_dir)[0].filter(F.col("change_type").isin("redirect", "page_removed"))
+    return R.detail_line(events).join(events.select("id", "change_type", "domain"), ["id", "change_type"]).select("domain", "url", "line")
+
+
+@query(_LOG + """SELECT change_type, replace(change_type, '_', ' ') AS label, CAST(count(*) AS BIGINT) AS n FROM log GROUP BY 1, 2""")
+def type_labels(spark, sf_dir):
+    return X.log(spark, sf_dir).groupBy("change_type", R.display_type(F.col("change_type")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_LOG + """, d AS (SELECT unnest(['1', '7', '14', '30', '90', '0', 'custom']) AS days)
+SELECT days, CASE days WHEN '1' THEN '24h' WHEN '0' THEN 'all' WHEN 'custom' THEN 'range' ELSE days || 'd' END AS label,
+  CASE days WHEN '1' THEN '24h' WHEN '0' THEN 'all time' WHEN 'custom' THEN 'selected range' ELSE days || 'd' END AS activity_label FROM d""")
+def time_labels(spark, sf_dir):
+    days = spark.createDataFrame([(d,) for d in ("1", "7", "14", "30", "90", "0", "custom")], "days string")
+    return days.select("days", R.range_label(F.col("days")).alias("label"), R.range_label(F.col("days"), "all time", "selected range").alias("activity_label"))
+
+
+@query(_LOG + """, n AS (SELECT change_type, count(*) AS n FROM log GROUP BY 1), p AS (SELECT change_type, CAST(ceil(n / 50.0) AS INTEGER) AS pages FROM n)
+SELECT change_type, pages, CASE WHEN pages > 1 THEN array_to_string(range(1, least(4, pages) + 1), ',') ELSE '' END AS offered FROM p""")
+def page_windows(spark, sf_dir):
+    n = X.log(spark, sf_dir).groupBy("change_type").agg(F.count(F.lit(1)).alias("n"))
+    n = n.select("change_type", R.page_window(F.col("n"), F.lit(2)).alias("w"))
+    return n.select("change_type", "w.pages", F.array_join(F.col("w.offered").cast("array<string>"), ",").alias("offered"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return change_counts(spark, sf_dir)

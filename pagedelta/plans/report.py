@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from ..functions.text import week_key
 
 PAGE = 50
+H1_SHOWN = 50
 
 
 def since(log: DataFrame, as_of: datetime, days: int) -> DataFrame:
@@ -139,10 +140,11 @@ def page(log: DataFrame, number: int, size: int = PAGE) -> DataFrame:
     return log.orderBy(F.col("ts").desc(), "seq").offset(size * (number - 1)).limit(size)
 
 
-def page_window(n_rows: int, number: int, size: int = PAGE, around: int = 2) -> tuple[int, list[int]]:
-    """How many pages there are, and which of them are offered beside this one."""
-    pages = -(-n_rows // size)
-    return pages, [k for k in range(number - around, number + around + 1) if 1 <= k <= pages]
+def page_window(n_rows: Column, number: Column, size: int = PAGE, around: int = 2) -> Column:
+    """How many pages there are, and which of them are offered beside this one; none where one page holds all."""
+    pages = F.ceil(n_rows / size).cast("int")
+    offered = F.sequence(F.greatest(number - around, F.lit(1)), F.greatest(F.least(number + around, pages), F.lit(1)))
+    return F.struct(pages.alias("pages"), F.when(pages > 1, offered).otherwise(F.array().cast("array<int>")).alias("offered"))
 
 
 def export_changes(changes: DataFrame) -> DataFrame:
@@ -174,16 +176,34 @@ def export_summary(log: DataFrame, sites: DataFrame) -> DataFrame:
 
 
 def detail_line(changes: DataFrame) -> DataFrame:
-    """Events with the line that a reader sees: what the type has to say, parts joined by a dot."""
+    """Events with what a reader is told of them: the parts of ``line``, joined by a dot, and the tags."""
     d = lambda name: F.col(f"details.{name}")
-    arrow = lambda a, b: F.when(d(a).isNotNull(), F.concat(d(a), F.lit(" → "), F.coalesce(d(b), F.lit(""))))
-    signed = F.concat(F.when(d("word_count_change") > 0, "+").otherwise(""), d("word_count_change").cast("string"), F.lit(" words"))
-    parts = [
-        F.nullif(d("diff_summary"), F.lit("")), F.when(d("word_count_change") != 0, signed), arrow("old_title", "new_title"), arrow("old_meta", "new_meta"),
-        arrow("old_h1", "new_h1"), arrow("old_url", "new_url"), F.when(d("h1") != "", F.concat(F.lit("H1: "), F.substring(d("h1"), 1, 50))),
-        F.when(F.size(d("schemas")) > 0, F.concat(F.lit("Schemas: "), F.array_join(d("schemas"), ", "))),
-        F.when(F.size(d("added_schemas")) > 0, F.concat(F.lit("Added: "), F.array_join(d("added_schemas"), ", "))),
-        F.when(F.size(d("removed_schemas")) > 0, F.concat(F.lit("Removed: "), F.array_join(d("removed_schemas"), ", "))),
-        F.when(d("redirect").isNotNull(), F.concat(F.lit("→ "), F.col("details.redirect.redirect_to"))), F.when(d("noindex"), "noindex"),
+    some = lambda x: F.coalesce(x.cast("string"), F.lit("")) != ""
+    number = lambda x: F.coalesce(x, F.lit(0)) != 0
+    text = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
+    told = lambda when, *parts: F.when(when, text(*parts))
+    pair = lambda a, b, before="", quote="": told(some(d(a)) & some(d(b)), f"{before}{quote}", d(a), f"{quote} → {quote}", d(b), quote)
+    moved = F.col("details.redirect").isNotNull()
+    line = [
+        told(some(d("summary")) & (F.col("change_type") == "new_page"), d("summary")), told(some(d("published_date")), "Published: ", d("published_date")),
+        told(some(d("diff_summary")), d("diff_summary")), pair("old_title", "new_title", quote='"'), pair("old_meta", "new_meta", quote='"'), pair("old_h1", "new_h1", "H1: ", '"'),
+        told(moved, d("redirect.status_code").cast("string"), " → ", d("redirect.redirect_to")), told(F.coalesce(d("noindex"), F.lit(False)), "NOINDEX"), pair("old_url", "new_url"),
+        told(number(d("missing_runs")) & ~moved, "Missing ", d("missing_runs").cast("string"), " runs"),
     ]
-    return changes.select("id", "change_type", "url", F.concat_ws(" · ", *parts).alias("line"))
+    change = d("word_count_change")
+    many = lambda name, sign: F.transform(F.coalesce(d(name), F.array().cast("array<string>")), lambda s: F.concat(F.lit(sign), s))
+    tags = F.array(
+        told(number(d("word_count")), d("word_count").cast("string"), " words"), told(number(change), F.when(change > 0, "+").otherwise(""), change.cast("string"), " words"),
+        told(some(d("h1")), "H1: ", F.substring(d("h1"), 1, H1_SHOWN)),
+    )
+    tags = F.concat(F.array_compact(tags), many("schemas", ""), many("added_schemas", "+"), many("removed_schemas", "-"))
+    return changes.select("id", "change_type", "url", F.concat_ws(" · ", *line).alias("line"), tags.alias("tags"))
+
+
+def display_type(change_type: Column) -> Column:
+    return F.replace(change_type, F.lit("_"), F.lit(" "))
+
+
+def range_label(days: Column, every: str = "all", custom: str = "range") -> Column:
+    """Label of a time filter: a number of days as text, 0 for all time, or custom."""
+    return F.when(days == "1", "24h").when(days == "0", every).when(days == "custom", custom).otherwise(F.concat(days, F.lit("d")))

@@ -6,6 +6,8 @@ Inputs are tables of fetched documents, so that everything here is a plan; fetch
 from __future__ import annotations
 
 import gzip
+from collections.abc import Callable
+from functools import lru_cache
 from urllib.robotparser import RobotFileParser
 
 import pandas as pd
@@ -28,30 +30,29 @@ FEED_PATHS = (
 # ---------------------------------------------------------------- robots
 
 
+@lru_cache(maxsize=10_000)
+def _rules(body: str) -> RobotFileParser:
+    parser = RobotFileParser()
+    parser.parse(body.splitlines())
+    return parser
+
+
+def _read_robots(body: pd.Series) -> pd.DataFrame:
+    got = [_rules(text) if text else None for text in body]
+    return pd.DataFrame({
+        "crawl_delay": pd.array([r.crawl_delay("*") if r else None for r in got], "Int32"),
+        "sitemaps": [(r.site_maps() or []) if r else [] for r in got],
+    })
+
+
 def robots_rules(robots: DataFrame) -> DataFrame:
-    """netloc, crawl_delay (whole seconds or null), sitemaps, body of each robots document (netloc, body)."""
-    delay = F.regexp_extract("body", r"(?im)^\s*crawl-delay:\s*([0-9]+)\s*(?:#.*)?$", 1)
-    return robots.select(
-        "netloc",
-        F.when(delay != "", delay.cast("int")).alias("crawl_delay"),
-        F.regexp_extract_all("body", F.lit(r"(?im)^\s*sitemap:\s*(\S+)"), F.lit(1)).alias("sitemaps"),
-        "body",
-    )
+    """netloc, crawl_delay (whole seconds for any agent, or null), sitemaps, body of each robots document (netloc, body)."""
+    read = F.pandas_udf(_read_robots, "struct<crawl_delay:int,sitemaps:array<string>>")
+    return robots.select("netloc", read("body").alias("r"), "body").select("netloc", "r.crawl_delay", "r.sitemaps", "body")
 
 
 def _allowed(body: pd.Series, url: pd.Series) -> pd.Series:
-    parsers: dict[str, RobotFileParser] = {}
-    out = []
-    for text, u in zip(body, url, strict=True):
-        if not text or u is None:
-            out.append(True)
-            continue
-        if text not in parsers:
-            parsers[text] = parser = RobotFileParser()
-            parser.parse(text.splitlines())
-            parser.modified()
-        out.append(parsers[text].can_fetch("*", u))
-    return pd.Series(out)
+    return pd.Series([not text or u is None or _rules(text).can_fetch("*", u) for text, u in zip(body, url, strict=True)])
 
 
 def can_fetch(urls: DataFrame, robots: DataFrame, to: str = "allowed") -> DataFrame:
@@ -62,9 +63,11 @@ def can_fetch(urls: DataFrame, robots: DataFrame, to: str = "allowed") -> DataFr
     return got.withColumn(to, F.pandas_udf(_allowed, "boolean")("_rules", "url")).drop("_netloc", "_rules")
 
 
-def effective_delay(default: Column, crawl_delay: Column) -> Column:
-    """Seconds between requests to a host: the larger of the setting and the host's own wish."""
-    return F.greatest(default, F.coalesce(crawl_delay.cast("double"), F.lit(0.0)))
+def with_delay(urls: DataFrame, robots: DataFrame, default: float) -> DataFrame:
+    """``urls`` with the seconds between requests to their host: the larger of the setting and the host's own wish."""
+    own = robots_rules(robots).groupBy(F.col("netloc").alias("_netloc")).agg(F.max("crawl_delay").alias("_delay"))
+    got = urls.withColumn("_netloc", netloc(F.col("url"))).join(own, "_netloc", "left")
+    return got.withColumn("delay", F.greatest(F.lit(float(default)), F.coalesce(F.col("_delay").cast("double"), F.lit(0.0)))).drop("_netloc", "_delay")
 
 
 # ---------------------------------------------------------------- sitemaps
@@ -78,8 +81,9 @@ def sitemap_candidates(sites: DataFrame, robots: DataFrame) -> DataFrame:
         F.concat(F.lit("https://www."), d, F.lit("/sitemap_index.xml")),
         F.concat(F.lit("https://"), d, F.lit("/sitemap.xml")),
     )
-    named = robots_rules(robots).select(F.regexp_replace("netloc", r"^www\.", "").alias("domain"), F.col("sitemaps").alias("named"))
-    named = named.groupBy("domain").agg(F.flatten(F.collect_list("named")).alias("named"))
+    host = F.struct(~F.col("netloc").startswith("www."), "netloc")  # the www host's first
+    named = robots_rules(robots).select(F.regexp_replace("netloc", r"^www\.", "").alias("domain"), F.struct(host.alias("host"), F.col("sitemaps").alias("own")).alias("s"))
+    named = named.groupBy("domain").agg(F.array_sort(F.collect_list("s")).alias("s")).select("domain", F.flatten("s.own").alias("named"))
     empty = F.array().cast("array<string>")
     every = F.array_distinct(F.concat(F.coalesce("sitemaps", empty), F.coalesce("named", empty), usual))
     return sites.join(named, "domain", "left").select("domain", F.posexplode(every).alias("pos", "url"))
@@ -127,10 +131,12 @@ def parse_sitemaps(documents: DataFrame) -> DataFrame:
     )
 
 
-def sitemap_urls(candidates: DataFrame, documents: DataFrame, max_urls: int = 10_000) -> DataFrame:
-    """(domain, url, lastmod, ordinal) of all urls that the candidates and their children list, first mention first.
+def sitemap_urls(candidates: DataFrame, documents: DataFrame, max_urls: int = 10_000, wanted: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(domain, url, lastmod, ordinal) of the urls that the candidates and their children list, first mention first.
 
-    Indexes are followed to ``MAX_DEPTH`` levels below a candidate; each level is one join with the parsed documents.
+    Indexes are followed to ``MAX_DEPTH`` levels below a candidate; each level is one join with the parsed documents. A candidate
+    and its children give ``max_urls`` entries at most, wanted or not; ``wanted`` filters what is left, and of that a domain keeps
+    ``max_urls``.
     """
     parsed = parse_sitemaps(documents)
     level = candidates.select("domain", F.col("url").alias("doc"), F.array(F.col("pos").cast("bigint")).alias("path"))
@@ -142,10 +148,13 @@ def sitemap_urls(candidates: DataFrame, documents: DataFrame, max_urls: int = 10
         level = at.select("domain", "path", F.posexplode("children").alias("k", "doc"))
         level = level.select("domain", "doc", F.concat("path", F.array(F.col("k").cast("bigint"))).alias("path"))
     rows = found.select("domain", F.col("u.loc").alias("url"), "u.lastmod", F.concat("path", F.array(F.col("k").cast("bigint"))).alias("path"))
+    entry = F.row_number().over(W.partitionBy("domain", F.get("path", 0)).orderBy("path"))
+    rows = rows.withColumn("entry", entry).filter(F.col("entry") <= max_urls).drop("entry")
     # A url's first mention is an aggregate, so a url that many documents list does not gather anywhere.
     first = rows.groupBy("domain", "url").agg(F.min("path").alias("path"), F.min_by("lastmod", "path").alias("lastmod"))
+    first = wanted(first) if wanted else first
     order = F.row_number().over(W.partitionBy("domain").orderBy("path"))
-    return first.withColumn("ordinal", order.cast("bigint")).filter(F.col("ordinal") <= max_urls).drop("path")
+    return first.withColumn("ordinal", order.cast("bigint")).filter(F.col("ordinal") <= max_urls).select("domain", "url", "lastmod", "ordinal")
 
 
 def filter_patterns(urls: DataFrame, sites: DataFrame) -> DataFrame:
@@ -170,14 +179,19 @@ def looks_like_feed(content_type: Column, body: Column) -> Column:
     return out
 
 
+def feed_places(sites: DataFrame) -> DataFrame:
+    """(domain, pos, url, own): the configured feeds in their order, or the usual places where a site has none."""
+    own = F.coalesce(F.size("feeds"), F.lit(0)) > 0
+    usual = F.transform(F.array(*(F.lit(p) for p in FEED_PATHS)), lambda p: F.concat(F.lit("https://www."), F.col("domain"), p))
+    return sites.withColumn("_own", own).select("domain", F.posexplode(F.when(own, F.col("feeds")).otherwise(usual)).alias("pos", "url"), F.col("_own").alias("own"))
+
+
 def discover_feeds(sites: DataFrame, documents: DataFrame) -> DataFrame:
-    """(domain, url): the configured feeds, else the first usual place whose document (url, content_type, body) is one."""
-    configured = sites.select("domain", F.explode("feeds").alias("url"))
-    places = F.array(*(F.lit(p) for p in FEED_PATHS))
-    probes = sites.filter(F.coalesce(F.size("feeds"), F.lit(0)) == 0).select("domain", F.posexplode(places).alias("pos", "path"))
-    probes = probes.withColumn("url", F.concat(F.lit("https://www."), "domain", "path"))
-    good = probes.join(documents.filter(looks_like_feed(F.col("content_type"), F.col("body"))), "url")
-    return configured.unionByName(good.groupBy("domain").agg(F.min_by("url", "pos").alias("url")))
+    """(domain, pos, url): the configured feeds, else the first usual place whose document (url, content_type, body) is one."""
+    places = feed_places(sites)
+    good = places.filter(~F.col("own")).join(documents.filter(looks_like_feed(F.col("content_type"), F.col("body"))), "url")
+    found = good.groupBy("domain").agg(F.lit(0).alias("pos"), F.min_by("url", "pos").alias("url"))
+    return places.filter("own").select("domain", "pos", "url").unionByName(found)
 
 
 _RSS = "channel struct<item:array<struct<title:string,link:string,pubDate:string,description:string>>>, item array<struct<title:string,link:string,description:string,date:string>>"
@@ -188,10 +202,11 @@ _ATOM = (
 
 
 def feed_entries(feeds: DataFrame, documents: DataFrame) -> DataFrame:
-    """(domain, url, title, published, summary): the first ``MAX_ENTRIES`` entries of each feed, each url once."""
+    """(domain, url, title, published, summary, ordinal): the first ``MAX_ENTRIES`` entries of each feed, each url once, where it
+    stands first in the order of the feeds."""
     options = {"ignoreNamespace": "true"}
     docs = feeds.join(documents.select("url", "body"), "url").select(
-        "domain", F.col("url").alias("feed"), F.from_xml("body", _RSS, options).alias("rss"), F.from_xml("body", _ATOM, options).alias("atom")
+        "domain", F.col("pos").cast("bigint").alias("pos"), F.from_xml("body", _RSS, options).alias("rss"), F.from_xml("body", _ATOM, options).alias("atom")
     )
     empty = F.array().cast("array<struct<url:string,title:string,published:string,summary:string>>")
     none = F.lit(None).cast("string")
@@ -208,12 +223,12 @@ def feed_entries(feeds: DataFrame, documents: DataFrame) -> DataFrame:
 
     atom = F.transform("atom.entry", lambda x: entry(href(x["link"]), x["title"]["_VALUE"], F.coalesce(x["published"], x["updated"]), x["summary"]))
     items = F.slice(F.concat(F.coalesce(rss, empty), F.coalesce(rdf, empty), F.coalesce(atom, empty)), 1, MAX_ENTRIES)
-    rows = docs.select("domain", "feed", F.posexplode(items).alias("k", "e"))
-    rows = rows.select("domain", "feed", "k", F.trim("e.url").alias("url"), "e.title", F.coalesce("e.published", none).alias("published"), "e.summary")
+    rows = docs.select("domain", "pos", F.posexplode(items).alias("k", "e"))
+    rows = rows.select("domain", (F.col("pos") * MAX_ENTRIES + F.col("k")).alias("ordinal"), F.trim("e.url").alias("url"), "e.title", F.coalesce("e.published", none).alias("published"), "e.summary")
     rows = rows.filter(F.coalesce("url", F.lit("")) != "")
     text = F.coalesce("summary", F.lit(""))
     short = F.when(F.length(text) > SUMMARY_CHARS, F.concat(F.substring(text, 1, SUMMARY_CHARS), F.lit("..."))).otherwise(text)
-    place = F.struct("feed", "k")
     return rows.groupBy("domain", "url").agg(
-        F.min_by(F.coalesce("title", F.lit("")), place).alias("title"), F.min_by("published", place).alias("published"), F.min_by(short, place).alias("summary")
-    )
+        F.min_by(F.coalesce("title", F.lit("")), "ordinal").alias("title"), F.min_by("published", "ordinal").alias("published"),
+        F.min_by(short, "ordinal").alias("summary"), F.min("ordinal").alias("ordinal"),
+    )

@@ -1,8 +1,8 @@
-"""Fetching over HTTP as a Spark data source: polite within a host, parallel across hosts.
+"""Fetching over HTTP: polite within a host, parallel across hosts.
 
-One partition holds one host's urls, in order, so the gaps between requests to a host are kept inside one task. A task
-that is run again fetches its host again; nothing is retried by Spark below that. The transport is a parameter, which is
-also how tests run without a network.
+All urls of a host are in one partition, in order, so the gaps between requests to a host are kept inside one task; responses
+are passed on as they come, so a task holds ``HELD_BYTES`` of them and one more. A task that is run again fetches its hosts again;
+nothing is retried by Spark below that. The transport is a parameter, which is also how tests run without a network.
 """
 
 from __future__ import annotations
@@ -16,13 +16,14 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import netloc
 
 RETRY_STATUS = (429, 500, 502, 503, 504)
-REDIRECTS = (301, 302, 307, 308)
+HELD_BYTES = 8 << 20
+HELD_ROWS = 256
 AGENTS = tuple(
     f"Mozilla/5.0 ({system}) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/{version}.0.0.0 Safari/537.36"
     for system in ("Windows NT 10.0; Win64; x64", "Macintosh; Intel Mac OS X 10_15_7", "X11; Linux x86_64", "Windows NT 11.0; Win64; x64")
@@ -31,6 +32,8 @@ AGENTS = tuple(
 FETCHED = "url string, status_code int, content_type string, x_robots string, final_url string, body binary"
 STATUS = "url string, status_code int, redirect_to string, noindex boolean, x_robots string"
 
+_CHARSET = re.compile(r"(?i)charset\s*=\s*[\"']?([\w.:-]+)")
+
 
 @dataclass
 class Response:
@@ -77,13 +80,14 @@ class Client:
     clock: Callable[[], float] = time.monotonic
     last: dict[str, float] = field(default_factory=dict)
 
-    def wait(self, host: str) -> None:
-        if host in self.last and (rest := self.last[host] + self.delay - self.clock()) > 0:
+    def wait(self, host: str, delay: float) -> None:
+        if host in self.last and (rest := self.last[host] + delay - self.clock()) > 0:
             self.sleep(rest)
         self.last[host] = self.clock()
 
-    def get(self, url: str) -> Response | None:
-        self.wait(re.sub(r"^\w+://([^/?#]*).*", r"\1", url, flags=re.S))
+    def get(self, url: str, delay: float | None = None) -> Response | None:
+        """``delay``: the seconds that this url's host asks for; the client's own delay is the least."""
+        self.wait(re.sub(r"^\w+://([^/?#]*).*", r"\1", url, flags=re.S), max(self.delay, delay or 0.0))
         for attempt in range(self.retries + 1):
             try:
                 got = self.transport(url, random.choice(AGENTS), self.timeout)
@@ -108,31 +112,56 @@ def status_of(url: str, got: Response | None) -> tuple:
     return (url, got.first_status or got.status, got.url if got.url != url else None, noindex, robots)
 
 
-def _by_host(urls: DataFrame, work, schema: str) -> DataFrame:
-    hosts = urls.select("url", F.coalesce(netloc(F.col("url")), F.lit("")).alias("host")).distinct()
-    return hosts.groupBy("host").applyInPandas(work, schema)
+def decoded(content_type: Column, body: Column) -> Column:
+    """The text of a body: in the charset that the content type names, else UTF-8; what cannot be read becomes U+FFFD."""
+
+    @F.pandas_udf("string")
+    def read(types: pd.Series, bodies: pd.Series) -> pd.Series:
+        out = []
+        for kind, raw in zip(types, bodies, strict=True):
+            named = _CHARSET.search(kind or "")
+            try:
+                out.append(None if raw is None else raw.decode(named[1] if named else "utf-8", "replace"))
+            except LookupError:
+                out.append(raw.decode("utf-8", "replace"))
+        return pd.Series(out, dtype=object)
+
+    return read(content_type, body)
+
+
+def _by_host(urls: DataFrame, one: Callable[[Client, str, float | None], tuple | None], make_client: Callable[[], Client], schema: str) -> DataFrame:
+    delay = F.col("delay").cast("double") if "delay" in urls.columns else F.lit(None).cast("double")
+    rows = urls.filter(F.col("url").isNotNull()).select("url", F.coalesce(netloc(F.col("url")), F.lit("")).alias("host"), delay.alias("delay"))
+    rows = rows.groupBy("host", "url").agg(F.max("delay").alias("delay")).repartition("host").sortWithinPartitions("host", "url")
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client, held, size = make_client(), [], 0
+        frame = lambda rows: pd.DataFrame(rows, columns=names).astype({"status_code": "Int64"})
+        for batch in batches:
+            for url, delay in zip(batch["url"], batch["delay"], strict=True):
+                if (got := one(client, url, None if pd.isna(delay) else delay)) is not None:
+                    held.append(got)
+                    size += sum(len(x) for x in got if isinstance(x, bytes))
+                if size > HELD_BYTES or len(held) >= HELD_ROWS:
+                    yield frame(held)
+                    held, size = [], 0
+        yield frame(held)
+
+    return rows.mapInPandas(work, schema)
 
 
 def fetch(urls: DataFrame, make_client: Callable[[], Client] = Client) -> DataFrame:
-    """A row for each url that was fetched; urls that failed have none."""
+    """A row for each of ``urls`` (url; delay, if there is one) that was fetched; urls that failed have none."""
 
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        client, out = make_client(), []
-        for url in sorted(rows["url"].dropna()):
-            if (got := client.get(url)) is not None:
-                out.append((url, got.status, got.headers.get("content-type", ""), got.headers.get("x-robots-tag"), got.url, got.body))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in FETCHED.split(", ")])
+    def one(client: Client, url: str, delay: float | None) -> tuple | None:
+        got = client.get(url, delay)
+        if got is not None:
+            return (url, got.status, got.headers.get("content-type", ""), got.headers.get("x-robots-tag"), got.url, got.body)
 
-    return _by_host(urls, work, FETCHED)
+    return _by_host(urls, one, make_client, FETCHED)
 
 
 def check_status(urls: DataFrame, make_client: Callable[[], Client] = Client) -> DataFrame:
     """Status rows for urls that went missing; failures have null statuses."""
-
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        client = make_client()
-        out = [status_of(u, client.get(u)) for u in sorted(rows["url"].dropna())]
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in STATUS.split(", ")])
-        return frame.astype({"status_code": "Int64"})
-
-    return _by_host(urls, work, STATUS)
+    return _by_host(urls, lambda client, url, delay: status_of(url, client.get(url, delay)), make_client, STATUS)

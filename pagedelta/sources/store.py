@@ -1,21 +1,24 @@
 """Versioned snapshots and the changelog, as Parquet.
 
-A run writes a new version and then turns a pointer, so a reader sees the old state or the new one, never half of it, and
-a run that died can be repeated: it writes the same version again. Events are written before the pointer turns.
+A run writes a new version and then its pointer, a file of its own that appears by one rename and is never replaced. The
+pointer with the largest number counts, so a reader sees the old state or the new one, never half of it, and wherever a run dies
+it can be repeated: it writes the same version again. Events are written before the pointer.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .. import schemas
 
+_POINTER = re.compile(r"run=(\d+)\.json")
+
 
 class Store:
     def __init__(self, spark: SparkSession, root: str) -> None:
@@ -26,24 +29,30 @@ class Store:
         at = jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
 
+    def _pointers(self) -> list[int]:
+        fs, at = self._fs(f"{self.root}/pointer")
+        if not fs.exists(at):
+            return []
+        found = (_POINTER.fullmatch(f.getPath().getName()) for f in fs.listStatus(at))
+        return sorted(int(m[1]) for m in found if m)
+
     def pointer(self) -> dict:
         """{"run": last committed run, "run_ts": its time}; run 0 before the first."""
-        path = f"{self.root}/current.json"
-        fs, at = self._fs(path)
-        if not fs.exists(at):
+        runs = self._pointers()
+        if not runs:
             return {"run": 0, "run_ts": None}
-        rows = self.spark.read.text(path).collect()
-        return json.loads(rows[0][0])
+        return json.loads(self.spark.read.text(f"{self.root}/pointer/run={runs[-1]}.json").collect()[0][0])
 
     def _turn(self, run: int, run_ts: datetime) -> None:
-        path = f"{self.root}/current.json"
-        fs, at = self._fs(path)
-        _, new = self._fs(f"{path}.new")
+        fs, new = self._fs(f"{self.root}/pointer/run={run}.json.new")
+        _, at = self._fs(f"{self.root}/pointer/run={run}.json")
         out = fs.create(new, True)
         out.write(bytearray(json.dumps({"run": run, "run_ts": run_ts.isoformat()}).encode()))
         out.close()
-        fs.delete(at, False)
-        fs.rename(new, at)
+        if not fs.rename(new, at) and not fs.exists(at):
+            raise OSError(f"run {run} could not be committed")
+        for old in self._pointers()[:-2]:
+            fs.delete(self._fs(f"{self.root}/pointer/run={old}.json")[1], False)
 
     def _read(self, path: str, ddl: str) -> DataFrame:
         fs, at = self._fs(path)
@@ -51,6 +60,16 @@ class Store:
             return self.spark.createDataFrame([], ddl)
         return self.spark.read.schema(ddl).parquet(path)
 
+    def work(self, df: DataFrame, name: str) -> DataFrame:
+        """Write an intermediate table of the run in progress and read it back."""
+        path = f"{self.root}/work/run={self.pointer()['run'] + 1}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear_work(self) -> None:
+        fs, at = self._fs(f"{self.root}/work")
+        fs.delete(at, True)
+
     def load_state(self) -> DataFrame:
         """Page states of the last committed run."""
         return self._read(f"{self.root}/pages/run={self.pointer()['run']}", schemas.PAGE_STATE)
@@ -58,10 +77,22 @@ class Store:
     def load_sites(self) -> DataFrame:
         return self._read(f"{self.root}/sites/run={self.pointer()['run']}", schemas.SITES)
 
-    def load_changes(self) -> DataFrame:
-        """Events of all committed runs, with their run."""
-        got = self._read(f"{self.root}/changes", schemas.CHANGES + ", run int")
-        return got.filter(F.col("run") <= self.pointer()["run"])
+    def load_changes(self, max_entries: int | None = None) -> DataFrame:
+        """Events of the committed runs, with their run; the newest ``max_entries`` of them if that is given."""
+        got = self._read(f"{self.root}/changes", schemas.CHANGES + ", run int").filter(F.col("run") <= self.pointer()["run"])
+        return got if max_entries is None else retained(got, max_entries)
+
+    def prune(self, max_entries: int) -> list[int]:
+        """Delete runs of the changelog of which none of the newest ``max_entries`` events are; returns their numbers."""
+        sizes = self.load_changes().groupBy("run").count().collect()  # a row for each run
+        newer, gone = 0, []
+        for run, n in sorted(sizes, reverse=True):
+            if newer >= max_entries:
+                fs, at = self._fs(f"{self.root}/changes/run={run}")
+                fs.delete(at, True)
+                gone.append(run)
+            newer += n
+        return gone
 
     def save(self, changes: DataFrame, state: DataFrame, sites: Callable[[DataFrame], DataFrame], run_ts: datetime) -> int:
         """Write a run and turn the pointer. ``sites`` makes the sites table from the state as it was written."""
@@ -76,7 +107,7 @@ class Store:
     def publish(self, target: str, max_entries: int) -> None:
         """The two JSON artefacts of a run: the sites with their totals, and the retained changelog."""
         self.load_sites().coalesce(1).write.mode("overwrite").json(f"{target}/state")
-        retained(self.load_changes(), max_entries).coalesce(1).write.mode("overwrite").json(f"{target}/changes")
+        self.load_changes(max_entries).coalesce(1).write.mode("overwrite").json(f"{target}/changes")
 
 
 def retained(log: DataFrame, max_entries: int, newest: tuple[str, ...] = ("run",), tie: tuple[str, ...] = ("domain", "url", "change_type", "id")) -> DataFrame:
@@ -85,8 +116,8 @@ def retained(log: DataFrame, max_entries: int, newest: tuple[str, ...] = ("run",
 
 
 def import_changes(spark: SparkSession, path: str) -> DataFrame:
-    """A changelog kept as a JSON array."""
-    got = spark.read.schema(schemas.CHANGES).option("multiLine", True).json(path)
+    """A changelog kept as a JSON array, or as JSON lines as ``Store.publish`` writes them."""
+    got = spark.read.schema(schemas.CHANGES + ", run int").option("multiLine", not path.endswith("/changes")).json(path)
     return got.filter(F.col("id").isNotNull())
 
 
@@ -94,8 +125,3 @@ def total_urls(state: DataFrame, sites: DataFrame) -> DataFrame:
     """Sites with the number of urls in their state, those under the removal threshold included."""
     n = state.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
     return sites.join(n, "domain", "left").select("domain", "name", F.coalesce("n", F.lit(0)).cast("bigint").alias("total_urls_discovered"))
-
-
-def latest_versions(log: DataFrame, keys: tuple[str, ...], by: str) -> DataFrame:
-    """The last row of each key."""
-    return log.withColumn("_k", F.row_number().over(W.partitionBy(*keys).orderBy(F.col(by).desc()))).filter("_k = 1").drop("_k")
