@@ -5,9 +5,14 @@ alone does not reach that similarity: fingerprints of pairs at 0.8 to 0.9 differ
 
 Candidates come from a prefix filter: in whatever order all shingles are put, sets of similarity t share one among the first
 n - ceil(t * n) + 1 of each. Common shingles, known from a sample, are put last, so that few sets meet in a common line; the sample
-changes the work and not the result. Sets that meet in a shingle are first compared with the least and the greatest of them; then
-all pairs are that are not yet in one component. What a pair shares of its prefixes bounds what it can share, and pairs that cannot
-be similar enough are not compared. Every link by similarity is confirmed on the whole sets.
+changes the work and not the result. Sets that meet in a shingle are first compared with the least and the greatest of them. What
+a pair shares of its prefixes bounds what it can share, and pairs that cannot be similar enough are not compared.
+
+A pair's sets need not be fetched to see that they differ: bit k of a parity signature is the parity of the elements that hash to k,
+so the signatures of two sets differ in at most as many bits as the sets differ in elements. What still lies in several components
+is searched by signatures alone: sets that meet in a shingle are compared, a block of ``SHARD`` with a block at a time, and only
+pairs whose signatures are near enough, and whose components differ, become rows. Every link by similarity is confirmed on the
+whole sets.
 
 Defined results: as in ``simhash``; a text of fewer than five words has one shingle, the whole text. Equal texts are one vertex,
 named by the XXH64 of the text.
@@ -15,12 +20,15 @@ named by the XXH64 of the text.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import checkpointed, let, staged
+from .common import batches_of, checkpointed, let, staged
 
 SHINGLE = 5
 # The similarity as a fraction, 4 / 5.
@@ -28,6 +36,11 @@ NUM, DEN = 4, 5
 SAMPLE = 10_000
 MAX_COMMON = 200_000
 TABLE_BITS = 1 << 22
+SIGNATURE_BITS = 512
+WIDE_BITS = 8192
+SHARD = 4096
+BLOCK = 64
+CHUNK = 100_000
 
 
 def _common(docs: DataFrame, text: Column) -> Column | None:
@@ -66,28 +79,104 @@ def _prefix(hashes: Column, common: Column | None) -> Column:
 
 
 def _alike(pairs: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of (a, b, na, nb), a row for each shingle of both prefixes, that can be similar enough.
+    """Distinct pairs (a, b, na, nb) of for each shingle of both prefixes, that can be similar enough.
 
     Past the prefix that ends first a pair shares at most what is left of its set.
     """
     pairs = pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count(F.lit(1)).alias("c"))
     rest = F.floor((NUM * F.greatest("na", "nb") + (DEN - 1)) / DEN) - 1
     can = (NUM + DEN) * (F.col("c") + rest) >= NUM * (F.col("na") + F.col("nb"))
-    return pairs.filter(can & (DEN * F.least("na", "nb") >= NUM * F.greatest("na", "nb"))).select("a", "b")
+    return pairs.filter(can & (DEN * F.least("na", "nb") >= NUM * F.greatest("na", "nb")))
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
-    """Those pairs (a, b) whose sets are similar enough."""
-    pairs = checkpointed(pairs)
-    asked = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+def _near_enough(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b, na, nb) whose signatures, of ``marks`` (key, bits), do not rule them out."""
+    of = lambda key, to: marks.select(F.col("key").alias(key), F.col("bits").alias(to))
+    apart = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, k: n + k)
+    pairs = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b")
+    return pairs.filter((NUM + DEN) * apart <= (DEN - NUM) * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
+
+
+def _shingles_of(pairs: DataFrame, docs: DataFrame, text: Column) -> tuple[DataFrame, Column]:
+    """(key, words) of the texts of the pairs, a row for each copy, and the hashes of their shingles."""
+    keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    keys = staged(keys, "near-copies-keys")  # at hand with its size before Spark chooses how to join
     words, _ = simhash.shingle_hashes(F.col("text"))
     _, hashes = simhash.shingle_hashes(F.col("text"), SHINGLE)
-    sets = docs.select(F.xxhash64(text).alias("key"), text.alias("text")).join(asked, "key", "left_semi").dropDuplicates(["key"])
-    sets = staged(sets.select("key", words.alias("words")).select("key", F.array_distinct(hashes).alias("s")), "near-copies-sets")
-    of_a = sets.select(F.col("key").alias("a"), F.col("s").alias("sa"))
-    of_b = sets.select(F.col("key").alias("b"), F.col("s").alias("sb"))
-    both, all_ = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
-    return pairs.join(of_a, "a").join(of_b, "b").filter((NUM + DEN) * both >= NUM * all_).select("a", "b")
+    rows = docs.select(F.xxhash64(text).alias("key"), text.alias("text")).join(keys, "key", "left_semi")
+    return rows.select("key", words.alias("words")), hashes
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
+    """Those pairs (a, b, na, nb) whose sets are similar enough, after wide signatures have ruled out most of the others."""
+    pairs = staged(pairs, "near-copies-pairs")
+    rows, hashes = _shingles_of(pairs, docs, text)
+    with batches_of(docs.sparkSession, simhash.ARROW_ROWS):
+        wide = staged(rows.select("key", signatures(hashes, WIDE_BITS).alias("bits")).groupBy("key").agg(F.first("bits").alias("bits")), "near-copies-wide")
+    pairs = staged(_near_enough(pairs, wide), "near-copies-pairs")
+    rows, hashes = _shingles_of(pairs, docs, text)
+    sets = staged(rows.select("key", F.array_distinct(hashes).alias("s")).groupBy("key").agg(F.first("s").alias("s")), "near-copies-sets")
+    of = lambda key, to: sets.select(F.col("key").alias(key), F.col("s").alias(to))
+    both, all_ = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
+    return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").filter((NUM + DEN) * both >= NUM * all_).select("a", "b")
+
+
+def signatures(hashes: Column, width: int = SIGNATURE_BITS) -> Column:
+    """Parity signatures, as longs, of the sets of 64-bit hashes in lists."""
+
+    @F.pandas_udf("array<long>")
+    def parity(lists: pd.Series) -> pd.Series:
+        out = []
+        for s in lists:
+            odd = np.bincount(np.unique(s).astype(np.int64) & (width - 1), minlength=width) & 1
+            out.append(np.packbits(odd.astype(bool)).view(np.int64))
+        return pd.Series(out, dtype=object)
+
+    return parity(hashes)
+
+
+def _near(rows: pd.DataFrame) -> pd.DataFrame:
+    """Pairs (a, b, na, nb) of one unit whose sets can be similar enough; a has the larger key."""
+    key, n, root = (rows[c].to_numpy(np.int64) for c in ("key", "n", "root"))
+    bits = np.stack(rows["bits"].to_list()).astype(np.int64).view(np.uint64)
+    member = rows["member"].to_numpy(bool)
+    of = np.flatnonzero(member)
+    asks = of if member.all() else np.flatnonzero(~member)
+    found = [np.zeros((2, 0), np.int64)]
+    for k in range(0, len(asks), BLOCK):
+        q = asks[k : k + BLOCK]
+        size = n[q][:, None] + n[of][None, :]
+        can = root[q][:, None] != root[of][None, :]
+        can &= DEN * np.minimum(n[q][:, None], n[of][None, :]) >= NUM * np.maximum(n[q][:, None], n[of][None, :])
+        x, y = np.nonzero(can)
+        # Sets that are similar enough differ in at most the ninth part of their sizes' sum, for 4 / 5.
+        near = np.bitwise_count(bits[q[x]] ^ bits[of[y]]).sum(1, dtype=np.int64) * (NUM + DEN) <= (DEN - NUM) * size[x, y]
+        found.append(np.stack([q[x[near]], of[y[near]]]))
+    a, b = np.concatenate(found, 1)
+    a, b = np.where(key[a] > key[b], a, b), np.where(key[a] > key[b], b, a)
+    return pd.DataFrame({"a": key[a], "b": key[b], "na": n[a], "nb": n[b]})
+
+
+def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows in the order of their units to pairs; a task holds the rows of one unit, or ``CHUNK`` of many."""
+    held: list[pd.DataFrame] = []
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        edge = np.flatnonzero(np.diff(rows["unit"].to_numpy())) + 1
+        cuts = [0, *edge, len(rows)]
+        got = [_near(rows.iloc[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True) if j - i > 1]
+        return pd.concat([pd.DataFrame(columns=["a", "b", "na", "nb"], dtype=np.int64), *got]).drop_duplicates()
+
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= CHUNK:
+            rows = pd.concat(held)
+            last = (rows["unit"] == rows["unit"].iloc[-1]).to_numpy()
+            held = [rows[last]]
+            if not last.all():
+                yield work(rows[~last])
+    if held:
+        yield work(pd.concat(held))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -97,9 +186,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     words, fours = simhash.shingle_hashes(text)
     _, fives = simhash.shingle_hashes(text, SHINGLE)
     rows = docs.select(F.col(id_col).alias("doc_id"), key.alias("key"), words.alias("words"))
-    # In two passes, of which one needs Python and the other memory for the sets.
+    # In three passes, of which one needs memory for the sets and the others for lists on their way to Python.
     prefixes = staged(rows.select("key", _prefix(fives, _common(docs, text)).alias("p")), "near-copies-prefixes")
-    rows = staged(rows.select("doc_id", "key", simhash.fingerprint(fours).alias("fp")), "near-copies")
+    with batches_of(docs.sparkSession, simhash.ARROW_ROWS):
+        bits = staged(rows.select("key", signatures(fives).alias("bits")).groupBy("key").agg(F.first("bits").alias("bits")), "near-copies-bits")
+        rows = staged(rows.select("doc_id", "key", simhash.fingerprint(fours).alias("fp")), "near-copies")
 
     # What op8 links, as links between keys.
     fps = staged(rows.groupBy("fp").agg(F.min("key").alias("least")), "near-copies-fps")
@@ -120,19 +211,20 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
 
     first = _alike(ends("lo")).unionByName(_alike(ends("hi"))).distinct()
-    edges = edges.unionByName(_confirmed(first, docs, text)).filter("a <> b")
+    edges = edges.unionByName(_confirmed(_near_enough(first, bits), docs, text)).filter("a <> b")
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = checkpointed(edges)
     roots = simhash.components(edges)
 
-    # All pairs that meet and are not yet connected.
+    # What meets and is not yet connected.
     left = met.join(roots.select(F.col("v").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    left = left.withColumns({"r0": F.min("root").over(same), "r1": F.max("root").over(same)}).filter("r0 < r1")
-    left = staged(left.select("h", "key", "n", "root"), "near-copies-left")
-    x = left.select("h", F.col("key").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    y = left.select("h", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    new = (F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb")) & (DEN * F.least("na", "nb") >= NUM * F.greatest("na", "nb"))
-    more = checkpointed(_confirmed(_alike(x.join(y, "h").filter(new)), docs, text))
+    # Shingles that the same sets have are one group, named by sums over its sets; two groups of one name would be searched as one.
+    alike = F.xxhash64(F.sum(F.xxhash64("key") % F.lit(1 << 40)).over(same), F.bit_xor(F.xxhash64("key", F.lit(1))).over(same), F.count(F.lit(1)).over(same))
+    left = left.withColumns({"r0": F.min("root").over(same), "r1": F.max("root").over(same), "group": alike}).filter("r0 < r1")
+    left = staged(left.select("group", "key", "n", "root").distinct(), "near-copies-left")
+    units = simhash.units(left.join(bits, "key"), ("key", "n", "root", "bits"), SHARD)
+    more = units.repartition("unit").sortWithinPartitions("unit").mapInPandas(_search, "a long, b long, na long, nb long").distinct()
+    more = checkpointed(_confirmed(more, docs, text))
     if not more.isEmpty():
         roots = simhash.components(edges.unionByName(more).distinct())
 

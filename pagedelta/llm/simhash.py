@@ -3,13 +3,15 @@
 Fingerprints: 64 bits, each the majority over the text's shingle hashes. Texts whose fingerprints differ in at most
 ``RADIUS`` bits are linked; a component is what links connect.
 
-Equal fingerprints are merged first, so copies cost one row. The 64 bits are cut into ``BLOCKS`` runs; a pair within the
-radius agrees on at least two of them, so it meets in a bucket of some pair of runs. Each bucket is a BK-tree: the children of
+Equal fingerprints are merged first, so copies cost one row. The 64 bits are cut into runs, ``radius`` + e of them; a pair within
+the radius agrees on at least e runs, so it meets in the shard of some e runs' bits. Each shard is a BK-tree: the children of
 a node are keyed by their distance to it, and a search for radius r at distance d from a node follows the edges from
-d - r to d + r only. Trees of many buckets are built and searched together, level by level, in arrays. A bucket above
-``SHARD`` members is cut into shards, and every pair of shards is a unit of work of its own, so that no task holds a
-group of unbounded size; nothing is left out. A unit returns a star per local component, not its pairs. Components
-come from hooking each vertex to its least neighbour, contracting, and repeating until no link is left.
+d - r to d + r only. e grows with the number of fingerprints, so that a tree has about ``TREE`` nodes; it changes the work and not
+the result. Trees of many shards are built and searched together, level by level, in arrays. A shard above ``SHARD`` members is
+cut, and every pair of its parts is a unit of work of its own, so that no task holds a group of unbounded size; nothing is left
+out. Trees reach their queries through a shuffle: a broadcast of all trees would collect every fingerprint in the driver. A unit
+returns a star per local component, not its pairs. Components come from hooking each vertex to its least neighbour, contracting,
+and repeating until no link is left.
 
 Defined results: null and wordless texts have fingerprint zero and are linked like any other; rows of equal text are
 one component; a component whose ids are all null has a null id; repeated rows are returned as often as they occur; only
@@ -27,13 +29,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, staged, table, words_of
+from .common import batches_of, checkpointed, staged, table, words_of
 
 SHINGLE = 4
 RADIUS = 4
-BLOCKS = 6
+TREE = 512
+MOST_RUNS = 3
 SHARD = 4096
 CHUNK = 200_000
+ARROW_ROWS = 500
 LANES = np.uint64(0x0101010101010101)
 
 
@@ -135,6 +139,7 @@ class Forest:
         self.kids = np.concatenate(kids) if kids else np.zeros(0, np.int64)
         order = np.argsort(self.keys)
         self.keys, self.kids = self.keys[order], self.kids[order]
+        self.visited = 0
 
     def near(self, tree: np.ndarray, fp: np.ndarray, radius: int, block: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs (query, node) within the radius, a block of queries at a time."""
@@ -145,6 +150,7 @@ class Forest:
             q = asked[k : k + block]
             at = self.roots[place[q]]
             while len(q):
+                self.visited += len(q)
                 d = np.bitwise_count(fp[q] ^ self.fp[at]).astype(np.int64)
                 hit = d <= radius
                 if hit.any():
@@ -170,32 +176,46 @@ def _stars(unit: np.ndarray, fp: np.ndarray, member: np.ndarray, radius: int) ->
     return own[moved], own[label[moved]]
 
 
+def runs(n: int, radius: int, tree: int = TREE) -> tuple[list[int], int]:
+    """The widths of the runs that 64 bits are cut into, and how many of them a pair within the radius is sure to have alike."""
+    for equal in range(1, MOST_RUNS + 1):
+        blocks = radius + equal
+        width = sorted(64 // blocks + (i < 64 % blocks) for i in range(blocks))
+        if n >> sum(width[:equal]) <= tree:
+            break
+    return width, equal
+
+
+def units(rows: DataFrame, of: tuple[str, ...], shard: int) -> DataFrame:
+    """(unit, *of, member): the work of comparing the rows of each ``group`` with one another.
+
+    A group of one row has none. A group of more than ``shard`` rows is cut by a hash of its first column in ``of``. A unit is a pair of shards, of which the
+    second has the members and the first, unless it is the same, is compared with them.
+    """
+    sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    rows = rows.join(sizes, "group")
+    shards = F.ceil(F.col("_n") / shard).cast("int")
+    rows = rows.withColumns({"_shards": shards, "_mine": F.pmod(F.xxhash64(of[0]), shards).cast("int")})
+    mine, none = F.col("_mine"), F.array().cast("array<struct<i:int,j:int,member:boolean>>")
+    pair = lambda i, j, member: F.struct(i.alias("i"), j.alias("j"), F.lit(member).alias("member"))
+    as_member = F.transform(F.sequence(F.lit(0), mine), lambda i: pair(i, mine, True))
+    as_query = F.when(mine + 1 < F.col("_shards"), F.transform(F.sequence(mine + 1, F.col("_shards") - 1), lambda j: pair(mine, j, False))).otherwise(none)
+    rows = rows.select("group", *of, F.explode(F.concat(as_member, as_query)).alias("_u"))
+    return rows.select(F.xxhash64("group", "_u.i", "_u.j").alias("unit"), *of, "_u.member")
+
+
 def links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """(a, b), a > b: links between distinct fingerprints ``fp``, enough of them to connect each component."""
-    width = [64 // BLOCKS + (i < 64 % BLOCKS) for i in range(BLOCKS)]
-    if radius > BLOCKS - 2:
-        raise ValueError(f"{BLOCKS} runs of bits find pairs within {BLOCKS - 2} bits")
-    low = [sum(width[:i]) for i in range(BLOCKS)]
-    run = [F.shiftrightunsigned("fp", low[i]).bitwiseAND(F.lit((1 << width[i]) - 1)) for i in range(BLOCKS)]
-    keys = [
-        F.lit(k << 40).bitwiseOR(F.shiftleft(run[i], 20)).bitwiseOR(run[j])
-        for k, (i, j) in enumerate(combinations(range(BLOCKS), 2))
-    ]
-    rows = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    rows = rows.join(shared, "key")
-    shards = F.ceil(F.col("n") / shard).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), shards).cast("int")
-    rows = rows.withColumns({"shards": shards, "mine": mine})
-    # A unit (key, i, j): the tree of shard j, searched by shard i <= j.
-    as_member = F.transform(F.sequence(F.lit(0), F.col("mine")), lambda i: F.struct(i.alias("i"), F.col("mine").alias("j"), F.lit(True).alias("member")))
-    as_query = F.when(
-        F.col("mine") + 1 < F.col("shards"),
-        F.transform(F.sequence(F.col("mine") + 1, F.col("shards") - 1), lambda j: F.struct(F.col("mine").alias("i"), j.alias("j"), F.lit(False).alias("member"))),
-    ).otherwise(F.array().cast("array<struct<i:int,j:int,member:boolean>>"))
-    units = rows.select("key", "fp", F.explode(F.concat(as_member, as_query)).alias("u")).select(
-        F.xxhash64("key", "u.i", "u.j").alias("unit"), "fp", "u.member"
-    )
+    width, equal = runs(fps.count(), radius)
+    low = [sum(width[:i]) for i in range(len(width))]
+    run = [F.shiftrightunsigned("fp", low[i]).bitwiseAND(F.lit((1 << width[i]) - 1)) for i in range(len(width))]
+    keys = []
+    for k, chosen in enumerate(combinations(range(len(width)), equal)):
+        key = F.lit(k).cast("long")
+        for i in chosen:
+            key = F.shiftleft(key, width[i]).bitwiseOR(run[i])
+        keys.append(key)
+    rows = units(fps.select("fp", F.explode(F.array(*keys)).alias("group")), ("fp",), shard)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -218,8 +238,7 @@ def links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame
         if size:
             yield work(pd.concat(held))
 
-    units = units.repartition("unit").sortWithinPartitions("unit")
-    return units.mapInPandas(search, "a long, b long").distinct()
+    return rows.repartition("unit").sortWithinPartitions("unit").mapInPandas(search, "a long, b long").distinct()
 
 
 def _resolved(parents: DataFrame) -> DataFrame:
@@ -253,7 +272,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """doc_id, fp, component_id (the least id reachable through links)."""
-    rows = staged(fingerprints(docs, id_col, text_col), "simhash")
+    with batches_of(docs.sparkSession, ARROW_ROWS):
+        rows = staged(fingerprints(docs, id_col, text_col), "simhash")
     fps = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     roots = components(links(fps.select("fp"), radius))
     # Only linked fingerprints need a component of their own.

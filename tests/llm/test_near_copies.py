@@ -42,3 +42,36 @@ def test_planted_copies_down_to_the_similarity(spark, sf_dir):
     got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, DOCS).repartition(3), sf_dir).collect()
     assert sorted(r.doc_id for r in got if r.doc_id is not None) == sorted(set(label.values()))
     assert [r.text for r in got if r.doc_id is None] == [texts[0]]
+
+
+def test_signatures_rule_out_no_similar_pair(spark):
+    """Clusters of which few members are linked to the least or the greatest; found by signatures, with shards of a few sets."""
+    import numpy as np
+
+    from pagedelta.llm import near_copies
+
+    rng = random.Random(8)
+    texts = []
+    for _ in range(3):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+        for _ in range(30):
+            copy = list(base)
+            for at in rng.sample(range(150), rng.randrange(2, 7)):
+                copy[at] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    sets = [shingles(t) for t in texts]
+    label = list(range(len(texts)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])) or (brute_fp(texts[a]) ^ brute_fp(texts[b])).bit_count() <= 4:
+                lo, hi = sorted((label[a], label[b]))
+                label = [lo if v == hi else v for v in label]
+    assert 3 < len(set(label)) < len(texts)
+    held, near_copies.SHARD = near_copies.SHARD, 8
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS).repartition(3)
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()}
+    near_copies.SHARD = held
+    assert got == dict(enumerate(label))
+    lists = spark.createDataFrame([([5, 5, 512 + 5, 7],), ([],)], "s array<long>")
+    bits = [np.array(r[0]) for r in lists.select(near_copies.signatures("s")).collect()]
+    assert [sum((int(x) % 2**64).bit_count() for x in b) for b in bits] == [1, 0]
