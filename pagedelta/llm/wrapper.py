@@ -8,12 +8,13 @@ page's text), so that an error page or a second kind of page does not end those
 any length is template that at least nine tenths of the layout's distinct pages have there; in a repeated group, which may hold the
 paragraphs of the article, the layout must have ten distinct pages to tell. Pages without blocks do not count.
 
-Alignment is a fold whose partial results can be aligned with one another, so each task folds its pages by host and layout, and
-partial wrappers meet in two rounds; no task sees all pages of a host. Texts are counted by Spark. Pages and wrappers meet in a
-join that Spark can split, where one host holds a third of the pages.
+Alignment is a fold over the distinct shapes of a layout's pages, in sorted order and in two rounds, so neither the order of the
+pages nor a task that is run again changes a wrapper, and no task sees all pages of a host. Texts are counted by Spark. Pages and
+wrappers meet in a join that Spark can split, where one host holds a third of the pages.
 
-From the blocks of a page the main text takes those in its article (else the main element, else the body), less those in
-elements that are named or classed as menus, notices, forms, adverts, comments and the like, less template text.
+From the blocks of a page the main text takes those in its articles (else the main element, else the body), less those in
+elements that are named or classed as menus, headers, footers, sidebars, notices, adverts, forms or comments, less template text.
+Slots alone do not tell an article from a menu, a footer or an advert that differs from page to page (README).
 
 Defined results: a null or empty page has no text; a null url has no wrapper, its page is read by the other rules
 alone; pages of equal blocks count once towards a template; only page_id, url and html are read; an empty table gives an empty
@@ -30,6 +31,7 @@ from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,12 +39,15 @@ from pyspark.sql import functions as F
 from .common import staged, table
 
 MIN_BODIES = 3
+CELLS = 1 << 20
+SALTS = 32
 # Distinct pages that a layout needs for template texts in a group that repeats, where the paragraphs of articles are too.
 MIN_REPEATED = 10
 # The share of a layout's distinct pages that have a template text: 9 / 10.
 NUM, DEN = 9, 10
 
 # Element names and the words in class, id and role that mark what is not the article.
+LINKED = frozenset("dd div dt li td ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea xmp iframe noembed noframes title".split())
 BLOCK = frozenset(
@@ -54,12 +59,17 @@ SKIP = frozenset(
     "aside button canvas datalist dialog footer form head header iframe input menu nav noscript object audio video script "
     "search select style svg template textarea title".split()
 )
+# Words of a name of menus, headers, footers, sidebars, notices, adverts, forms and comments, and words that may stand beside them: a
+# name of both marks its element ("post-comments"), one with any other word does not ("has-comments", "no-sidebar").
 NOT_ARTICLE = frozenset(
-    "ad ads adv advert adverts advertisement advertising adslot banner breadcrumb breadcrumbs byline comment comments "
-    "commentlist consent cookie cookies disclaimer discussion disqus footer footnav gdpr header login masthead menu menubar "
-    "modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted "
-    "recommended related replies reply respond rail share sharing sidebar sidenav signup skip social sponsor sponsored "
-    "subscribe subscription tagcloud teaser toc toolbar topbar widget widgets".split()
+    "ad ads adv advert adverts advertisement advertising adslot banner breadcrumb breadcrumbs comment comments commentlist "
+    "consent cookie cookies discussion disqus footer footnav gdpr header login masthead menu menubar modal nav navbar navigation "
+    "newsletter notice notices notification overlay paywall popup promo promoted replies reply respond rail sidebar sidenav signup "
+    "sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
+)
+BESIDE = frozenset(
+    "a area bar block bottom box container content fixed form group holder inner item items left list main message outer page "
+    "panel post primary right row secondary section site slot small sticky text the top unit user wrap wrapper".split()
 )
 NOT_ARTICLE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 CLOSES_P = BLOCK - frozenset("html body li dd dt td th tr tbody thead tfoot caption option optgroup summary legend".split())
@@ -92,6 +102,12 @@ class Block:
         return _SPACE.sub(" ", entities.unescape("".join(self.parts))).strip()
 
 
+def _marks(name: str) -> bool:
+    """Whether a class or id names something that is not the article."""
+    words = [w.lower() for w in _NAMES.findall(name)]
+    return any(w in NOT_ARTICLE for w in words) and all(w in NOT_ARTICLE or w in BESIDE for w in words)
+
+
 def _kind(tag: str, attrs: str) -> tuple[str, bool, bool]:
     """Signature, whether it is outside the article, whether it is a main area."""
     skip, main, sign = tag in SKIP, tag == "main", tag
@@ -101,8 +117,7 @@ def _kind(tag: str, attrs: str) -> tuple[str, bool, bool]:
         role = got.get("role", "").lower()
         if named:
             sign = f"{tag}.{_DIGIT.sub('0', named)}"
-            words = {w.lower() for w in _NAMES.findall(named)}
-            skip = skip or tag not in ("html", "body") and bool(words & NOT_ARTICLE)
+            skip = skip or tag not in ("html", "body", "main", "article") and any(_marks(name) for name in named.split())
         skip = skip or role in NOT_ARTICLE_ROLES or "hidden" in got or got.get("aria-hidden") == "true"
         skip = skip or re.search(r"display\s*:\s*none", got.get("style", "")) is not None
         main = main or role == "main" or got.get("itemprop") == "articleBody"
@@ -193,7 +208,7 @@ def blocks(page: str) -> list[Block]:
         if attrs.rstrip().endswith("/") and tag not in BLOCK:
             continue
         # In an article a header holds its title.
-        skip = skip and not (tag == "header" and article and "." not in sign)
+        skip = skip and not (tag == "header" and article)
         stack.append((tag, f"{path}/{sign}" if tag in BLOCK else path, skipped or skip, (article, area)))
     return [b for b in out if b.text]
 
@@ -202,16 +217,12 @@ def chosen(found: list[Block], template: dict[str, list[int]] | None = None) ->
     """Texts of the blocks that make the main text. ``template``: path to checksums of its template texts."""
     kept = [b for b in found if not b.skip]
     for which in (0, 1):
-        sizes: dict[int, int] = {}
-        for b in kept:
-            if b.area[which]:
-                sizes[b.area[which]] = sizes.get(b.area[which], 0) + len(b.text)
-        if sizes:
-            best = max(sizes, key=lambda k: (sizes[k], -k))
-            kept = [b for b in kept if b.area[which] == best]
+        if any(b.area[which] for b in kept):
+            kept = [b for b in kept if b.area[which]]
             break
     else:
-        kept = [b for b in kept if 2 * b.linked < len("".join(b.parts))]
+        # Without either, a list entry or cell that is mostly links belongs to a menu.
+        kept = [b for b in kept if b.path.rpartition("/")[2].partition(".")[0] not in LINKED or 2 * b.linked < len("".join(b.parts))]
     return [b.text for b in kept if not template or crc32(b.text.encode()) not in template.get(b.path, ())]
 
 
@@ -227,9 +238,23 @@ def wrap(found: list[Block]) -> dict:
     return {"n": 1, "bodies": [body], "nodes": fold_repeats(nodes)}
 
 
-def fold_repeats(nodes: list[list], longest: int = 3) -> list[list]:
-    """Collapse runs of equal groups of one to ``longest`` paths into one repeated group."""
-    for period in range(1, longest + 1):
+def _repeats(ids: np.ndarray, period: int) -> bool:
+    """Whether a group of ``period`` numbers stands twice side by side."""
+    same = np.concatenate([[0], np.cumsum(ids[period:] == ids[:-period])])
+    return bool((same[period:] - same[:-period] == period).any())
+
+
+def fold_repeats(nodes: list[list]) -> list[list]:
+    """Collapse runs of equal groups of paths, shorter groups first, into one repeated group."""
+    period = 1
+    while 2 * period <= len(nodes):
+        known: dict[str, int] = {}
+        ids = [known.setdefault(n[0], len(known)) for n in nodes]
+        if len(known) == len(ids):
+            break
+        if not _repeats(np.array(ids), period):
+            period += 1
+            continue
         out: list[list] = []
         for node in nodes:
             out.append(node)
@@ -239,38 +264,79 @@ def fold_repeats(nodes: list[list], longest: int = 3) -> list[list]:
                     kept[1], kept[2], kept[3] = True, kept[2] or gone[2], None
                 del out[-period:]
         nodes = out
+        period += 1
     return nodes
 
 
-def align(a: dict, b: dict) -> dict:
-    """The wrapper of all pages of two wrappers."""
-    x, y = a["nodes"], b["nodes"]
-    bodies = list(dict.fromkeys(a["bodies"] + b["bodies"]))[:MIN_BODIES]
-    both = {"n": a["n"] + b["n"], "bodies": bodies}
+def matched(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Places of x and y that an alignment puts together, rising in both.
+
+    What both begin and end with is matched; the rest by a longest common subsequence where its table has at most ``CELLS`` cells,
+    else it is cut at the paths that each side has once and in the same order, and, where there are none, in half.
+    """
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(x), 0, len(y))]
+    while todo:
+        a, b, c, d = todo.pop()
+        while a < b and c < d and x[a] == y[c]:
+            out.append((a, c))
+            a, c = a + 1, c + 1
+        while a < b and c < d and x[b - 1] == y[d - 1]:
+            b, d = b - 1, d - 1
+            out.append((b, d))
+        if a == b or c == d:
+            continue
+        if (b - a) * (d - c) <= CELLS:
+            out += [(a + i, c + j) for i, j in _longest(x[a:b], y[c:d])]
+            continue
+        once = {p for p, n in Counter(x[a:b]).items() if n == 1} & {p for p, n in Counter(y[c:d]).items() if n == 1}
+        at = {p: c + j for j, p in enumerate(y[c:d]) if p in once}
+        cuts, last = [], c - 1
+        for i in range(a, b):
+            if x[i] in once and at[x[i]] > last:
+                last = at[x[i]]
+                cuts.append((i, last))
+        if not cuts:
+            cuts = [((a + b) // 2, (c + d) // 2)]
+        else:
+            out += cuts
+        for i, j in cuts:
+            todo.append((a, i, c, j))
+            a, c = (i + 1, j + 1) if x[i] in once else (i, j)
+        todo.append((a, b, c, d))
+    return sorted(out)
 
-    def join(p: list, q: list) -> list:
-        return [p[0], p[1] or q[1], p[2] or q[2], p[3] if p[3] == q[3] else None]
 
-    if [n[0] for n in x] == [n[0] for n in y]:
-        return both | {"nodes": [join(p, q) for p, q in zip(x, y, strict=True)]}
+def _longest(x: list[str], y: list[str]) -> list[tuple[int, int]]:
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     for i in range(len(x) - 1, -1, -1):
-        row, below, path = best[i], best[i + 1], x[i][0]
+        row, below, path = best[i], best[i + 1], x[i]
         for j in range(len(y) - 1, -1, -1):
-            row[j] = 1 + below[j + 1] if path == y[j][0] else max(below[j], row[j + 1])
+            row[j] = 1 + below[j + 1] if path == y[j] else max(below[j], row[j + 1])
     out, i, j = [], 0, 0
     while i < len(x) and j < len(y):
-        if x[i][0] == y[j][0]:
-            out.append(join(x[i], y[j]))
+        if x[i] == y[j]:
+            out.append((i, j))
             i, j = i + 1, j + 1
         elif best[i + 1][j] >= best[i][j + 1]:
-            out.append([x[i][0], x[i][1], True, x[i][3]])
             i += 1
         else:
-            out.append([y[j][0], y[j][1], True, y[j][3]])
             j += 1
-    out += [[n[0], n[1], True, n[3]] for n in x[i:] + y[j:]]
-    return both | {"nodes": fold_repeats(out)}
+    return out
+
+
+def align(a: dict, b: dict) -> dict:
+    """The wrapper of all pages of two wrappers."""
+    x, y = a["nodes"], b["nodes"]
+    out, i, j = [], 0, 0
+    for p, q in [*matched([n[0] for n in x], [n[0] for n in y]), (len(x), len(y))]:
+        out += [[n[0], n[1], True, n[3]] for n in x[i:p] + y[j:q]]
+        if p < len(x):
+            m, n = x[p], y[q]
+            out.append([m[0], m[1] or n[1], m[2] or n[2], m[3] if m[3] == n[3] else None])
+        i, j = p + 1, q + 1
+    bodies = list(dict.fromkeys(a["bodies"] + b["bodies"]))[:MIN_BODIES]
+    return {"n": a["n"] + b["n"], "bodies": bodies, "nodes": fold_repeats(out)}
 
 
 def expression(wrapper: dict) -> str:
@@ -293,20 +359,37 @@ def mark(path: str, text: int) -> int:
     return (crc32(path.encode()) & 0x7FFFFFFF) << 32 | text
 
 
-def template_of(wrapper: dict, marks: list[int], pages: int) -> dict[str, list[int]]:
+def template_of(nodes: list[list], marks: list[int], pages: int) -> dict[str, list[int]]:
     """Path to checksums of the template texts. ``marks``: of the texts that enough of its ``pages`` distinct pages have."""
     texts: dict[int, list[int]] = {}
     for m in marks:
         texts.setdefault(m >> 32, []).append(m & 0xFFFFFFFF)
-    paths = Counter(n[0] for n in wrapper["nodes"])
+    paths = Counter(n[0] for n in nodes)
     if pages < MIN_REPEATED:
-        paths -= Counter({p: paths[p] for p, r, _, _ in wrapper["nodes"] if r or paths[p] > 1})
+        paths -= Counter({p: paths[p] for p, r, _, _ in nodes if r or paths[p] > 1})
     return {p: sorted(texts[c]) for p in paths if (c := crc32(p.encode()) & 0x7FFFFFFF) in texts}
 
 
-def _fold(wrappers: Iterator[tuple], into: dict) -> None:
-    for key, w in wrappers:
-        into[key] = align(into[key], w) if key in into else w
+def skeleton(found: list[Block]) -> str:
+    """The wrapper of one page without its texts, as JSON; the same for all pages of one shape."""
+    return json.dumps([[p, r, o, None] for p, r, o, _ in wrap(found)["nodes"]])
+
+
+def _folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by salt, host, layout and wrapper to one wrapper of each salt, host and layout; a task holds one at a time."""
+    key, held = None, None
+    row = lambda: pd.DataFrame([(*key[1:], json.dumps(held["nodes"]))], columns=["host", "layout", "wrapper"])
+    for batch in batches:
+        for salt, host, layout, wrapper in zip(batch["salt"], batch["host"], batch["layout"], batch["wrapper"], strict=True):
+            new = {"n": 1, "bodies": [], "nodes": json.loads(wrapper)}
+            if (salt, host, layout) == key:
+                held = align(held, new)
+                continue
+            if key is not None:
+                yield row()
+            key, held = (salt, host, layout), new
+    if key is not None:
+        yield row()
 
 
 def _host(pages: DataFrame) -> DataFrame:
@@ -315,41 +398,36 @@ def _host(pages: DataFrame) -> DataFrame:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, layout, wrapper (JSON), marks (of template texts), pages (distinct ones) of every layout whose pages differ enough to tell."""
-    schema = "host string, layout long, wrapper string"
+    """host, layout, wrapper (JSON), marks (of template texts), pages (distinct ones) of every layout whose pages differ enough to tell.
 
-    def rows_of(held: dict) -> pd.DataFrame:
-        return pd.DataFrame([(*key, json.dumps(w)) for key, w in held.items()], columns=["host", "layout", "wrapper"])
+    Shapes are made distinct and sorted before they are aligned, so neither the order of the pages nor a task that is run again
+    changes a wrapper.
+    """
 
     def of_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, dict] = {}
         for batch in batches:
-            seen = []
+            seen, shapes = [], set()
             for host, page in zip(batch["host"], batch["html"], strict=True):
                 found = blocks(page)
                 if not found:
                     continue
                 layout, texts = layout_of(found), [crc32(b.text.encode()) for b in found]
-                _fold([((host, layout), wrap(found))], held)
+                shapes.add((host, layout, skeleton(found)))
                 every = [mark(b.path, t) for b, t in zip(found, texts, strict=True)]
                 body = hashlib.blake2b(repr(every).encode(), digest_size=7).digest()
                 seen.append((host, layout, None, int.from_bytes(body), sorted(set(every))))
-            yield pd.DataFrame(seen, columns=["host", "layout", "wrapper", "body", "marks"])
-            if len(held) > 20_000:  # many hosts: pass on what there is, the next step aligns it
-                yield rows_of(held).assign(body=None, marks=None)
-                held = {}
-        yield rows_of(held).assign(body=None, marks=None)
-
-    def of_wrappers(rows: pd.DataFrame) -> pd.DataFrame:
-        held: dict[tuple, dict] = {}
-        _fold((((h, k), json.loads(w)) for h, k, w in zip(rows["host"], rows["layout"], rows["wrapper"], strict=True)), held)
-        return rows_of(held)
+            seen += [(*s, None, None) for s in sorted(shapes)]
+            yield pd.DataFrame(seen, columns=["host", "layout", "wrapper", "body", "marks"]).astype({"body": "Int64", "layout": "Int64"})
 
+    schema = "host string, layout long, wrapper string"
     rows = _host(pages).filter(F.col("host").isNotNull()).select("host", "html")
     rows = staged(rows.mapInPandas(of_pages, schema + ", body long, marks array<long>"), "wrapper-pages")
-    salted = rows.filter("wrapper IS NOT NULL").select("host", "layout", "wrapper").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(32)))
-    once = salted.groupBy("host", "layout", "salt").applyInPandas(of_wrappers, schema)
-    aligned = once.groupBy("host", "layout").applyInPandas(of_wrappers, schema)
+    shapes = rows.filter("wrapper IS NOT NULL").select("host", "layout", "wrapper").distinct()
+    # A host of many shapes is folded in parts, then the parts are.
+    aligned = shapes
+    for salt in (F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)), F.lit(0).cast("long")):
+        keyed = aligned.withColumn("salt", salt).repartition("salt", "host", "layout").sortWithinPartitions("salt", "host", "layout", "wrapper")
+        aligned = keyed.mapInPandas(_folded, schema)
     bodies = rows.filter("wrapper IS NULL").groupBy("host", "layout", "body").agg(F.first("marks").alias("marks"))
     # The mark -1 counts the pages themselves.
     each = bodies.select("host", "layout", F.explode(F.concat("marks", F.array(F.lit(-1).cast("long")))).alias("mark"))
