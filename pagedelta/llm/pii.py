@@ -115,14 +115,25 @@ def _plain(c: str) -> str:
 
 
 _ODD = re.compile("[^\x00-\x9f\xa1-\xac\xae-\xb6\xb8-ɏ—-‟€]")
-_UNIT = "zero|oh|one|two|three|four|five|six|seven|eight|nine"
-_VALUE = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
-_SPELLED = re.compile(rf"(?i)\b(?:plus[\s,-]+)?(?:(?:{_UNIT})\b|[0-9]+)(?:[\s,-]+(?:(?:{_UNIT})\b|[0-9]+))+")
+# The digits from zero, as they are spelled in the languages of the corpus, and other spellings.
+_SPELLINGS = {
+    "en": "zero one two three four five six seven eight nine",
+    "de": "null eins zwei drei vier fünf sechs sieben acht neun",
+    "fr": "zéro un deux trois quatre cinq six sept huit neuf",
+    "es": "cero uno dos tres cuatro cinco seis siete ocho nueve",
+}
+_ALSO = {"oh": "0", "zwo": "2", "fuenf": "5", "ein": "1"}
+_VALUE = {w: str(i) for words in _SPELLINGS.values() for i, w in enumerate(words.split())} | _ALSO
+_UNIT = "|".join(sorted(_VALUE, key=lambda w: (-len(w), w)))
+_SPELLED = re.compile(rf"(?i)(?:\+\s*|\bplus[\s,-]+|\b)(?:(?:{_UNIT})\b|[0-9]+)(?:[\s,-]+(?:(?:{_UNIT})\b|[0-9]+))+")
+_ANY_SPELLED = re.compile(rf"(?i)\b(?:{_UNIT})\b")
 _WORD_OR_DIGITS = re.compile(rf"(?i){_UNIT}|[0-9]+")
+_POINT = "dot|point|punkt|punto"
 # A part of an address has three digits at most; the bound keeps the search linear.
 _SPELLED_IP = re.compile(
-    rf"(?i)\b(?:(?:{_UNIT})[\s-]+|[0-9]{{1,3}}\s+){{1,3}}(?:(?:dot|point)\s+(?:(?:{_UNIT})\b[\s-]*|[0-9]{{1,3}}\s*){{1,3}}){{3}}"
+    rf"(?i)\b(?:(?:{_UNIT})[\s-]+|[0-9]{{1,3}}\s+){{1,3}}(?:(?:{_POINT})\s+(?:(?:{_UNIT})\b[\s-]*|[0-9]{{1,3}}\s*){{1,3}}){{3}}"
 )
+# So many spelled digits make a number without a plus sign a disguise rather than prose that counts.
 _MIN_SPELLED = 4
 
 _OPEN, _CLOSE = r"[\[({<]\s*", r"\s*[\])}>]"
@@ -199,18 +210,20 @@ def _read_digits(part: str) -> str:
 def _spelled(text: str) -> list[tuple[int, int, str]]:
     edits = []
     for m in _SPELLED_IP.finditer(text):
-        new = ".".join(_read_digits(p) for p in re.split(r"(?i)dot|point", m[0]))
+        new = ".".join(_read_digits(p) for p in re.split(rf"(?i){_POINT}", m[0]))
         edits.append((m.start(), m.start() + len(m[0].rstrip(" \t\r\n-")), new))
     ends = [b for _, b, _ in edits]
     taken = len(edits)
     for m in _SPELLED.finditer(text):
         units = _WORD_OR_DIGITS.findall(m[0])
+        spelled = sum(u[0].isalpha() for u in units)
         at = bisect_right(ends, m.start(), hi=taken)
-        if sum(u[0].isalpha() for u in units) < _MIN_SPELLED or at < taken and edits[at][0] < m.end():
+        if not spelled or at < taken and edits[at][0] < m.end():
             continue
-        d = _read_digits(m[0])
+        d, signed = _read_digits(m[0]), m[0][:1] in "+pP"
         card = 14 <= len(d) <= 19 and luhn(d)
-        edits.append((m.start(), m.end(), d if card or not 10 <= len(d) <= 15 else "+" + d))
+        if card or signed or spelled >= _MIN_SPELLED:
+            edits.append((m.start(), m.end(), d if (card and not signed) or not 10 <= len(d) <= 15 else "+" + d))
     return sorted(edits)
 
 
@@ -227,9 +240,9 @@ def find(text: str | None) -> list[tuple[str, int, int, bool]]:
     if "at" in low or "@" in low:
         if edits := _undisguise(now.text if now else text):
             now = (now or Rewritten.of(text)).apply(edits)
-    if sum(w in low for w in _VALUE) >= 2:
-        now = now or Rewritten.of(text)
-        now = now.apply(edits) if (edits := _spelled(now.text)) else now
+    if _ANY_SPELLED.search(now.text if now else text):
+        if edits := _spelled(now.text if now else text):
+            now = (now or Rewritten.of(text)).apply(edits)
     if now is not None and now.text != text:
         for k, f in DETECTORS.items():
             plain = np.array(base[k], np.int64).reshape(-1, 2)
