@@ -6,8 +6,10 @@ of factors for each pair of terms that occur together, computed in time linear i
 insult beside a group's name weighs more, or less, than the two apart.
 
 The fit uses at most ``SAMPLE`` labelled rows, chosen by a hash of the id. Hash slots whose share differs between the
-classes beyond chance (chi squared of ``MIN_CHI2`` or more) take part; the rest weigh nothing, so that the length of a text
-does not move its score. Terms are hashed in the JVM over whole texts; only hash lists go to Python, in Arrow batches.
+classes beyond chance (chi squared of ``MIN_CHI2`` or more) take part, and so do those of pairs that the machine of the former
+leaves unexplained: a score test on its residuals of each pair of the ``PAIR_SLOTS`` slots that divide the rows most evenly, at
+``MIN_PAIR`` for the millions of pairs. A pair that counts only together is so learnt though neither word counts alone. The rest
+weigh nothing, so that the length of a text does not move its score. Terms are hashed in the JVM over whole texts; only hash lists go to Python, in Arrow batches.
 
 Defined results: a null or wordless text scores as an empty one; null labels are not learned from; where labels hold one
 class or none, every score is 0; repeated rows are scored one by one; an empty table gives an empty result; extra
@@ -30,6 +32,8 @@ SLOTS = 1 << 18
 PREFIX = 4
 FACTORS = 4
 MIN_CHI2 = 30.0
+PAIR_SLOTS = 1024
+MIN_PAIR = 60.0
 THRESHOLD = 0.5
 
 
@@ -45,8 +49,8 @@ def terms(text: Column) -> Column:
 def _flat(lists: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     """Values of all lists, and the row of each."""
     sizes = lists.map(len).to_numpy(np.int64)
-    flat = np.concatenate([np.zeros(0, np.int64), *lists]).astype(np.int64)
-    return flat, np.repeat(np.arange(len(sizes)), sizes)
+    flat = np.concatenate([np.zeros(0, np.int32), *lists]).astype(np.int32, copy=False)
+    return flat, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
 
 
 @dataclass
@@ -57,7 +61,7 @@ class Machine:
     factors: np.ndarray
 
     def raw(self, flat: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
-        at = np.full(SLOTS, -1, np.int64)
+        at = np.full(SLOTS, -1, np.int32)
         at[self.slots] = np.arange(len(self.slots))
         term = at[flat]
         term, row = term[term >= 0], row[term >= 0]
@@ -71,8 +75,27 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.raw(flat, row, len(lists)), -30, 30)))
 
 
+def unexplained(flat: np.ndarray, row: np.ndarray, residual: np.ndarray, weight: np.ndarray, slots: np.ndarray, rows: int = 250) -> np.ndarray:
+    """Slots of the pairs, out of ``slots``, whose score test on the residuals exceeds ``MIN_PAIR``. ``flat`` is in the order of ``row``."""
+    m, n = len(slots), len(residual)
+    at = np.full(SLOTS, -1, np.int32)
+    at[slots] = np.arange(m)
+    gain, spread, part = (np.zeros((m, m), np.float32) for _ in range(3))
+    for k in range(0, n, rows):
+        lo, hi = np.searchsorted(row, (k, k + rows))
+        term, own = at[flat[lo:hi]], row[lo:hi] - k
+        x = np.zeros((min(rows, n - k), m), np.float32)
+        x[own[term >= 0], term[term >= 0]] = 1
+        for total, by in ((gain, residual), (spread, weight)):
+            total += np.matmul(x.T, x * by[k : k + rows, None].astype(np.float32), out=part)
+    np.fill_diagonal(gain, 0)
+    gain *= gain
+    np.maximum(spread, 1, out=spread)  # a pair of almost no weight tells nothing
+    spread *= MIN_PAIR
+    return slots[(gain > spread).any(0)]
+
+
 def fit_machine(lists: pd.Series, y: np.ndarray, rounds: int = 600, rate: float = 0.05, ridge: float = 4e-5) -> Machine:
-    """Full-batch Adam on the logistic loss."""
     n = len(y)
     flat, row = _flat(lists)
     n1 = y.sum()
@@ -83,7 +106,18 @@ def fit_machine(lists: pd.Series, y: np.ndarray, rounds: int = 600, rate: float
     share = np.clip(all_ / n, 1e-12, 1 - 1e-12)
     chi2 = gap**2 / (share * (1 - share) * (1 / n1 + 1 / (n - n1)))
     slots = np.flatnonzero((chi2 >= MIN_CHI2) & (all_ >= 4))
-    at = np.full(SLOTS, -1, np.int64)
+    machine = trained(slots, flat, row, y, rounds, rate, ridge)
+    p = 1 / (1 + np.exp(-np.clip(machine.raw(flat, row, n), -30, 30)))
+    even = all_ * (n - all_)
+    common = np.sort(np.argsort(-even, kind="stable")[:PAIR_SLOTS])
+    more = np.union1d(slots, unexplained(flat, row, y - p, p * (1 - p), common[even[common] > 0]))
+    return machine if len(more) == len(slots) else trained(more, flat, row, y, rounds, rate, ridge)
+
+
+def trained(slots: np.ndarray, flat: np.ndarray, row: np.ndarray, y: np.ndarray, rounds: int, rate: float, ridge: float) -> Machine:
+    """The machine over ``slots``: full-batch Adam on the logistic loss."""
+    n = len(y)
+    at = np.full(SLOTS, -1, np.int32)
     at[slots] = np.arange(len(slots))
     term = at[flat]
     term, row = term[term >= 0], row[term >= 0]
@@ -115,7 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     known = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.dropna().orderBy(F.xxhash64("label_id"), "label_id", "toxic").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("label_id"))
-    got = rows.select("doc_id", terms(F.col("text")).alias("terms"), "toxic").orderBy("doc_id").toPandas()
+    got = rows.select("doc_id", terms(F.col("text")).alias("terms"), "toxic").toPandas()
+    got = got.sort_values(["doc_id", "toxic"], kind="stable")  # here, for a sort in Spark would evaluate the terms twice
     return fit_machine(got["terms"], (got["toxic"] != 0).to_numpy(float))
 
 
