@@ -1,7 +1,8 @@
 """WARC archives: a deterministic sharded writer, and a reader.
 
-The same pages give the same files, byte for byte. Shards are ranges of page ids of about ``SHARD_BYTES`` of payload each;
-their bounds follow from a histogram of bytes over ids that is refined where ids crowd. A task sorts its shard by id,
+The same pages give the same files, byte for byte. Shards are ranges of page ids of about ``SHARD_BYTES`` of payload each, or
+more where that would make over ``MOST_SHARDS``; their bounds follow from a histogram of bytes over ids that is refined where ids
+crowd, at most ``MOST_BINS`` ranges in a pass. An id that is heavier than a shard, or the rows without one, are cut by digest. A task sorts its shard by id,
 writes gzip members with freshly computed headers, lengths and digests, and starts a new file once the current one
 has reached ``ROLL_BYTES`` compressed. Files are written under names of their task attempt; the rows that name them become a
 manifest, which Spark commits for one attempt of each task; a second step gives the files of the manifest their final names
@@ -23,6 +24,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -36,6 +38,9 @@ MIN_REVISIT = 1000
 SHARD_BYTES = 16 << 20
 ROLL_BYTES = 4 << 20
 BINS = 1024
+MOST_SHARDS = 1 << 16
+MOST_BINS = 1 << 18
+READ_TASKS = 1 << 14
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "shard int, seq int, temp string, name string, records long, bytes long, sha256 string"
@@ -119,41 +124,72 @@ class _Roller:
 
 
 def _weigh(sizes: DataFrame, bins: list[tuple[int, int]]) -> dict[int, int]:
-    """Bytes of each range of ids that has any."""
+    """Bytes of each range of ids (first, last) that has any; ``MOST_BINS`` rows at most."""
     starts, ends = np.array(bins, np.int64).T
 
     @F.pandas_udf("int")
     def bin_of(ids: pd.Series) -> pd.Series:
         at = np.searchsorted(starts, ids.to_numpy(np.int64), "right") - 1
-        return pd.Series(np.where((at >= 0) & (ids.to_numpy(np.int64) < ends[at]), at, -1).astype(np.int32))
+        return pd.Series(np.where((at >= 0) & (ids.to_numpy(np.int64) <= ends[at]), at, -1).astype(np.int32))
 
     got = sizes.filter(F.col("id").isNotNull()).groupBy(bin_of("id").alias("k")).agg(F.sum("bytes").alias("n")).collect()
     return {r["k"]: r["n"] for r in got}
 
 
-def shard_bounds(sizes: DataFrame, most: int = SHARD_BYTES) -> list[int]:
-    """First ids of the shards but the first. ``sizes``: id, bytes."""
-    ends = sizes.agg(F.min("id").alias("a"), F.max("id").alias("b")).first()
+@dataclass
+class Shards:
+    """``bounds``: first ids of the ranges but the first; ``cuts``: shards of each range, of which the first is that of rows without id."""
+
+    bounds: np.ndarray
+    cuts: np.ndarray
+
+    @property
+    def n(self) -> int:
+        return int(self.cuts.sum())
+
+    def of(self, ids: pd.Series, digests: pd.Series) -> np.ndarray:
+        """The shard of each row; in the order of ids, and of digests within an id."""
+        at = np.searchsorted(self.bounds, ids.fillna(0).to_numpy(np.int64), "right") + 1
+        at[ids.isna().to_numpy()] = 0
+        cuts = self.cuts[at]
+        first = np.cumsum(self.cuts) - self.cuts
+        part = np.zeros(len(at), np.int64)
+        for k in np.flatnonzero(cuts > 1):
+            part[k] = int(digests.iloc[k][:8], 16) * int(cuts[k]) >> 32
+        return first[at] + part
+
+
+def plan_shards(sizes: DataFrame, most: int = SHARD_BYTES) -> Shards:
+    """Shards for ``sizes``: id, bytes."""
+    null = F.sum(F.when(F.col("id").isNull(), F.col("bytes")))
+    ends = sizes.agg(F.min("id").alias("a"), F.max("id").alias("b"), F.sum("bytes").alias("n"), null.alias("null"), F.count_if(F.col("id").isNull()).alias("nulls")).first()
+    most = max(most, -(-(ends["n"] or 0) // MOST_SHARDS), 1)
+    cuts = [max(1, -(-(ends["null"] or 0) // most)) if ends["nulls"] else 0]
     if ends["a"] is None:
-        return []
-    open_, done = [(ends["a"], ends["b"] + 1)], []
+        return Shards(np.zeros(0, np.int64), np.array([*cuts, 1], np.int64))
+    open_, done = [(ends["a"], ends["b"])], []
     while open_:  # all ranges that are too heavy are refined in one pass; a range one id wide stays as it is
+        pieces = max(2, min(BINS, MOST_BINS // len(open_)))
         bins = []
         for a, b in open_:
-            step = max(1, -(-(b - a) // BINS))
-            bins += [(x, min(x + step, b)) for x in range(a, b, step)]
+            step = -(-(b - a + 1) // pieces)
+            bins += [(x, min(x + step - 1, b)) for x in range(a, b + 1, step)]
         weight = _weigh(sizes, bins)
-        heavy = [k for k, (a, b) in enumerate(bins) if weight.get(k, 0) > most and b - a > 1]
-        open_ = [bins[k] for k in heavy]
-        spent = set(heavy)
-        done += [(a, weight.get(k, 0)) for k, (a, _) in enumerate(bins) if k not in spent]
+        open_ = [x for k, x in enumerate(bins) if weight.get(k, 0) > most and x[0] < x[1]]
+        spent = set(open_)
+        done += [(*x, weight.get(k, 0)) for k, x in enumerate(bins) if x not in spent]
     bounds, size = [], 0
-    for a, n in sorted(done):
-        if size and size + n > most:
-            bounds.append(a)
+    cuts.append(1)
+    for a, b, n in sorted(done):
+        if n > most and a == b or size + n > most:  # an id heavier than a shard has a range of its own
+            if size:
+                bounds.append(a)
+                cuts.append(1)
             size = 0
         size += n
-    return bounds
+        if n > most:
+            cuts[-1], size = -(-n // most), most
+    return Shards(np.array(bounds, np.int64), np.array(cuts, np.int64))
 
 
 def write_archive(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
@@ -165,18 +201,17 @@ def write_archive(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES, r
     large = slim.filter(F.col("bytes") >= MIN_REVISIT)
     kept = large.groupBy("digest").agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     marks = large.join(staged(kept.select("digest", "keep"), "warc-kept"), "digest").filter("keep IS NOT NULL AND NOT id <=> keep")
-    bounds = np.array(shard_bounds(slim, shard_bytes), np.int64)
+    shards = plan_shards(slim, shard_bytes)
 
     @F.pandas_udf("int")
-    def shard_of(ids: pd.Series) -> pd.Series:
-        known = ids.fillna(-(1 << 63)).to_numpy(np.int64)
-        return pd.Series(np.searchsorted(bounds, known, "right").astype(np.int32))
+    def shard_of(ids: pd.Series, digests: pd.Series) -> pd.Series:
+        return pd.Series(shards.of(ids, digests).astype(np.int32))
 
     text = lambda c: F.col(c).cast("string")
     full = rows.select(F.col("page_id").cast("long").alias("id"), "url", F.coalesce("html", F.lit("")).alias("html"), "digest", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("keep"))
     marked = marks.distinct().select("id", F.lit(None).cast("string").alias("url"), F.lit("").alias("html"), "digest", F.lit(0).alias("kind"), "keep")
-    both = full.unionByName(marked).withColumn("shard", shard_of(F.col("id")))
-    both = both.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "id", "digest", "kind", "url")
+    both = full.unionByName(marked).withColumn("shard", shard_of(F.col("id"), F.col("digest")))
+    both = both.repartitionById(shards.n, F.col("shard")).sortWithinPartitions("shard", "id", "digest", "kind", "url")
     both = both.select("shard", text("id").alias("id"), "url", "html", "digest", "kind", text("keep").alias("keep"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -287,7 +322,7 @@ def read_archive(spark: SparkSession, root: str, payloads: bool = True) -> DataF
                 yield frame(rows)
 
     files = spark.read.parquet(f"{root}/_manifest").select("name")
-    n = max(1, files.count())
+    n = max(1, min(files.count(), READ_TASKS))
     return files.repartition(n, "name").mapInPandas(read, READ)
 
 
