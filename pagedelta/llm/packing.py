@@ -31,7 +31,8 @@ from .common import staged, table
 WINDOW = 1024
 END_ID = 0
 PLANNED = 1 << 60  # sequences of rests are numbered from here, those of whole pieces below
-BROADCAST_PARTS = 1000
+TABLE_PARTS = 2000  # of so many parts the counts, 8 bytes for each length of a part, go to every task as one array
+PLACES = "array<struct<at:long,n:long,sequence_id:long,offset:long>>"
 
 
 def byte_letters() -> dict[str, int]:
@@ -232,23 +233,36 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, id_col: str = "d
     cut = staged(pieces(docs, tokenizer, window, id_col, text_col), "packing-pieces")
     rests = cut.filter(F.col("length") < window)
     per_part = rests.groupBy("length", "part").agg((F.max("nth") + 1).alias("n"))
-    hist = np.zeros(window + 1, np.int64)
-    for r in per_part.groupBy("length").agg(F.sum("n").alias("n")).collect():  # one row for each length below the window
-        hist[r["length"]] = r["n"]
+    few = per_part.agg(F.count_distinct("part")).first()[0] <= TABLE_PARTS
+    counts = (per_part if few else per_part.groupBy("length").agg(F.sum("n").alias("n"))).toPandas()
+    hist = np.bincount(counts["length"], counts["n"], window + 1).astype(np.int64)
     slots = Slots(hist, window)
-    place_type = "array<struct<at:long,n:long,sequence_id:long,offset:long>>"
 
-    @F.pandas_udf(place_type)
-    def place(length: pd.Series, rank: pd.Series) -> pd.Series:
+    def places(lengths: pd.Series, ranks: np.ndarray) -> pd.Series:
         names = ("at", "n", "sequence_id", "offset")
-        got = [[dict(zip(names, x, strict=True)) for x in slots.of(n, r)] for n, r in zip(length.tolist(), rank.tolist(), strict=True)]
+        got = [[dict(zip(names, x, strict=True)) for x in slots.of(n, r)] for n, r in zip(lengths.tolist(), ranks.tolist(), strict=True)]
         return pd.Series(got, dtype=object)
 
-    before = F.expr("sum(n) OVER (PARTITION BY length ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
-    ranks = per_part.select("length", "part", F.coalesce(before, F.lit(0)).alias("before"))
-    n_parts = per_part.agg(F.count_distinct("part")).first()[0]
-    ranks = F.broadcast(ranks) if n_parts <= BROADCAST_PARTS else ranks
-    placed = rests.join(ranks, ["length", "part"]).withColumn("p", F.explode(place("length", F.col("before") + F.col("nth"))))
+    if few:
+        parts = np.unique(counts["part"].to_numpy(np.int64))
+        n = np.zeros((len(parts), window + 1), np.int64)
+        n[np.searchsorted(parts, counts["part"]), counts["length"]] = counts["n"]
+        before = np.cumsum(n, axis=0) - n
+
+        @F.pandas_udf(PLACES)
+        def place(length: pd.Series, part: pd.Series, nth: pd.Series) -> pd.Series:
+            return places(length, before[np.searchsorted(parts, part), length] + nth.to_numpy(np.int64))
+
+        placed = rests.withColumn("p", F.explode(place("length", "part", "nth")))
+    else:
+
+        @F.pandas_udf(PLACES)
+        def place_ranked(length: pd.Series, rank: pd.Series) -> pd.Series:
+            return places(length, rank.to_numpy(np.int64))
+
+        before = F.expr("sum(n) OVER (PARTITION BY length ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+        ranks = per_part.select("length", "part", F.coalesce(before, F.lit(0)).alias("before"))
+        placed = rests.join(ranks, ["length", "part"]).withColumn("p", F.explode(place_ranked("length", F.col("before") + F.col("nth"))))
     placed = placed.select(
         "doc_id",
         (F.col("start") + F.col("p.at")).alias("start"),
