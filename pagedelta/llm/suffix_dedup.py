@@ -19,8 +19,12 @@ Names are sorted in buckets of their hash; a task first merges the equal names o
 documents share costs one row a batch. Sorted buckets answer each batch with bits for the names it sent; answers lie in
 the shared folder, by batch.
 
-Names have 64 bits. Two different strings that agree in one would be taken for equal; for n candidate strings the chance
-of any such pair is below n * n / 2**65.
+What is removed is decided on 128 bits: a name of the ranks and a check of the bytes themselves, computed apart from each other.
+For n candidate strings the chance that any two different ones agree in both is below n * n / 2**129. Keys have 64 bits, for they
+only choose what is sorted next.
+
+``suffix_ranks`` is the plain form of the method, all positions as rows, against which this one is tested; the README says why this
+one is registered.
 
 Defined results: a null or empty text has no bytes; texts shorter than ``LENGTH`` lose nothing; of documents with equal
 texts all but the one with the smallest id lose everything; documents of equal id (repeated rows) never take bytes
@@ -32,6 +36,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -47,6 +52,7 @@ LENGTH = 2 * HALF
 RUN = LENGTH - HALF + 1  # strings of a longer run could differ between the bytes of its first and its last
 BATCH_BYTES = 2 << 20
 BUCKET_BYTES = 12 << 20
+PIECE = 1 << 14
 NO_ID = np.iinfo(np.int64).max
 U = np.uint64
 _A, _B = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
@@ -62,82 +68,116 @@ def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
+@cache
+def _letters() -> np.ndarray:
+    return np.array([int.from_bytes(hashlib.blake2b(bytes([i]), digest_size=8).digest(), "little") for i in range(256)], U)
+
+
 def names(data: np.ndarray) -> np.ndarray:
-    """The name of the ``HALF`` bytes at each position."""
-    letters = np.array([int.from_bytes(hashlib.blake2b(bytes([i]), digest_size=8).digest(), "little") for i in range(256)], U)
-    x, n = letters[data], 1
-    while n < HALF:
-        step = min(n, HALF - n)
-        x = pair(x[:-step], x[step:]) if len(x) > step else np.zeros(0, U)
-        n += step
+    """The name of the ``HALF`` bytes at each position, a piece at a time that stays in a core's cache."""
+    letters = _letters()
+    out = np.empty(max(len(data) - HALF + 1, 0), U)
+    for k in range(0, len(out), PIECE):
+        x, n = letters[data[k : k + PIECE + HALF - 1]], 1
+        while n < HALF:
+            step = min(n, HALF - n)
+            x = pair(x[:-step], x[step:])
+            n += step
+        out[k : k + PIECE] = x
+    return out
+
+
+def checks(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A second name of the ``LENGTH`` bytes at each of ``at``, straight from the bytes."""
+    words = np.ndarray(max(len(data) - 7, 0), "<u8", data, strides=(1,))
+    x = np.zeros(len(at), U)
+    for step in (*range(0, LENGTH - 7, 8), LENGTH - 8):
+        x ^= words[at + step]
+        x *= U(0xD6E8FEB86659FD93)
+        x ^= x >> U(32)
     return x
 
 
 def least(x: np.ndarray, n: int) -> np.ndarray:
     """The least of each ``n`` neighbours."""
-    size = 1
-    while size < n:
-        step = min(size, n - size)
-        x = np.minimum(x[:-step], x[step:]) if len(x) > step else x[:0]
-        size += step
-    return x
+    out = np.empty(max(len(x) - n + 1, 0), x.dtype)
+    for k in range(0, len(out), PIECE):
+        y, size = x[k : k + PIECE + n - 1], 1
+        while size < n:
+            step = min(size, n - size)
+            y = np.minimum(y[:-step], y[step:])
+            size += step
+        out[k : k + PIECE] = y
+    return out
+
+
+def spread(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """All places from ``first`` to ``last``, range after range."""
+    n = last - first + 1
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
 class Batch:
-    """Documents laid end to end: ``at[i]`` is where document i begins, ``ids[i]`` its id."""
+    """Documents laid end to end: ``at[i]`` is where document i begins, ``ids[i]`` its id.
+
+    Run k holds the strings that begin at ``first[k]`` to ``last[k]``, all in document ``doc[k]``; ``low[k]`` is their key.
+    """
 
     def __init__(self, row: pd.Series) -> None:
         self.ids = np.frombuffer(row["ids"], np.int64)
         self.at = np.concatenate([[0], np.cumsum(np.frombuffer(row["sizes"], np.int64))])
         self.data = np.frombuffer(row["data"], np.uint8)
-        sizes = np.diff(self.at)
-        self.long = (sizes >= LENGTH) & (self.ids != NO_ID)
+        self.long = (np.diff(self.at) >= LENGTH) & (self.ids != NO_ID)
         self.half = names(self.data)
         low = least(self.half, LENGTH - HALF + 1)
-        # Strings that lie within one document.
-        count = np.where(self.long, sizes - LENGTH + 1, 0)
-        self.start = np.repeat(self.at[:-1] - np.cumsum(count) + count, count) + np.arange(count.sum())
-        self.doc = np.repeat(np.arange(len(sizes)), count)
-        low = low[self.start]
         new = np.ones(len(low), bool)
-        new[1:] = (low[1:] != low[:-1]) | (self.doc[1:] != self.doc[:-1])
-        begin = np.flatnonzero(new)
-        since = np.arange(len(low)) - np.repeat(begin, np.diff(np.append(begin, len(low))))
-        new |= since % RUN == 0
-        self.run = np.cumsum(new) - 1
-        self.first = np.flatnonzero(new)
-        self.last = np.append(self.first[1:], len(low))[: len(self.first)] - 1
-        self.low, self.low_doc = low[new], self.doc[new]
-
-    def strings(self, which: np.ndarray) -> np.ndarray:
-        """Names of whole strings, by number."""
-        at = self.start[which]
-        return pair(self.half[at], self.half[at + HALF])
-
-    def signatures(self, runs: np.ndarray) -> np.ndarray:
-        """Names of whole runs: of a run's first and last string, and its length."""
+        np.not_equal(low[1:], low[:-1], out=new[1:])
+        for i in range(len(self.ids)):  # no string leaves its document
+            lo, hi = self.at[i], self.at[i + 1]
+            if self.long[i]:
+                new[lo] = True
+                new[hi - LENGTH + 1 : hi] = False
+            else:
+                new[lo:hi] = False
+        first = np.flatnonzero(new)
+        doc = np.searchsorted(self.at, first, "right") - 1
+        last = np.minimum(np.append(first[1:], len(low))[: len(first)] - 1, self.at[doc + 1] - LENGTH)
+        cuts = (last - first) // RUN + 1
+        nth = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        self.first = np.repeat(first, cuts) + nth * RUN
+        self.last = np.minimum(self.first + RUN - 1, np.repeat(last, cuts))
+        self.doc = np.repeat(doc, cuts)
+        self.low = low[self.first]
+
+    def strings(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Names and checks of the strings that begin at ``at``."""
+        return pair(self.half[at], self.half[at + HALF]), checks(self.data, at)
+
+    def signatures(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Names and checks of whole runs: of a run's first and last string, and its length."""
         a, b = self.first[runs], self.last[runs]
-        return pair(pair(self.strings(a), self.strings(b)), (b - a).astype(U))
+        size = (b - a).astype(U)
+        (x, p), (y, q) = self.strings(a), self.strings(b)
+        return pair(pair(x, y), size), pair(pair(p, q), ~size)
 
-    def digests(self) -> tuple[np.ndarray, np.ndarray]:
-        """A name for the whole text of each long document."""
+    def digests(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A name and a check of the whole text of each long document, and its place."""
         docs = np.flatnonzero(self.long)
         view = memoryview(self.data)
-        got = [hashlib.blake2b(view[self.at[i] : self.at[i + 1]], digest_size=8).digest() for i in docs]
-        return np.frombuffer(b"".join(got), U), docs
+        got = b"".join(hashlib.blake2b(view[self.at[i] : self.at[i + 1]], digest_size=16).digest() for i in docs)
+        both = np.frombuffer(got, U).reshape(-1, 2)
+        return both[:, 0], both[:, 1], docs
 
 
 class Merged:
     """The distinct names of a batch, by bucket of their key, each with the smallest id that has it."""
 
-    def __init__(self, name: np.ndarray, ids: np.ndarray, buckets: int, key: np.ndarray | None = None) -> None:
-        order = np.lexsort((ids, name))
-        name, ids = name[order], ids[order]
-        first = np.ones(len(name), bool)
-        first[1:] = name[1:] != name[:-1]
-        at = np.flatnonzero(first)
-        ends = np.append(at[1:], len(name))[: len(at)] - 1
-        self.name, self.least, self.many = name[at], ids[at], ids[at] != ids[ends]
+    def __init__(self, name: np.ndarray, check: np.ndarray, ids: np.ndarray, buckets: int, key: np.ndarray | None = None) -> None:
+        order, at, _ = _grouped(name, check)
+        name, check, ids = name[order], check[order], ids[order]
+        self.name, self.check = name[at], check[at]
+        self.least = np.minimum.reduceat(ids, at) if len(at) else ids
+        self.many = self.least != (np.maximum.reduceat(ids, at) if len(at) else ids)
         self.key = self.name if key is None else key[order][at]
         bucket = (self.key % U(buckets)).astype(np.int64)
         self.order = np.argsort(bucket, kind="stable")
@@ -150,7 +190,7 @@ class Merged:
             known, which = np.unique(self.least[part], return_inverse=True)
             small = which.astype("<u2" if len(known) < 1 << 16 else "<u4")
             key = self.key[part].tobytes() if keyed else b""
-            out.append((bucket, batch, self.name[part].tobytes(), key, known.tobytes(), small.tobytes(), np.packbits(self.many[part]).tobytes()))
+            out.append((bucket, batch, self.name[part].tobytes(), self.check[part].tobytes(), key, known.tobytes(), small.tobytes(), np.packbits(self.many[part]).tobytes()))
         return pd.DataFrame(out, columns=[c.split()[0] for c in SENT.split(", ")])
 
     def answers(self, replies: dict[int, tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
@@ -161,19 +201,28 @@ class Merged:
                 out[k, part] = np.unpackbits(np.frombuffer(replies[bucket][k], np.uint8), count=len(part))
         return out[0], out[1]
 
-    def find(self, name: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.name, name)
+    def find(self, name: np.ndarray, check: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.name, name)
+        while (off := self.check[at] != check).any():  # names that agree in two different checks
+            at[off] += 1
+        return at
 
 
-SENT = "bucket long, batch long, name binary, key binary, known binary, which binary, many binary"
+SENT = "bucket long, batch long, name binary, check binary, key binary, known binary, which binary, many binary"
 REPLY = "part long, batch long, bucket long, earlier binary, shared binary"
 
 
-def _groups(x: np.ndarray, *then: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order by x, then by ``then``; where each group of equal x begins in it, and the group of each place."""
-    order = np.lexsort((*then[::-1], x))
+def _grouped(name: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order in which equal (name, check) are side by side, by name; where each group begins in it, and the group of each place."""
+    order = np.argsort(name)
+    x = name[order]
     first = np.ones(len(x), bool)
-    first[1:] = x[order][1:] != x[order][:-1]
+    first[1:] = x[1:] != x[:-1]
+    y = check[order]
+    if (~first[1:] & (y[1:] != y[:-1])).any():  # names that agree in two different checks
+        order = np.lexsort((check, name))
+        x, y = name[order], check[order]
+        first[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
     return order, np.flatnonzero(first), np.cumsum(first) - 1
 
 
@@ -186,20 +235,23 @@ def _sorted_bucket(rows: pd.DataFrame) -> pd.DataFrame:
     for known, which, n in zip(rows["known"], rows["which"], sizes, strict=True):
         ids.append(np.frombuffer(known, np.int64)[np.frombuffer(which, "<u2" if len(which) == 2 * n else "<u4")])
     name, ids, key = np.concatenate(names_), np.concatenate(ids), np.frombuffer(b"".join(rows["key"]), U)
+    check = np.frombuffer(b"".join(rows["check"]), U)
     earlier, shared = np.zeros(len(name), bool), np.zeros(len(name), bool)
-    order, at, group = _groups(name, ids)
-    smallest = ids[order][at]
-    earlier[order] = smallest[group] < ids[order]
+    order, at, group = _grouped(name, check)
+    own = ids[order]
+    smallest = np.minimum.reduceat(own, at) if len(at) else own
+    earlier[order] = smallest[group] < own
     if len(key):
-        by_key, begins, of = _groups(key, name)
-        last = np.append(begins[1:], len(key)) - 1
-        shared[by_key] = (name[by_key][begins] != name[by_key][last])[of]
+        # A key has other names where groups of several numbers have it.
+        by_key, begins, of = _grouped(key, np.zeros(len(key), U))
+        number = np.empty(len(name), np.int64)
+        number[order] = group
+        number = number[by_key]
+        shared[by_key] = (np.minimum.reduceat(number, begins) != np.maximum.reduceat(number, begins))[of]
     else:
-        many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(rows["many"], sizes, strict=True)])
-        largest = ids[order][np.append(at[1:], len(name)) - 1]
-        any_many = np.zeros(len(at), bool)
-        np.logical_or.at(any_many, group, many[order].astype(bool))
-        shared[order] = ((smallest != largest) | any_many)[group]
+        many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(rows["many"], sizes, strict=True)])[order]
+        if len(at):
+            shared[order] = ((smallest != np.maximum.reduceat(own, at)) | (np.maximum.reduceat(many, at) > 0))[group]
     cuts = np.cumsum(sizes)[:-1]
     out = [
         (b >> 24, b, k, np.packbits(e).tobytes(), np.packbits(s).tobytes())
@@ -234,45 +286,47 @@ class _Rounds:
 
     def __init__(self, batch: Batch, buckets: int) -> None:
         self.batch, self.buckets = batch, buckets
-        digest, self.whole = batch.digests()
-        self.digest = digest
-        self.keys = Merged(np.concatenate([batch.low, digest]), np.concatenate([batch.ids[batch.low_doc], batch.ids[self.whole]]), buckets)
+        *self.digest, self.whole = batch.digests()
+        self.low = batch.low, np.zeros(len(batch.low), U)
+        name, check = (np.concatenate(x) for x in zip(self.low, self.digest, strict=True))
+        self.keys = Merged(name, check, np.concatenate([batch.ids[batch.doc], batch.ids[self.whole]]), buckets)
 
     def take_keys(self, replies: dict) -> None:
         """Copies of smaller documents, and the runs whose key another document has."""
         batch = self.batch
         earlier, shared = self.keys.answers(replies)
-        at = self.keys.find(self.digest)
+        at = self.keys.find(*self.digest)
         self.copy = np.zeros(len(batch.ids), bool)
         self.copy[self.whole] = earlier[at] | (self.keys.least[at] < batch.ids[self.whole])
-        self.open = np.flatnonzero(shared[self.keys.find(batch.low)] & ~self.copy[batch.low_doc])
+        self.open = np.flatnonzero(shared[self.keys.find(*self.low)] & ~self.copy[batch.doc])
         self.sign = batch.signatures(self.open)
-        self.signs = Merged(self.sign, batch.ids[batch.low_doc[self.open]], self.buckets, batch.low[self.open])
+        self.signs = Merged(*self.sign, batch.ids[batch.doc[self.open]], self.buckets, batch.low[self.open])
 
     def take_signs(self, replies: dict) -> None:
         """Runs that a smaller document has whole, and the strings of those that must be looked at one by one."""
         batch = self.batch
         earlier, mixed = self.signs.answers(replies)
-        at = self.signs.find(self.sign)
-        own = batch.ids[batch.low_doc[self.open]]
+        at = self.signs.find(*self.sign)
+        own = batch.ids[batch.doc[self.open]]
         taken = earlier[at] | (self.signs.least[at] < own)
-        self.taken = np.zeros(len(batch.low), bool)
-        self.taken[self.open[taken]] = True
-        unclear = np.zeros(len(batch.low), bool)
-        unclear[self.open[mixed[at] & ~taken]] = True
-        self.which = np.flatnonzero(unclear[batch.run])
+        self.taken = self.open[taken]
+        unclear = self.open[mixed[at] & ~taken]
+        first, last = batch.first[unclear], batch.last[unclear]
+        self.which = spread(first, last)
+        self.own = np.repeat(batch.ids[batch.doc[unclear]], last - first + 1)
         self.name = batch.strings(self.which)
-        self.singles = Merged(self.name, batch.ids[batch.doc[self.which]], self.buckets)
+        self.singles = Merged(*self.name, self.own, self.buckets)
 
     def lost(self, replies: dict) -> np.ndarray:
         """For each byte of the batch whether it goes; copies are not marked."""
         batch = self.batch
         earlier, _ = self.singles.answers(replies)
-        at = self.singles.find(self.name)
-        gone = self.which[earlier[at] | (self.singles.least[at] < batch.ids[batch.doc[self.which]])]
-        gone = batch.start[np.concatenate([np.flatnonzero(self.taken[batch.run]), gone])]
+        at = self.singles.find(*self.name)
+        gone = self.which[earlier[at] | (self.singles.least[at] < self.own)]
         size = len(batch.data) + 1
-        depth = np.bincount(gone, minlength=size) - np.bincount(gone + LENGTH, minlength=size)[:size]
+        starts = np.concatenate([batch.first[self.taken], gone])
+        ends = np.concatenate([batch.last[self.taken], gone]) + LENGTH
+        depth = np.bincount(starts, minlength=size) - np.bincount(ends, minlength=size)[:size]
         return np.cumsum(depth[:-1]) > 0
 
 
