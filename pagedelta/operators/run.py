@@ -31,13 +31,13 @@ class Inputs:
     statuses: DataFrame | Callable[[DataFrame], DataFrame]
 
 
-def discover(sites: DataFrame, inputs: Inputs, max_urls: int, feeds_bypass_filters: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Urls of all sites (DISCOVERED) and their feed entries."""
+def discover(sites: DataFrame, inputs: Inputs, max_urls: int, feeds_bypass_filters: bool = True, hold: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> tuple[DataFrame, DataFrame]:
+    """Urls of all sites (DISCOVERED) and their feed entries. ``hold`` may write parsed sitemaps down."""
 
     def wanted(urls: DataFrame) -> DataFrame:
         return D.filter_patterns(D.can_fetch(urls, inputs.robots).filter("allowed").drop("allowed"), sites)
 
-    urls = D.sitemap_urls(D.sitemap_candidates(sites, inputs.robots), inputs.sitemaps, max_urls, wanted)
+    urls = D.sitemap_urls(D.sitemap_candidates(sites, inputs.robots), inputs.sitemaps, max_urls, wanted, hold)
     entries = D.feed_entries(D.discover_feeds(sites, inputs.feeds), inputs.feeds)
     entries = entries if feeds_bypass_filters else wanted(entries)
     return merge_urls(urls, entries), entries
@@ -51,7 +51,7 @@ def run_once(store: Store, config: Config, inputs: Inputs, run_ts: datetime) ->
     spark, settings = store.spark, config.settings
     sites = config.site_frame(spark)
     prev, at = store.load_state(), store.pointer()
-    urls, entries = discover(sites, inputs, settings.max_pages_per_domain, settings.feeds_bypass_filters)
+    urls, entries = discover(sites, inputs, settings.max_pages_per_domain, settings.feeds_bypass_filters, lambda rows: store.work(rows, "sitemaps"))
     urls, entries = store.work(urls, "urls"), store.work(entries, "entries")
     chosen = prioritize(urls, prev, entries, settings.max_hash_per_domain, at["run"] + 1).select("domain", "url")
     captures = inputs.captures(chosen) if callable(inputs.captures) else inputs.captures.join(chosen, ["domain", "url"], "left_semi")

@@ -35,6 +35,12 @@ def _sites(pages: DataFrame, exclude: tuple[str, ...] = (), feeds: tuple[str, ..
     return pages.select("domain").distinct().select("domain", none.alias("sitemaps"), own.alias("feeds"), none.alias("include_patterns"), listed(exclude).alias("exclude_patterns"))
 
 
+def _held(rows: DataFrame) -> DataFrame:
+    path = scratch(rows.sparkSession, "parsed")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 # ------------------------------------------------------------------ robots
 
 
@@ -118,7 +124,7 @@ def sitemap_documents(spark, sf_dir):
 SELECT domain, url, nullif(lastmod, '') AS lastmod, row_number() OVER (PARTITION BY domain ORDER BY place) AS ordinal FROM f""")
 def sitemap_urls(spark, sf_dir):
     pages = _pages(spark, sf_dir)
-    return D.sitemap_urls(D.sitemap_candidates(_sites(pages), spark.createDataFrame([], "netloc string, body string")), _sitemaps(pages), 10**9)
+    return D.sitemap_urls(D.sitemap_candidates(_sites(pages), spark.createDataFrame([], "netloc string, body string")), _sitemaps(pages), 10**9, hold=_held)
 
 
 @query(f"""WITH {_LISTED}, e AS (SELECT *, row_number() OVER (PARTITION BY domain, doc = 3 ORDER BY doc, page_id) AS entry FROM listed),
@@ -132,7 +138,7 @@ def sitemap_urls_capped(spark, sf_dir):
     sites, robots = _sites(pages, ("/en/",)), _robots(pages)
     wanted = lambda urls: D.filter_patterns(D.can_fetch(urls, robots).filter("allowed").drop("allowed"), sites)
     candidates = D.sitemap_candidates(sites, spark.createDataFrame([], "netloc string, body string"))
-    return D.sitemap_urls(candidates, _sitemaps(pages), 20, wanted)
+    return D.sitemap_urls(candidates, _sitemaps(pages), 20, wanted, _held)
 
 
 # ------------------------------------------------------------------ feeds

@@ -131,14 +131,14 @@ def parse_sitemaps(documents: DataFrame) -> DataFrame:
     )
 
 
-def sitemap_urls(candidates: DataFrame, documents: DataFrame, max_urls: int = 10_000, wanted: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def sitemap_urls(candidates: DataFrame, documents: DataFrame, max_urls: int = 10_000, wanted: Callable[[DataFrame], DataFrame] | None = None, hold: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """(domain, url, lastmod, ordinal) of the urls that the candidates and their children list, first mention first.
 
     Indexes are followed to ``MAX_DEPTH`` levels below a candidate; each level is one join with the parsed documents. A candidate
     and its children give ``max_urls`` entries at most, wanted or not; ``wanted`` filters what is left, and of that a domain keeps
-    ``max_urls``.
+    ``max_urls``. ``hold`` may write the parsed documents down, which each level reads.
     """
-    parsed = parse_sitemaps(documents)
+    parsed = hold(parse_sitemaps(documents))
     level = candidates.select("domain", F.col("url").alias("doc"), F.array(F.col("pos").cast("bigint")).alias("path"))
     found = None
     for _ in range(MAX_DEPTH + 1):
