@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_runs, packing, periodic_runs, pii, quality_ranker, quality_rules, simhash, suffix_dedup, toxicity, warc, wrapper
+from . import decontaminate, line_runs, packing, periodic_runs, pii, quality_ranker, quality_rules, simhash, source_tries, suffix_dedup, toxicity, warc, wrapper
 
 QUERIES = {
     "op1_quality_ranker": quality_ranker.op1_quality_ranker,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op11_source_divergence": source_tries.op11_source_divergence,
     "op12_periodic_runs": periodic_runs.op12_periodic_runs,
     "op13_line_dedup": line_runs.op13_line_dedup,
 }
@@ -22,5 +23,6 @@ ORACLES = {
     "op3_warc": warc.OP3_SQL,
     "op5_decontaminate": decontaminate.OP5_SQL,
     "op9_quality_rules": quality_rules.OP9_SQL,
+    "op11_source_divergence": source_tries.OP11_SQL,
     "op13_line_dedup": line_runs.OP13_SQL,
 }
