@@ -32,7 +32,6 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_PHONE_TAIL = re.compile(r"[ ().0-9-]*")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
 
@@ -126,9 +125,10 @@ _ALSO = {"oh": "0", "zwo": "2", "fuenf": "5", "ein": "1"}
 _VALUE = {w: str(i) for words in _SPELLINGS.values() for i, w in enumerate(words.split())} | _ALSO
 _UNIT = "|".join(sorted(_VALUE, key=lambda w: (-len(w), w)))
 _SPELLED = re.compile(rf"(?i)(?:\+\s*|\bplus[\s,-]+|\b)(?:(?:{_UNIT})\b|[0-9]+)(?:[\s,-]+(?:(?:{_UNIT})\b|[0-9]+))+")
-_ANY_SPELLED = re.compile(rf"(?i)\b(?:{_UNIT})\b")
+_TOKEN = re.compile(r"[^\W\d_]+|\d+")
 _WORD_OR_DIGITS = re.compile(rf"(?i){_UNIT}|[0-9]+")
 _POINT = "dot|point|punkt|punto"
+_POINTS = frozenset(_POINT.split("|"))
 # A part of an address has three digits at most; the bound keeps the search linear.
 _SPELLED_IP = re.compile(
     rf"(?i)\b(?:(?:{_UNIT})[\s-]+|[0-9]{{1,3}}\s+){{1,3}}(?:(?:{_POINT})\s+(?:(?:{_UNIT})\b[\s-]*|[0-9]{{1,3}}\s*){{1,3}}){{3}}"
@@ -141,9 +141,10 @@ _AT = rf"\s*{_OPEN}(?:at|@){_CLOSE}\s*|\s+at\s+|\s+@\s*|@\s+|@|[_-]at[_-]"
 _DOT = rf"\s*{_OPEN}(?:dot|punkt|punto|point|\.){_CLOSE}\s*|\s+dot\s+|\s+\.\s*(?=[a-z])|\.|[_-]dot[_-]"
 _SEGMENT = r"[a-z0-9%+]++"
 _LOCAL = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-]){_SEGMENT}(?:(?:[._%+-]|{_DOT}){_SEGMENT})*+")
-_DISGUISED = re.compile(
-    rf"(?i)(?<=[a-z0-9%+])(?P<a>{_AT})(?P<d>[a-z0-9]+(?:-[a-z0-9]+)*(?:(?:{_DOT})[a-z0-9]+(?:-[a-z0-9]+)*)+)"
-)
+_AT_SIGN = re.compile(rf"(?i)(?<=[a-z0-9%+])(?:{_AT})")
+# A label ends before a disguised dot, so what follows never has to give any of it back.
+_LABEL = r"[a-z0-9]++(?:-(?!dot[_-])[a-z0-9]++)*+"
+_HOST = re.compile(rf"(?i)(?P<first>{_LABEL})(?P<rest>(?:(?:{_DOT}){_LABEL})*+)")
 _WRITTEN_DOT = re.compile(r"(?i)^(?!(?:the|a|an|this|that)\b).*(?:\bdot\b|[\[({<])", re.S)
 _DOT_ONLY = re.compile(rf"(?i){_DOT}")
 
@@ -182,34 +183,51 @@ def _unlike(text: str) -> list[tuple[int, int, str]]:
 def _undisguise(text: str) -> list[tuple[int, int, str]]:
     """Disguised at and dot signs inside what reads as an address."""
     edits: list[tuple[int, int, str]] = []
-    done, local, m = 0, _LOCAL.search(text), _DISGUISED.search(text)
-    while m:
-        a, b = m.span("a")
+    done, local, at = 0, _LOCAL.search(text), _AT_SIGN.search(text)
+    while at:
+        (a, b), host = at.span(), _HOST.match(text, at.end())
+        if not host or not host["rest"]:
+            at = _AT_SIGN.search(text, a + 1)
+            if at and host and b <= at.start() < host.end():
+                at = _AT_SIGN.search(text, host.end())  # a sign inside the label comes to the same end of it, where no dot is
+            continue
         while local and local.end() < a:
             local = _LOCAL.search(text, local.end())
         if local and local.start() < done:
             local = _LOCAL.search(text, done)
         if not local or local.start() >= a:
-            m = _DISGUISED.search(text, a + 1)
+            at = _AT_SIGN.search(text, a + 1)
             continue
-        done = m.end()
-        plain_at = m["a"].strip() == "@" or any(x in m["a"] for x in "[({<_-")
-        if plain_at or _WRITTEN_DOT.search(m["d"]):  # else "look at example.com" is prose
-            for lo, hi in ((local.start(), a), m.span("d")):
+        done = host.end()
+        plain_at = at[0].strip() == "@" or any(x in at[0] for x in "[({<_-")
+        if plain_at or _WRITTEN_DOT.search(host[0]):  # else "look at example.com" is prose
+            for lo, hi in ((local.start(), a), host.span()):
                 edits += [(x.start() + lo, x.end() + lo, ".") for x in _DOT_ONLY.finditer(text[lo:hi]) if x[0] != "."]
-            if m["a"] != "@":
+            if at[0] != "@":
                 edits.append((a, b, "@"))
-        m = _DISGUISED.search(text, done)
+        at = _AT_SIGN.search(text, done)
     return sorted(edits)
 
 
 def _read_digits(part: str) -> str:
-    return "".join(_VALUE.get(x.lower(), x) for x in _WORD_OR_DIGITS.findall(part))
+    return "".join(_VALUE.get(x.casefold(), x) for x in _WORD_OR_DIGITS.findall(part))
+
+
+def _may_spell(text: str) -> bool:
+    """Whether a spelled digit stands beside another digit; cheap, and true wherever ``_spelled`` finds anything."""
+    tokens = _TOKEN.findall(text.casefold())
+    last = len(tokens) - 1
+    return any(
+        any(x in _VALUE or x[0].isdecimal() or x in _POINTS for x in (tokens[max(i - 1, 0)], tokens[min(i + 1, last)]))
+        for i, t in enumerate(tokens)
+        if t in _VALUE
+    )
 
 
 def _spelled(text: str) -> list[tuple[int, int, str]]:
     edits = []
-    for m in _SPELLED_IP.finditer(text):
+    low = text.casefold()
+    for m in _SPELLED_IP.finditer(text) if sum(map(low.count, _POINTS)) >= 3 else ():
         new = ".".join(_read_digits(p) for p in re.split(rf"(?i){_POINT}", m[0]))
         edits.append((m.start(), m.start() + len(m[0].rstrip(" \t\r\n-")), new))
     ends = [b for _, b, _ in edits]
@@ -240,7 +258,7 @@ def find(text: str | None) -> list[tuple[str, int, int, bool]]:
     if "at" in low or "@" in low:
         if edits := _undisguise(now.text if now else text):
             now = (now or Rewritten.of(text)).apply(edits)
-    if _ANY_SPELLED.search(now.text if now else text):
+    if _may_spell(now.text if now else text):
         if edits := _spelled(now.text if now else text):
             now = (now or Rewritten.of(text)).apply(edits)
     if now is not None and now.text != text:

@@ -1,7 +1,4 @@
-"""The stages after the first on sf0.01: near copies against brute force over both kinds of links, the rest against their operators.
-
-``test_pipeline.test_stages`` holds the second stage to op8's links alone; this holds it to five words and a similarity of 0.8 as well.
-"""
+"""The stages after the first on sf0.01: near copies against brute force over both kinds of links, the rest against their operators."""
 
 import corpus_pipeline
 import numpy as np
