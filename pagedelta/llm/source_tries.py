@@ -1,9 +1,9 @@
 """Audit of how sources of one language differ, by mergeable byte tries.
 
-A partition counts its terms in a radix trie over UTF-8 bytes for each language; a leaf counts the term's occurrences by
+A partition keeps its terms in a radix trie over UTF-8 bytes for each language; a leaf counts the term's occurrences by
 source and its documents. Tries are written down in the order of their bytes, which is that of UTF-8, and dealt out by ranges
 of (language, term), so a range has all there is of its prefixes; there the tries are merged, leaf by leaf, and terms of too
-few documents are left out. A trie of more than ``ENTRIES`` counters is written down and begun anew, so memory is bounded.
+few documents are left out. A task counts ``CHUNK_BYTES`` of texts at a time and writes their tries down, so memory is bounded.
 
 A second pass reads the merged terms in order. Of a term that few sources have, only the pairs with one of those are
 computed; for all other pairs the term counts as one that neither has, which is added once for all terms. All arithmetic is on
@@ -19,12 +19,13 @@ whole, in time linear in their length.
 
 from __future__ import annotations
 
-import re
 import string
-from collections import Counter, defaultdict
-from collections.abc import Callable, Iterable, Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from os.path import commonprefix
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -37,122 +38,177 @@ MIN_DOCS = 3
 TOP = 200
 #: Shares are whole billionths.
 ONE = 1_000_000_000
-ENTRIES = 400_000
+CHUNK_BYTES = 24_000_000
+BURST = 2048
 #: Rows of partial counts that one range merges, about.
 RANGE_ROWS = 400_000
 CELLS = 1 << 20
-TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+#: Bytes of terms, A-Z in lower case, and blanks for all others: U+0000 to U+0040, U+005B to U+0060 and U+007B to U+007F.
+TERM_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b > 0x7F else 0x20 for b in range(256))
 COUNTS = "lang string, term string, n_docs bigint, sources array<string>, counts array<bigint>"
 
 
+class _Fork:
+    """Terms that begin with ``prefix``: the leaf of the prefix itself, and by the next byte forks or buckets of the longer ones."""
+
+    __slots__ = ("prefix", "children", "leaf")
+
+    def __init__(self, prefix: bytes):
+        self.prefix, self.children, self.leaf = prefix, {}, None
+
+
 class Trie:
-    """Terms as paths of byte strings; a leaf is a dict of counters. A node is a pair of edges, by first byte, and leaf."""
+    """A radix trie over bytes. A leaf is a list: documents, then source, occurrences, source, occurrences and so on.
+
+    Below the forks lie buckets, dicts from whole terms to leaves; one of more than ``BURST`` terms becomes a fork at the first
+    byte in which they differ.
+    """
 
     def __init__(self):
-        self.root: list = [{}, None]
-
-    def leaf(self, term: bytes) -> dict:
-        """The counters of a term, which is added if need be."""
-        node, i, n = self.root, 0, len(term)
-        while i < n:
-            if node[0] is None:
-                node[0] = {}
-            edge = node[0].get(term[i])
-            if edge is None:
-                leaf: dict = {}
-                node[0][term[i]] = [term[i:], [None, leaf]]
-                return leaf
-            label, child = edge
-            if not term.startswith(label, i):
-                same = 1
-                while i + same < n and label[same] == term[i + same]:
-                    same += 1
-                child = [{label[same]: [label[same:], child]}, None]
-                label = label[:same]
-                edge[:] = label, child
-            node, i = child, i + len(label)
-        if node[1] is None:
-            node[1] = {}
-        return node[1]
-
-    def add(self, term: bytes, counts: Iterable[tuple]) -> None:
-        leaf = self.leaf(term)
-        for key, n in counts:
-            leaf[key] = leaf.get(key, 0) + n
-
-    def items(self) -> Iterator[tuple[bytes, dict]]:
-        """Terms and their counters in the order of their bytes."""
-        stack = [(b"", self.root)]
+        self.root: _Fork | dict = {}
+
+    def _put(self, parent: _Fork | None, byte: int, node: _Fork) -> _Fork:
+        if parent is None:
+            self.root = node
+        else:
+            parent.children[byte] = node
+        return node
+
+    def leaf(self, term: bytes) -> list:
+        """The leaf of a term, which is added if need be."""
+        parent, byte, node = None, 0, self.root
+        while type(node) is _Fork:
+            prefix = node.prefix
+            if not term.startswith(prefix):
+                fork = _Fork(commonprefix([term, prefix]))
+                fork.children[prefix[len(fork.prefix)]] = node
+                node = self._put(parent, byte, fork)
+                continue
+            if len(term) == len(prefix):
+                if node.leaf is None:
+                    node.leaf = [0]
+                return node.leaf
+            parent, byte = node, term[len(prefix)]
+            node = parent.children.get(byte)
+            if node is None:
+                node = parent.children[byte] = {}
+        leaf = node.get(term)
+        if leaf is None:
+            leaf = node[term] = [0]
+            if len(node) > BURST:
+                fork = self._put(parent, byte, _Fork(commonprefix(list(node))))
+                for t, own in node.items():
+                    if len(t) == len(fork.prefix):
+                        fork.leaf = own
+                    else:
+                        fork.children.setdefault(t[len(fork.prefix)], {})[t] = own
+        return leaf
+
+    def items(self) -> Iterator[tuple[bytes, list]]:
+        """Terms and their leaves in the order of their bytes."""
+        stack = [self.root]
         while stack:
-            term, (edges, leaf) = stack.pop()
-            if leaf is not None:
-                yield term, leaf
-            for first in sorted(edges or (), reverse=True):
-                label, child = edges[first]
-                stack.append((term + label, child))
+            node = stack.pop()
+            if type(node) is dict:
+                for term in sorted(node):
+                    yield term, node[term]
+                continue
+            if node.leaf is not None:
+                yield node.prefix, node.leaf
+            stack += [node.children[byte] for byte in sorted(node.children, reverse=True)]
 
 
-def _written(tries: dict[str, Trie], min_docs: int = 0, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
-    """``COUNTS`` of tries by language; the counter of documents has the key None."""
+def _written(tries: dict[str, Trie], names: list[str], min_docs: int = 0, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """``COUNTS`` of tries by language, whose leaves number the sources as in ``names``; a source that a leaf names twice is added up."""
+    known = pa.array(names, pa.string())
 
     def batch() -> pa.RecordBatch:
-        ends = np.r_[0, np.cumsum(sizes)].astype(np.int32)
-        cells = [pa.array(sources, pa.string()), pa.array(counts, pa.int64())]
-        lists = [pa.ListArray.from_arrays(pa.array(ends), x) for x in cells]
+        flat = np.array(cells, np.int64).reshape(-1, 2)
+        lists = [known.take(pa.array(flat[:, 0])), pa.array(flat[:, 1])]
+        ends = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
         return pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(terms), pa.string()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(docs, pa.int64()), *lists], names
-        )
+            [
+                pa.array([lang] * len(terms), pa.string()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(docs, pa.int64()),
+                *(pa.ListArray.from_arrays(ends, x) for x in lists),
+            ],
+            ["lang", "term", "n_docs", "sources", "counts"],
+        )
 
-    names = ["lang", "term", "n_docs", "sources", "counts"]
     for lang in sorted(tries):
-        terms, docs, sizes, sources, counts = [], [], [], [], []
+        terms, docs, sizes, cells = [], [], [], []
         for term, leaf in tries[lang].items():
-            if leaf[None] < min_docs:
+            if leaf[0] < min_docs:
                 continue
+            pairs = leaf[1:]
+            if len(pairs) > 2 and len(set(pairs[::2])) < len(pairs) // 2:
+                sums: dict[int, int] = {}
+                for source, n in zip(pairs[::2], pairs[1::2]):
+                    sums[source] = sums.get(source, 0) + n
+                pairs = [x for pair in sums.items() for x in pair]
             terms.append(term)
-            docs.append(leaf[None])
-            sizes.append(len(leaf) - 1)
-            for source, n in leaf.items():
-                if source is not None:
-                    sources.append(source)
-                    counts.append(n)
+            docs.append(leaf[0])
+            sizes.append(len(pairs) // 2)
+            cells += pairs
             if len(terms) >= rows:
                 yield batch()
-                terms, docs, sizes, sources, counts = [], [], [], [], []
+                terms, docs, sizes, cells = [], [], [], []
         if terms:
             yield batch()
 
 
-def _count(entries: int) -> Callable:
-    """Tries of the texts of a partition."""
-
-    def tries(occurrences: dict, documents: dict) -> dict[str, Trie]:
-        out: dict[str, Trie] = defaultdict(Trie)
-        for (lang, source), terms in occurrences.items():
-            leaf = out[lang].leaf
-            for term, n in terms.items():
-                leaf(term)[source] = n
-        for lang, terms in documents.items():
-            leaf = out[lang].leaf
-            for term, n in terms.items():
-                leaf(term)[None] = n
-        return out
+def _tries(langs: np.ndarray, sources: np.ndarray, n_sources: int, texts: list[bytes]) -> dict[int, Trie]:
+    """Tries by number of the language, of texts of which only terms and blanks are left."""
+    split = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).cast(pa.string()))
+    doc = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+    tokens = split.flatten().dictionary_encode()
+    terms = tokens.dictionary.cast(pa.binary()).to_pylist()
+    term = tokens.indices.to_numpy().astype(np.int64)
+    if b"" in terms:  # before the first blank and behind the last
+        held = term != terms.index(b"")
+        doc, term = doc[held], term[held]
+
+    def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        codes, distinct = pd.factorize(keys)
+        order = np.argsort(distinct)
+        return distinct[order], np.bincount(codes, minlength=len(distinct))[order]
+
+    cells, n = counted((langs[doc] * len(terms) + term) * n_sources + sources[doc])
+    once = pd.unique(doc * len(terms) + term)
+    of, docs = counted(langs[once // len(terms)] * len(terms) + once % len(terms)) if len(terms) else (cells, n)
+    ends = (2 * np.searchsorted(cells // n_sources, of, "right")).tolist()
+    flat = np.stack([cells % n_sources, n], 1).ravel().tolist()
+    out: dict[int, Trie] = defaultdict(Trie)
+    start = 0
+    for key, in_docs, end in zip(of.tolist(), docs.tolist(), ends):
+        lang, at = divmod(key, len(terms))
+        leaf = out[lang].leaf(terms[at])
+        leaf[0] = in_docs
+        leaf += flat[start:end]
+        start = end
+    return out
+
+
+def _count(chunk: int) -> Callable:
+    """Tries of the texts of a partition, written down after so many bytes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        occurrences, documents, held = defaultdict(Counter), defaultdict(Counter), 0
+        held, size = [], 0
+
+        def written() -> Iterator[pa.RecordBatch]:
+            langs, sources = (pd.factorize(np.array([x[i] for x in held], object), sort=True) for i in (0, 1))
+            names = sources[1].tolist()
+            for lang, trie in _tries(langs[0], sources[0], len(names), [x[2] for x in held]).items():
+                yield from _written({langs[1][lang]: trie}, names)
+
         for batch in batches:
-            langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lang, source, text in zip(langs, sources, batch.column(2).cast(pa.binary())):
-                terms = TERM.findall(text.as_py().lower())  # of bytes: A-Z alone
-                counter = occurrences[lang, source]
-                held -= len(counter)
-                counter.update(terms)
-                held += len(counter)
-                documents[lang].update(set(terms))
-                if held >= entries:
-                    yield from _written(tries(occurrences, documents))
-                    occurrences, documents, held = defaultdict(Counter), defaultdict(Counter), 0
-        yield from _written(tries(occurrences, documents))
+            for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())):
+                held.append((lang, source, text.as_py().translate(TERM_BYTES)))
+                size += len(held[-1][2])
+                if size >= chunk:
+                    yield from written()
+                    held, size = [], 0
+        if held:
+            yield from written()
 
     return work
 
@@ -162,15 +218,25 @@ def _merge(min_docs: int) -> Callable:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries: dict[str, Trie] = defaultdict(Trie)
+        names: list[str] = []
+        number: dict[str, int] = {}
         for batch in batches:
             langs, docs = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             terms = batch.column(1).cast(pa.binary()).to_pylist()
-            ends = batch.column(3).offsets.to_pylist()
-            sources, counts = batch.column(3).values.to_pylist(), batch.column(4).values.to_pylist()
+            ends = batch.column(3).offsets.to_numpy()
+            sources = batch.column(3).flatten().dictionary_encode()
+            for source in sources.dictionary.to_pylist():
+                if source not in number:
+                    number[source] = len(names)
+                    names.append(source)
+            at = np.array([number[x] for x in sources.dictionary.to_pylist()], np.int64)[sources.indices.to_numpy()]
+            cells = np.stack([at, batch.column(4).flatten().to_numpy()], 1).ravel().tolist()
+            ends = (2 * (ends - ends[0])).tolist()
             for i, (lang, term, n) in enumerate(zip(langs, terms, docs)):
-                a, b = ends[i], ends[i + 1]
-                tries[lang].add(term, [(None, n), *zip(sources[a:b], counts[a:b])])
-        yield from _written(tries, min_docs)
+                leaf = tries[lang].leaf(term)
+                leaf[0] += n
+                leaf += cells[ends[i] : ends[i + 1]]
+        yield from _written(tries, names, min_docs)
 
     return work
 
@@ -271,7 +337,7 @@ def merged_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "so
     """``COUNTS`` of every term in at least so many documents of its language, one row for a term, ranges in order."""
     spark = docs.sparkSession
     rows = docs.select(*(F.coalesce(c, F.lit("")).alias(to) for c, to in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))))
-    counted = staged(rows.mapInArrow(_count(ENTRIES), COUNTS), "term-tries")
+    counted = staged(rows.mapInArrow(_count(CHUNK_BYTES), COUNTS), "term-tries")
     ranges = max(spark.sparkContext.defaultParallelism, -(-counted.count() // RANGE_ROWS))
     return staged(counted.repartitionByRange(ranges, "lang", "term").mapInArrow(_merge(min_docs), COUNTS), "term-counts")
 
