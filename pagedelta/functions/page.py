@@ -40,6 +40,7 @@ CLOSES_P = frozenset(
 )
 BARRIER = frozenset("table ul ol dl div article section main aside nav header footer form body html".split())
 SIGNALS = "struct<title:string,meta_description:string,h1_tags:array<string>,noindex:boolean,canonical:string,schemas:array<string>,main_text:string>"
+_NAMES = [x.split(":")[0] for x in SIGNALS.removeprefix("struct<").split(",")]
 
 
 class Node:
@@ -79,6 +80,12 @@ class _Tree(HTMLParser):
     def handle_data(self, data: str) -> None:
         self.open[-1].children.append(data)
 
+    def parse_html_declaration(self, i: int) -> int:
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:  # a marked section of no known kind
+            return self.parse_bogus_comment(i)
+
 
 def parse(html: str) -> Node:
     tree = _Tree()
@@ -158,18 +165,37 @@ def page_signals(html: Column) -> Column:
 
 
 def _signals(html: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([read_page(h) for h in html], columns=["title", "meta_description", "h1_tags", "noindex", "canonical", "schemas", "main_text"])
+    return pd.DataFrame([read_page(h) for h in html], columns=_NAMES)
+
+
+def _signals_or_error(html: pd.Series) -> pd.DataFrame:
+    def one(h: str | None) -> tuple:
+        try:
+            return (*read_page(h), None)
+        except Exception as e:  # one page must not fail the others; the error is a value
+            return (*[None] * len(_NAMES), f"{type(e).__name__}: {e}"[:500])
+
+    return pd.DataFrame([one(h) for h in html], columns=[*_NAMES, "error"])
+
+
+def extract_or_error(captures: DataFrame) -> DataFrame:
+    """Page extracts of captures (domain, url, html), with the error of those that could not be read."""
+    read = F.pandas_udf(_signals_or_error, SIGNALS.removesuffix(">") + ",error:string>")
+    return _extracts(captures.select("domain", "url", read("html").alias("p")).select("domain", "url", "p.*"), "error")
 
 
 def extract(captures: DataFrame) -> DataFrame:
     """Page extracts of captures (domain, url, html)."""
-    rows = captures.select("domain", "url", page_signals(F.col("html")).alias("p")).select("domain", "url", "p.*")
+    return _extracts(captures.select("domain", "url", page_signals(F.col("html")).alias("p")).select("domain", "url", "p.*"))
+
+
+def _extracts(rows: DataFrame, *more: str) -> DataFrame:
     text = T.normalize_text(F.col("main_text"))
     rows = rows.withColumn("main_text", text)
     body = F.col("main_text")
     return rows.select(
         "domain", "url", T.content_hash(body).alias("content_hash"), "title", "meta_description", "h1_tags", T.word_count(body).alias("word_count"),
-        "canonical", "schemas", T.snippet(body).alias("content_snippet"), "noindex",
+        "canonical", "schemas", T.snippet(body).alias("content_snippet"), "noindex", *more,
     )
 
 

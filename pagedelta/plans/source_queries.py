@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config, Settings
@@ -81,14 +83,29 @@ def _xml(x):
     return F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
 
 
-def _sitemaps(pages: DataFrame) -> DataFrame:
-    """An index of three sitemaps with a quarter of a site's pages each, and a sitemap with the last quarter and some of the first again."""
+def _listed(pages: DataFrame) -> DataFrame:
+    """The pages by the sitemap that lists them, some twice."""
     k = F.col("page_id") % 4
     first = pages.select("domain", "page_id", "url", F.when(k < 3, k).otherwise(3).alias("doc"), F.when(F.col("page_id") % 5 == 0, "2024-01-20").alias("lastmod"))
-    again = pages.filter("page_id % 8 = 0").select("domain", "page_id", "url", F.lit(3).alias("doc"), F.lit("2023").alias("lastmod"))
+    return first.unionByName(pages.filter("page_id % 8 = 0").select("domain", "page_id", "url", F.lit(3).alias("doc"), F.lit("2023").alias("lastmod")))
+
+
+def _documents(listed: DataFrame, entry: Column) -> DataFrame:
+    """(domain, doc, e): the entries of each sitemap in order."""
+    return listed.select("domain", "doc", F.struct("page_id", "lastmod", entry.alias("x")).alias("e")).groupBy("domain", "doc").agg(F.array_sort(F.collect_list("e")).alias("e"))
+
+
+def _entries(documents: DataFrame) -> DataFrame:
+    """What the reader finds in documents whose url is doc/domain."""
+    got = D.sitemap_entries(documents).filter("error IS NULL")
+    place = F.split("doc", "/")
+    return got.select(place[0].cast("bigint").alias("doc"), place[1].alias("domain"), F.col("loc").alias("url"), "lastmod", "k")
+
+
+def _sitemaps(pages: DataFrame) -> DataFrame:
+    """An index of three sitemaps with a quarter of a site's pages each, and a sitemap with the last quarter and some of the first again."""
     entry = F.concat(F.lit("<url><loc> "), _xml(F.col("url")), F.lit(" </loc>"), F.coalesce(F.concat(F.lit("<lastmod>"), "lastmod", F.lit("</lastmod>")), F.lit("")), F.lit("</url>"))
-    rows = first.unionByName(again).select("domain", "doc", F.struct("page_id", entry.alias("x")).alias("e"))
-    sets = rows.groupBy("domain", "doc").agg(F.array_sort(F.collect_list("e")).alias("e"))
+    sets = _documents(_listed(pages), entry)
     ns = F.lit('<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">')
     at = F.when(F.col("doc") < 3, F.concat(F.lit("https://www."), "domain", F.lit("/sm"), F.col("doc").cast("string"), F.lit(".xml"))).otherwise(F.concat(F.lit("https://"), "domain", F.lit("/sitemap.xml")))
     sets = sets.select(at.alias("url"), F.concat(ns, F.array_join("e.x", ""), F.lit("</urlset>")).cast("binary").alias("body"))
@@ -115,9 +132,9 @@ def sitemap_candidates(spark, sf_dir):
 
 @query(f"WITH {_LISTED} SELECT doc, domain, count(*) AS n, count(lastmod) AS n_lastmod FROM listed GROUP BY ALL")
 def sitemap_documents(spark, sf_dir):
-    got = D.parse_sitemaps(_sitemaps(_pages(spark, sf_dir))).filter("kind = 'urlset'").select("url", F.explode("urls").alias("u"))
-    doc = F.coalesce(F.nullif(F.regexp_extract("url", r"/sm(\d)\.xml", 1), F.lit("")).cast("int"), F.lit(3))
-    return got.groupBy(doc.cast("bigint").alias("doc"), F.regexp_extract("url", X.DOMAIN, 1).alias("domain")).agg(F.count(F.lit(1)).alias("n"), F.count("u.lastmod").alias("n_lastmod"))
+    got = D.sitemap_entries(_sitemaps(_pages(spark, sf_dir))).filter("kind = 'urlset'")
+    doc = F.coalesce(F.nullif(F.regexp_extract("doc", r"/sm(\d)\.xml", 1), F.lit("")).cast("int"), F.lit(3))
+    return got.groupBy(doc.cast("bigint").alias("doc"), F.regexp_extract("doc", X.DOMAIN, 1).alias("domain")).agg(F.count(F.lit(1)).alias("n"), F.count("lastmod").alias("n_lastmod"))
 
 
 @query(f"""WITH {_LISTED}, f AS (SELECT domain, url, min((doc, page_id)) AS place, arg_min(coalesce(lastmod, ''), (doc, page_id)) AS lastmod FROM listed GROUP BY 1, 2)
@@ -141,6 +158,37 @@ def sitemap_urls_capped(spark, sf_dir):
     return D.sitemap_urls(candidates, _sitemaps(pages), 20, wanted, _held)
 
 
+@query(f"""WITH {_LISTED}, d AS (SELECT doc, domain, list(struct_pack(u := url, m := lastmod) ORDER BY page_id, lastmod) AS e FROM listed GROUP BY ALL)
+SELECT doc, domain, x.u AS url, CASE WHEN i < len(e) THEN nullif(x.m, '') WHEN x.m IS NULL THEN NULL ELSE x.m || 'T1' END AS lastmod, i - 1 AS k
+FROM (SELECT doc, domain, e, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM d)""")
+def sitemap_damaged(spark, sf_dir):
+    """Sitemaps that break off inside the last entry, with bare ampersands, end tags too many and entries that do not end."""
+    rows = _listed(_pages(spark, sf_dir))
+    entry = F.concat(
+        F.lit("<url><loc> "), F.when(F.col("page_id") % 3 == 0, F.col("url")).otherwise(_xml(F.col("url"))), F.when(F.col("page_id") % 4 == 0, "").otherwise(" </loc></b>"),
+        F.coalesce(F.concat(F.lit("<lastmod>"), "lastmod"), F.lit("")), F.when((F.col("page_id") % 5 == 1) | F.col("lastmod").isNull(), "").otherwise("</lastmod></url>"),
+    )
+    sets = _documents(rows, entry)
+    cut = F.concat(F.lit("<urlset>"), F.regexp_replace(F.array_join("e.x", ""), "(<lastmod>[^<]*)</lastmod></url>$", "$1T1"))
+    return _entries(sets.select(F.concat_ws("/", "doc", "domain").alias("url"), cut.cast("binary").alias("body")))
+
+
+@query(f"""WITH {_LISTED}, d AS (SELECT doc, domain, list(struct_pack(u := url, m := lastmod) ORDER BY page_id, lastmod) AS e FROM listed WHERE doc % 2 = 0 GROUP BY ALL)
+SELECT doc, domain, x.u AS url, x.m AS lastmod, i - 1 AS k FROM (SELECT doc, domain, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM d)""")
+def sitemap_gzipped(spark, sf_dir):
+    """Gzipped sitemaps of two members, of which every second breaks off and so has no entries."""
+    rows = _listed(_pages(spark, sf_dir))
+    entry = F.concat(F.lit("<url><loc>"), _xml(F.col("url")), F.lit("</loc>"), F.coalesce(F.concat(F.lit("<lastmod>"), "lastmod", F.lit("</lastmod>")), F.lit("")), F.lit("</url>"))
+    sets = _documents(rows, entry).select(F.concat_ws("/", "doc", "domain").alias("url"), F.col("doc"), F.concat(F.lit("<urlset>"), F.array_join("e.x", ""), F.lit("</urlset>")).alias("body"))
+
+    @F.pandas_udf("binary")
+    def packed(texts: pd.Series, broken: pd.Series) -> pd.Series:
+        two = (gzip.compress(t[:9].encode()) + gzip.compress(t[9:].encode()) for t in texts)
+        return pd.Series([b[:-20] if cut else b for b, cut in zip(two, broken, strict=True)], dtype=object)
+
+    return _entries(sets.select("url", packed("body", F.col("doc") % 2 == 1).alias("body")))
+
+
 # ------------------------------------------------------------------ feeds
 
 
@@ -170,6 +218,43 @@ def feed_first_wins(spark, sf_dir):
     return D.feed_entries(feeds, docs)
 
 
+_ITEMS = f"""p AS ({_SITE}), z AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY page_id) - 1 AS k FROM p)"""
+
+
+def _feed(rows: DataFrame, item: Column, head: str, tail: str) -> DataFrame:
+    """A feed of each site with an item for each page, in order."""
+    items = rows.select("domain", F.struct("page_id", item.alias("x")).alias("e")).groupBy("domain").agg(F.array_sort(F.collect_list("e")).alias("e"))
+    return items.select("domain", F.concat(F.lit("https://"), "domain", F.lit("/own")).alias("url"), F.concat(F.lit(head), F.array_join("e.x", ""), F.lit(tail)).alias("body"))
+
+
+@query(f"""WITH {_ITEMS} SELECT domain, url, 'A & B ' || page_id || ' &x' AS title, CAST(NULL AS VARCHAR) AS published,
+  'cut < ' || page_id AS summary, k AS ordinal FROM z WHERE k < 50""")
+def feed_damaged(spark, sf_dir):
+    """Feeds with bare ampersands and brackets, items and fields that do not end, and no end of their own."""
+    link = F.when(F.col("page_id") % 2 == 0, _xml(F.col("url"))).otherwise(F.col("url"))
+    item = F.concat(
+        F.lit("<item><title>A & B "), F.col("page_id").cast("string"), F.lit(" &x</b></title><link> "), link, F.when(F.col("page_id") % 3 == 0, "").otherwise("</link>"),
+        F.lit("<description>cut < "), F.col("page_id").cast("string"), F.when(F.col("page_id") % 5 == 0, "").otherwise("</description></item>"),
+    )
+    docs = _feed(_pages(spark, sf_dir), item, "<rss><channel><title>All</title>", "</")
+    return D.feed_entries(docs.select("domain", F.lit(0).alias("pos"), "url"), docs.select("url", "body"))
+
+
+@query(f"""WITH {_ITEMS} SELECT domain, url, 'T ' || page_id AS title, CASE WHEN page_id % 2 = 0 THEN 'p' || page_id ELSE 'u' END AS published,
+  CASE WHEN page_id % 3 = 0 THEN 's' || page_id ELSE 'c' END AS summary, k AS ordinal FROM z WHERE k < 50""")
+def feed_atom(spark, sf_dir):
+    """Atom feeds under a prefix: alternate links among others, published before updated, content for want of a summary."""
+    number = F.col("page_id").cast("string")
+    when = lambda test, text: F.when(test, text).otherwise("")
+    item = F.concat(
+        F.lit("<a:entry><a:link rel='self' href='/self'/><a:link href='"), _xml(F.col("url")), F.lit("'/><a:title type='text'>T "), number, F.lit("</a:title><a:updated>u</a:updated>"),
+        when(F.col("page_id") % 2 == 0, F.concat(F.lit("<a:published>p"), number, F.lit("</a:published>"))),
+        when(F.col("page_id") % 3 == 0, F.concat(F.lit("<a:summary>s"), number, F.lit("</a:summary>"))), F.lit("<a:content>c</a:content><m:title>no</m:title></a:entry>"),
+    )
+    docs = _feed(_pages(spark, sf_dir), item, "<?xml version='1.0'?><a:feed xmlns:a='http://www.w3.org/2005/Atom' xmlns:m='m'><a:title>All</a:title>", "</a:feed>")
+    return D.feed_entries(docs.select("domain", F.lit(0).alias("pos"), "url"), docs.select("url", "body"))
+
+
 @query(f"WITH p AS ({_SITE}) SELECT DISTINCT domain, CAST(0 AS INTEGER) AS pos, 'https://www.' || domain || CASE WHEN length(domain) % 2 = 0 THEN '/blog/feed' ELSE '/feed.xml' END AS url FROM p")
 def feed_discovery(spark, sf_dir):
     """Of the usual places one answers with a page, one with a feed typed as a page, one with a feed."""
@@ -206,7 +291,7 @@ def _client() -> H.Client:
 _C = "(SELECT url, substring(md5(url), 1, 1) AS c FROM (SELECT DISTINCT url FROM pages WHERE url IS NOT NULL))"
 
 
-@query(f"""SELECT url, CAST(CASE WHEN c < '4' THEN NULL WHEN c < '6' THEN 301 ELSE 200 END AS INTEGER) AS status_code, CASE WHEN c >= '4' AND c < '6' THEN url || '/moved' END AS redirect_to,
+@query(f"""SELECT url, CAST(CASE WHEN c < '2' THEN NULL WHEN c < '4' THEN 404 WHEN c < '6' THEN 301 ELSE 200 END AS INTEGER) AS status_code, CASE WHEN c >= '4' AND c < '6' THEN url || '/moved' END AS redirect_to,
   c >= '6' AND c < 'a' AS noindex, CASE WHEN c >= '6' AND c < '8' THEN 'NoIndex' END AS x_robots FROM {_C}""")
 def url_statuses(spark, sf_dir):
     return H.check_status(X.table(spark, sf_dir, "pages").select("url"), _client)

@@ -19,6 +19,9 @@ PAGE_STATE = (
 URL_STATUS = "url string, status_code int, redirect_to string, noindex boolean, x_robots string"
 SITES = "domain string, name string, total_urls_discovered bigint"
 RUNS = "run int, run_ts timestamp"
+#: What went wrong in a run and where; a fatal error keeps its site as it was.
+ERRORS = "domain string, stage string, url string, error string, fatal boolean"
+HOSTS = "netloc string, body string, asked_at timestamp"
 #: One struct for the details of every change type; members that a type lacks are null.
 DETAILS = (
     "struct<source:string,published_date:string,summary:string,h1:string,schemas:array<string>,word_count:int,old_hash:string,"

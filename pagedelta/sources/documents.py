@@ -5,17 +5,20 @@ Inputs are tables of fetched documents, so that everything here is a plan; fetch
 
 from __future__ import annotations
 
-import gzip
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import islice
+from typing import Any
 from urllib.robotparser import RobotFileParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import has_any, netloc
+from . import markup as M
 
 MAX_DEPTH = 3
 MAX_ENTRIES = 50
@@ -73,81 +76,107 @@ def with_delay(urls: DataFrame, robots: DataFrame, default: float) -> DataFrame:
 # ---------------------------------------------------------------- sitemaps
 
 
+def bare_host(host: Column) -> Column:
+    return F.regexp_replace(host, r"^www\.", "")
+
+
 def sitemap_candidates(sites: DataFrame, robots: DataFrame) -> DataFrame:
     """(domain, pos, url): configured sitemaps, then those that robots names, then the usual places; each once."""
-    d = F.col("domain")
+    d = bare_host(F.col("domain"))
     usual = F.array(
         F.concat(F.lit("https://www."), d, F.lit("/sitemap.xml")),
         F.concat(F.lit("https://www."), d, F.lit("/sitemap_index.xml")),
         F.concat(F.lit("https://"), d, F.lit("/sitemap.xml")),
     )
     host = F.struct(~F.col("netloc").startswith("www."), "netloc")  # the www host's first
-    named = robots_rules(robots).select(F.regexp_replace("netloc", r"^www\.", "").alias("domain"), F.struct(host.alias("host"), F.col("sitemaps").alias("own")).alias("s"))
-    named = named.groupBy("domain").agg(F.array_sort(F.collect_list("s")).alias("s")).select("domain", F.flatten("s.own").alias("named"))
+    named = robots_rules(robots).select(bare_host(F.col("netloc")).alias("_bare"), F.struct(host.alias("host"), F.col("sitemaps").alias("own")).alias("s"))
+    named = named.groupBy("_bare").agg(F.array_sort(F.collect_list("s")).alias("s")).select("_bare", F.flatten("s.own").alias("named"))
     empty = F.array().cast("array<string>")
     every = F.array_distinct(F.concat(F.coalesce("sitemaps", empty), F.coalesce("named", empty), usual))
-    return sites.join(named, "domain", "left").select("domain", F.posexplode(every).alias("pos", "url"))
+    return sites.withColumn("_bare", d).join(named, "_bare", "left").select("domain", F.posexplode(every).alias("pos", "url"))
+
 
+_SITEMAPS = {"urlset": ((), "url", frozenset({"loc", "lastmod", "changefreq", "priority"})), "sitemapindex": ((), "sitemap", frozenset({"loc", "lastmod"}))}
+SITEMAP_ENTRY = "doc string, kind string, k bigint, loc string, lastmod string, error string"
+#: Rows that a task hands on at a time.
+ROWS = 1000
 
-def _inflated(body: pd.Series) -> pd.Series:
-    def one(b: bytes | None) -> str | None:
-        if b is None:
-            return None
-        if b[:2] == b"\x1f\x8b":
-            try:
-                b = gzip.decompress(b)
-            except (OSError, EOFError):
-                return ""
-        return b.decode("utf-8", "replace")
 
-    return pd.Series([one(b) for b in body], dtype=object)
+def _rows(read: Callable[[str, Any], Iterator[tuple]], names: list[str], types: list[pa.DataType]) -> Callable:
+    """A reader of documents (url, body) that passes rows on as it finds them; one that fails gives a last row with its error."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
 
-_SITEMAP = "url array<struct<loc:string,lastmod:string>>, sitemap array<struct<loc:string>>"
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), types, strict=True)], names)
 
+        for documents in batches:
+            for url, body in zip(documents.column(0).to_pylist(), documents.column(1), strict=True):
+                if not body.is_valid:
+                    continue
+                try:
+                    for row in read(url, body.as_py()):
+                        held.append((*row, None))
+                        if len(held) >= ROWS:
+                            yield batch()
+                            held.clear()
+                except Exception as e:  # one document must not fail the others; the error is a row
+                    held.append((url, *[None] * (len(names) - 2), f"{type(e).__name__}: {e}"[:500]))
+        if held:
+            yield batch()
 
-def parse_sitemaps(documents: DataFrame) -> DataFrame:
-    """url, kind ('urlset', 'sitemapindex' or ''), urls, children of each document (url, body binary, gzipped or not).
+    return work
 
-    A document that is not well-formed is salvaged tag by tag.
+
+def sitemap_entries(documents: DataFrame, limit: int | None = None) -> DataFrame:
+    """SITEMAP_ENTRY: the first ``limit`` entries with a url of each document (url, body binary, gzipped or not), in order.
+
+    ``kind`` is the root, urlset or sitemapindex; other documents have no entries. A gzipped document that cannot be inflated whole
+    has no entries and a row with its error; other damage costs what it hides.
     """
-    text = documents.select("url", F.pandas_udf(_inflated, "string")("body").alias("xml"))
-    root = F.lower(F.regexp_extract("xml", r"(?s)^\W*(?:<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>]*>|\s)*<(?:\w+:)?(\w+)", 1))
-    parsed = F.from_xml("xml", _SITEMAP, {"ignoreNamespace": "true", "mode": "PERMISSIVE"})
-    rows = text.withColumns({"root": root, "doc": parsed})
-    locs = F.regexp_extract_all("xml", F.lit(r"(?is)<(?:\w+:)?loc>\s*(.*?)\s*</"), F.lit(1))
-    plain = lambda x: F.trim(F.replace(F.regexp_replace(x, r"(?s)^<!\[CDATA\[(.*?)\]\]>$", "$1"), F.lit("&amp;"), F.lit("&")))
-    salvaged = F.transform(locs, lambda x: F.struct(plain(x).alias("loc"), F.lit(None).cast("string").alias("lastmod")))
-    is_set, is_index = F.col("root") == "urlset", F.col("root") == "sitemapindex"
-    tidy = F.transform("doc.url", lambda x: F.struct(F.trim(x["loc"]).alias("loc"), F.nullif(F.trim(x["lastmod"]), F.lit("")).alias("lastmod")))
-    urls = F.when(is_set, F.coalesce(tidy, salvaged)).otherwise(F.array().cast("array<struct<loc:string,lastmod:string>>"))
-    children = F.when(is_index, F.coalesce(F.transform("doc.sitemap", lambda x: F.trim(x["loc"])), F.transform(salvaged, lambda x: x["loc"])))
-    has = lambda x: F.coalesce(x, F.lit("")) != ""
-    return rows.select(
-        "url",
-        F.when(is_set | is_index, F.col("root")).otherwise("").alias("kind"),
-        F.filter(urls, lambda x: has(x["loc"])).alias("urls"),
-        F.filter(F.coalesce(children, F.array().cast("array<string>")), has).alias("children"),
-    )
 
+    def read(url: str, body: bytes) -> Iterator[tuple]:
+        first = lambda record, name: next((t for t, _ in record.get(name, ())), "")
+        entries = ((kind, first(e, "loc"), first(e, "lastmod")) for kind, e in M.records(M.decoded_text(M.inflated(body)), _SITEMAPS))
+        for k, (kind, loc, lastmod) in enumerate(islice((e for e in entries if e[1]), limit)):
+            yield url, kind, k, loc, lastmod or None
 
-def sitemap_urls(candidates: DataFrame, documents: DataFrame, max_urls: int = 10_000, wanted: Callable[[DataFrame], DataFrame] | None = None, hold: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
-    """(domain, url, lastmod, ordinal) of the urls that the candidates and their children list, first mention first.
+    types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
+    return documents.select("url", F.col("body").cast("binary")).mapInArrow(_rows(read, [c.split()[0] for c in SITEMAP_ENTRY.split(", ")], types), SITEMAP_ENTRY)
+
+
+def sitemap_places(candidates: DataFrame, entries: DataFrame, hold: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(domain, doc, path): where each document stands, as candidate or below indexes, to ``MAX_DEPTH`` levels, so that a cycle ends.
 
-    Indexes are followed to ``MAX_DEPTH`` levels below a candidate; each level is one join with the parsed documents. A candidate
-    and its children give ``max_urls`` entries at most, wanted or not; ``wanted`` filters what is left, and of that a domain keeps
-    ``max_urls``. ``hold`` may write the parsed documents down, which each level reads.
+    The levels read the entries of indexes alone; ``hold`` may write each down, and then the search ends with the last that has any.
     """
-    parsed = hold(parse_sitemaps(documents))
+    edges = entries.filter("kind = 'sitemapindex'").select("doc", "k", "loc")
     level = candidates.select("domain", F.col("url").alias("doc"), F.array(F.col("pos").cast("bigint")).alias("path"))
-    found = None
-    for _ in range(MAX_DEPTH + 1):
-        at = level.join(parsed.withColumnRenamed("url", "doc"), "doc")
-        own = at.select("domain", "path", F.posexplode(F.slice("urls", 1, max_urls)).alias("k", "u"))
-        found = own if found is None else found.unionByName(own)
-        level = at.select("domain", "path", F.posexplode("children").alias("k", "doc"))
-        level = level.select("domain", "doc", F.concat("path", F.array(F.col("k").cast("bigint"))).alias("path"))
-    rows = found.select("domain", F.col("u.loc").alias("url"), "u.lastmod", F.concat("path", F.array(F.col("k").cast("bigint"))).alias("path"))
+    places = level
+    for _ in range(MAX_DEPTH):
+        level = level.join(edges, "doc").select("domain", F.col("loc").alias("doc"), F.concat("path", F.array("k")).alias("path"))
+        if hold:
+            level = hold(level)
+            if level.isEmpty():
+                break
+        places = places.unionByName(level)
+    return places
+
+
+def sitemap_urls(candidates: DataFrame, documents: DataFrame, max_urls: int = 10_000, wanted: Callable[[DataFrame], DataFrame] | None = None, hold: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(domain, url, lastmod, ordinal) of the urls that the candidates and their children list, first mention first.
+
+    ``documents`` as for ``sitemap_entries``, or its result; one join reads the entries of all places. A candidate and its children
+    give ``max_urls`` entries at most, wanted or not; ``wanted`` filters what is left, and of that a domain keeps ``max_urls``.
+    ``hold`` may write down what is read more than once.
+    """
+    entries = documents
+    if "loc" not in documents.columns:
+        entries = sitemap_entries(documents, max_urls)
+        entries = hold(entries) if hold else entries
+    places = sitemap_places(candidates, entries, hold)
+    rows = places.join(entries.filter("kind = 'urlset'"), "doc").select("domain", F.col("loc").alias("url"), "lastmod", F.concat("path", F.array("k")).alias("path"))
     entry = F.row_number().over(W.partitionBy("domain", F.get("path", 0)).orderBy("path"))
     rows = rows.withColumn("entry", entry).filter(F.col("entry") <= max_urls).drop("entry")
     # A url's first mention is an aggregate, so a url that many documents list does not gather anywhere.
@@ -182,7 +211,7 @@ def looks_like_feed(content_type: Column, body: Column) -> Column:
 def feed_places(sites: DataFrame) -> DataFrame:
     """(domain, pos, url, own): the configured feeds in their order, or the usual places where a site has none."""
     own = F.coalesce(F.size("feeds"), F.lit(0)) > 0
-    usual = F.transform(F.array(*(F.lit(p) for p in FEED_PATHS)), lambda p: F.concat(F.lit("https://www."), F.col("domain"), p))
+    usual = F.transform(F.array(*(F.lit(p) for p in FEED_PATHS)), lambda p: F.concat(F.lit("https://www."), bare_host(F.col("domain")), p))
     return sites.withColumn("_own", own).select("domain", F.posexplode(F.when(own, F.col("feeds")).otherwise(usual)).alias("pos", "url"), F.col("_own").alias("own"))
 
 
@@ -194,37 +223,41 @@ def discover_feeds(sites: DataFrame, documents: DataFrame) -> DataFrame:
     return places.filter("own").select("domain", "pos", "url").unionByName(found)
 
 
-_RSS = "channel struct<item:array<struct<title:string,link:string,pubDate:string,description:string>>>, item array<struct<title:string,link:string,description:string,date:string>>"
-_ATOM = (
-    "entry array<struct<title:struct<_VALUE:string,_type:string>,link:array<struct<_href:string,_rel:string>>,published:string,"
-    "updated:string,summary:string>>"
-)
+_FIELDS = frozenset({"title", "link", "pubdate", "*published", "*updated", "*date", "description", "summary", "content", "*encoded", "guid"})
+_FEEDS = {"rss": (("channel",), "item", _FIELDS), "rdf": ((), "item", _FIELDS), "feed": ((), "entry", _FIELDS)}
+FEED_ITEM = "doc string, k bigint, url string, title string, published string, summary string, error string"
 
 
-def feed_entries(feeds: DataFrame, documents: DataFrame) -> DataFrame:
-    """(domain, url, title, published, summary, ordinal): the first ``MAX_ENTRIES`` entries of each feed, each url once, where it
-    stands first in the order of the feeds."""
-    options = {"ignoreNamespace": "true"}
-    docs = feeds.join(documents.select("url", "body"), "url").select(
-        "domain", F.col("pos").cast("bigint").alias("pos"), F.from_xml("body", _RSS, options).alias("rss"), F.from_xml("body", _ATOM, options).alias("atom")
-    )
-    empty = F.array().cast("array<struct<url:string,title:string,published:string,summary:string>>")
-    none = F.lit(None).cast("string")
+def _feed_item(record: dict) -> tuple[str, str, str | None, str]:
+    """Link, title, time and summary of an item of any of the formats."""
+
+    def text(*names: str) -> str:
+        return next((t for n in names for t, _ in record.get(n, ()) if t), "")
 
-    def entry(url: Column, title: Column, published: Column, summary: Column) -> Column:
-        return F.struct(url.alias("url"), title.alias("title"), published.alias("published"), summary.alias("summary"))
+    links = [a for _, a in record.get("link", ()) if a.get("href")]
+    href = next((a["href"] for a in [*(x for x in links if x.get("rel", "alternate") == "alternate"), *links]), "")
+    own = next((t for t, a in record.get("guid", ()) if a.get("ispermalink", "true").lower() != "false"), "")
+    return (text("link") or href or own).strip(), text("title"), text("pubdate", "published", "updated", "date") or None, text("description", "summary", "content", "encoded")
 
-    rss = F.transform("rss.channel.item", lambda x: entry(x["link"], x["title"], x["pubDate"], x["description"]))
-    rdf = F.transform("rss.item", lambda x: entry(x["link"], x["title"], x["date"], x["description"]))
 
-    def href(links: Column) -> Column:
-        plain = F.filter(links, lambda y: F.coalesce(y["_rel"], F.lit("alternate")) == "alternate")
-        return F.coalesce(F.get(plain, 0)["_href"], F.get(links, 0)["_href"])
+def feed_items(documents: DataFrame) -> DataFrame:
+    """FEED_ITEM: the first ``MAX_ENTRIES`` items of each document (url, body string) that is RSS, RDF or Atom, damaged or not."""
 
-    atom = F.transform("atom.entry", lambda x: entry(href(x["link"]), x["title"]["_VALUE"], F.coalesce(x["published"], x["updated"]), x["summary"]))
-    items = F.slice(F.concat(F.coalesce(rss, empty), F.coalesce(rdf, empty), F.coalesce(atom, empty)), 1, MAX_ENTRIES)
-    rows = docs.select("domain", "pos", F.posexplode(items).alias("k", "e"))
-    rows = rows.select("domain", (F.col("pos") * MAX_ENTRIES + F.col("k")).alias("ordinal"), F.trim("e.url").alias("url"), "e.title", F.coalesce("e.published", none).alias("published"), "e.summary")
+    def read(url: str, body: str) -> Iterator[tuple]:
+        pieces = (body[i : i + M.CHUNK] for i in range(0, len(body), M.CHUNK))
+        for k, (_, record) in enumerate(islice(M.records(pieces, _FEEDS), MAX_ENTRIES)):
+            yield url, k, *_feed_item(record)
+
+    types = [pa.string(), pa.int64(), *[pa.string()] * 5]
+    return documents.select("url", "body").mapInArrow(_rows(read, [c.split()[0] for c in FEED_ITEM.split(", ")], types), FEED_ITEM)
+
+
+def feed_entries(feeds: DataFrame, documents: DataFrame) -> DataFrame:
+    """(domain, url, title, published, summary, ordinal): the first ``MAX_ENTRIES`` entries of each feed, each url once, where it
+    stands first in the order of the feeds. ``documents``: url and body, or the result of ``feed_items``."""
+    items = documents if "doc" in documents.columns else feed_items(documents.select("url", "body").join(feeds.select("url").distinct(), "url", "left_semi"))
+    rows = feeds.select("domain", F.col("pos").cast("bigint").alias("pos"), F.col("url").alias("doc")).join(items.filter("error IS NULL"), "doc")
+    rows = rows.select("domain", (F.col("pos") * MAX_ENTRIES + F.col("k")).alias("ordinal"), "url", "title", "published", "summary")
     rows = rows.filter(F.coalesce("url", F.lit("")) != "")
     text = F.coalesce("summary", F.lit(""))
     short = F.when(F.length(text) > SUMMARY_CHARS, F.concat(F.substring(text, 1, SUMMARY_CHARS), F.lit("..."))).otherwise(text)

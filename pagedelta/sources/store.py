@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 
+#: Pages of a domain in one file of the state, about.
+FILE_ROWS = 500_000
 _POINTER = re.compile(r"run=(\d+)\.json")
 
 
@@ -82,6 +84,14 @@ class Store:
         got = self._read(f"{self.root}/changes", schemas.CHANGES + ", run int").filter(F.col("run") <= self.pointer()["run"])
         return got if max_entries is None else retained(got, max_entries)
 
+    def load_errors(self) -> DataFrame:
+        """What went wrong in the committed runs, with their run."""
+        return self._read(f"{self.root}/errors", schemas.ERRORS + ", run int").filter(F.col("run") <= self.pointer()["run"])
+
+    def load_hosts(self) -> DataFrame:
+        """Hosts and their robots rules, as the last committed run knew them."""
+        return self._read(f"{self.root}/hosts/run={self.pointer()['run']}", schemas.HOSTS)
+
     def prune(self, max_entries: int) -> list[int]:
         """Delete runs of the changelog of which none of the newest ``max_entries`` events are; returns their numbers."""
         sizes = self.load_changes().groupBy("run").count().collect()  # a row for each run
@@ -94,10 +104,15 @@ class Store:
             newer += n
         return gone
 
-    def save(self, changes: DataFrame, state: DataFrame, sites: Callable[[DataFrame], DataFrame], run_ts: datetime) -> int:
-        """Write a run and turn the pointer. ``sites`` makes the sites table from the state as it was written."""
+    def save(self, changes: DataFrame, state: DataFrame, sites: Callable[[DataFrame], DataFrame], run_ts: datetime, **tables: DataFrame) -> int:
+        """Write a run and turn the pointer. ``sites`` makes the sites table from the state as it was written; ``tables``: errors, hosts."""
         run = self.pointer()["run"] + 1
         changes.write.mode("overwrite").parquet(f"{self.root}/changes/run={run}")
+        for name, rows in tables.items():
+            rows.write.mode("overwrite").parquet(f"{self.root}/{name}/run={run}")
+        sizes = state.groupBy("domain").agg(F.ceil(F.count(F.lit(1)) / FILE_ROWS).alias("_files"))
+        files = F.pmod(F.xxhash64("url"), F.coalesce("_files", F.lit(1)))
+        state = state.join(sizes, "domain", "left").repartition("domain", files).drop("_files")
         state.write.mode("overwrite").partitionBy("domain").parquet(f"{self.root}/pages/run={run}")
         saved = self._read(f"{self.root}/pages/run={run}", schemas.PAGE_STATE)
         sites(saved).write.mode("overwrite").parquet(f"{self.root}/sites/run={run}")

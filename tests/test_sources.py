@@ -109,7 +109,7 @@ def test_fetch_by_host(spark):
 
     urls = spark.createDataFrame([("https://a.org/1",), ("https://b.org/2",), ("https://a.org/gone",)], "url string")
     assert {r.url: bytes(r.body) for r in fetch.fetch(urls, client).collect()} == {"https://a.org/1": b"https://a.org/1", "https://b.org/2": b"https://b.org/2"}
-    assert {r.url: r.status_code for r in fetch.check_status(urls, client).collect()} == {"https://a.org/1": 200, "https://b.org/2": 200, "https://a.org/gone": None}
+    assert {r.url: r.status_code for r in fetch.check_status(urls, client).collect()} == {"https://a.org/1": 200, "https://b.org/2": 200, "https://a.org/gone": 404}
 
 
 PAGE = "<html><title>{0}</title><body><article><h1>{0}</h1><p>{1}</p></article></body></html>"
