@@ -47,9 +47,9 @@ def case_changes(prev: DataFrame, urls: DataFrame) -> DataFrame:
 
 
 def page_status(prev: DataFrame, urls: DataFrame) -> DataFrame:
-    """(domain, url, status): new, existing or missing."""
+    """(domain, url, status): new, existing or missing; a url that the crawl repeats counts once."""
     p = prev.select(*KEY, F.lit(True).alias("was"))
-    c = urls.select(*KEY, F.lit(True).alias("is"))
+    c = urls.select(*KEY).distinct().withColumn("is", F.lit(True))
     status = F.when(F.col("was").isNull(), "new").when(F.col("is").isNull(), "missing").otherwise("existing")
     return p.join(c, list(KEY), "full_outer").select(*KEY, status.alias("status"))
 
@@ -143,19 +143,61 @@ def detect_changes(
     now = F.lit(run_ts).cast("timestamp")
     few = few_sites(prev, urls, sites)
     rows = classified(prev, urls, extracts, feeds, statuses, first, threshold, max_probes, few)
-    p, u, h, f, s = (lambda n, t=t: F.col(f"{t}.{n}") for t in "puhfs")
+    rows = hold(with_diffs(rows))
+    found = page_events(rows, now)
+
+    pairs = case_changes(prev, urls).join(prev.select("domain", F.col("url").alias("old_url"), "title"), ["domain", "old_url"])
+    cased = case_events(pairs.filter(~first), now)
+    return named(found.unionByName(cased), sites, few), next_state(rows, now)
+
+
+def case_events(pairs: DataFrame, now: Column) -> DataFrame:
+    """Events, as of ``page_events``, of pairs (domain, old_url, new_url, title of the old page)."""
+    return pairs.select(
+        "domain",
+        now.alias("timestamp"),
+        T.change_id(T.iso_utc(now), F.col("domain"), F.col("new_url")).alias("id"),
+        F.col("new_url").alias("url"),
+        F.lit("url_case_change").alias("change_type"),
+        F.coalesce("title", F.lit("")).alias("title"),
+        details(old_url=F.col("old_url"), new_url=F.col("new_url")).alias("details"),
+    )
+
+
+def named(events: DataFrame, sites: DataFrame, few: bool) -> DataFrame:
+    """CHANGES of events, with the names of their sites."""
+    names = by_site(few, sites.select("domain", F.col("name").alias("competitor")))
+    return events.join(names, "domain", "left").select("id", "timestamp", "competitor", "domain", "url", "change_type", "title", "details")
+
+
+def _parts():
+    """Members of the structs of ``classified``, and text and number with their absent values."""
     text = lambda x: F.coalesce(x, F.lit(""))
     number = lambda x: F.coalesce(x, F.lit(0))
+    return [*(lambda n, t=t: F.col(f"{t}.{n}") for t in "puhfs"), text, number]
+
+
+def _title() -> Column:
+    p, u, h, *_, text, _ = _parts()
+    return F.when(T.truthy(h("title")), h("title")).otherwise(F.when(F.col("status") == "new", text(u("title"))).otherwise(text(p("title"))))
+
+
+def with_diffs(rows: DataFrame) -> DataFrame:
+    """Rows of ``classified`` with whether they can be compared, whether the text changed, and its diff. Only such texts go to Python."""
+    p, _, h, *_, text, _ = _parts()
     read = F.col("h").isNotNull()
     comparable = (F.col("status") == "existing") & read & ~F.col("first_run") & T.truthy(p("content_hash"))
     updated = comparable & T.truthy(h("content_hash")) & (p("content_hash") != h("content_hash"))
     rows = rows.withColumns({"comparable": F.coalesce(comparable, F.lit(False)), "updated": F.coalesce(updated, F.lit(False))})
 
-    # Only texts of pages whose hash changed go to Python.
     shown = lambda x: F.when(F.col("updated"), text(x("content_snippet")))
-    rows = hold(rows.withColumn("d", F.when(F.col("updated"), diff_summary(shown(p), shown(h)))))
+    return rows.withColumn("d", F.when(F.col("updated"), diff_summary(shown(p), shown(h))))
 
-    title = F.when(T.truthy(h("title")), h("title")).otherwise(F.when(F.col("status") == "new", text(u("title"))).otherwise(text(p("title"))))
+
+def page_events(rows: DataFrame, now: Column) -> DataFrame:
+    """(domain, timestamp, id, url, change_type, title, details) of rows of ``with_diffs``. ``now``: the time of a row's run."""
+    p, _, h, f, s, text, number = _parts()
+    title = _title()
     stamp = T.iso_utc(now)
     domain, url = F.col("domain"), F.col("url")
 
@@ -243,22 +285,13 @@ def detect_changes(
             ),
         ),
     )
-    found = rows.select("domain", F.explode(F.filter(events, lambda e: e.isNotNull())).alias("e")).select("domain", "e.*")
+    return rows.select("domain", now.alias("timestamp"), F.explode(F.filter(events, lambda e: e.isNotNull())).alias("e")).select("domain", "timestamp", "e.*")
 
-    pairs = case_changes(prev, urls).join(prev.select("domain", F.col("url").alias("old_url"), "title"), ["domain", "old_url"])
-    cased = pairs.filter(~first).select(
-        "domain",
-        T.change_id(stamp, domain, F.col("new_url")).alias("id"),
-        F.col("new_url").alias("url"),
-        F.lit("url_case_change").alias("change_type"),
-        text(F.col("title")).alias("title"),
-        details(old_url=F.col("old_url"), new_url=F.col("new_url")).alias("details"),
-    )
-    names = by_site(few, sites.select("domain", F.col("name").alias("competitor")))
-    changes = found.unionByName(cased).join(names, "domain", "left").select(
-        "id", now.alias("timestamp"), "competitor", "domain", "url", "change_type", "title", "details"
-    )
 
+def next_state(rows: DataFrame, now: Column) -> DataFrame:
+    """PAGE_STATE after the run of rows of ``with_diffs``."""
+    p, u, h, *_, text, _ = _parts()
+    title, read = _title(), F.col("h").isNotNull()
     kept = rows.filter(~F.col("due"))
     is_new, is_missing = F.col("status") == "new", F.col("status") == "missing"
 
@@ -267,7 +300,7 @@ def detect_changes(
         return F.when(read & ~is_missing, F.coalesce(h(name), absent)).otherwise(F.coalesce(p(name), absent)).alias(name)
 
     lists = F.array().cast("array<string>")
-    state = kept.select(
+    return kept.select(
         "domain",
         "url",
         F.coalesce(p("first_seen"), now).alias("first_seen"),
@@ -283,4 +316,3 @@ def detect_changes(
         F.when(is_new, u("lastmod")).when(is_missing, p("lastmod_from_sitemap")).otherwise(F.coalesce(F.nullif(u("lastmod"), F.lit("")), p("lastmod_from_sitemap"))).alias("lastmod_from_sitemap"),
         F.when(~is_missing, 0).when(F.col("crawl_failed"), p("consecutive_missing")).otherwise(F.col("missing_runs")).cast("int").alias("consecutive_missing"),
     )
-    return changes, state

@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from ..config import Config, Settings
 from ..functions import page as P
 from ..functions import text as T
+from ..operators import history as H
 from ..operators.run import Inputs, run_once
-from ..schemas import URL_STATUS
+from ..schemas import FEED_ENTRY, RUNS, URL_STATUS
 from ..session import scratch
 from ..sources import documents as D
-from ..sources import fetch as H
+from ..sources import fetch as N
 from ..sources.store import Store, import_changes
 from . import fixtures as X
 from .catalog import query
@@ -267,25 +268,25 @@ def feed_discovery(spark, sf_dir):
 # ------------------------------------------------------------------ fetching, by a transport that answers from the url
 
 
-def _answer(url: str, agent: str, timeout: float) -> H.Response:
+def _answer(url: str, agent: str, timeout: float) -> N.Response:
     c = hashlib.md5(url.encode()).hexdigest()[0]
     if c < "2":
         raise OSError("unreachable")
     if c < "4":
-        return H.Response(404, url)
+        return N.Response(404, url)
     if c < "6":
-        return H.Response(200, url + "/moved", {"content-type": "text/html"}, b"moved", 301)
+        return N.Response(200, url + "/moved", {"content-type": "text/html"}, b"moved", 301)
     if c < "8":
-        return H.Response(200, url, {"content-type": "text/html", "x-robots-tag": "NoIndex"}, b"x")
+        return N.Response(200, url, {"content-type": "text/html", "x-robots-tag": "NoIndex"}, b"x")
     if c < "a":
-        return H.Response(200, url, {"content-type": "text/html"}, b'<meta name="robots" content="noindex">')
+        return N.Response(200, url, {"content-type": "text/html"}, b'<meta name="robots" content="noindex">')
     if c < "c":
-        return H.Response(200, url, {"content-type": "text/html; charset=ISO-8859-1"}, "é".encode("latin-1"))
-    return H.Response(200, url, {"content-type": "application/pdf"}, b"%PDF \xff")
+        return N.Response(200, url, {"content-type": "text/html; charset=ISO-8859-1"}, "é".encode("latin-1"))
+    return N.Response(200, url, {"content-type": "application/pdf"}, b"%PDF \xff")
 
 
-def _client() -> H.Client:
-    return H.Client(_answer, delay=0, backoff=0, sleep=lambda seconds: None)
+def _client() -> N.Client:
+    return N.Client(_answer, delay=0, backoff=0, sleep=lambda seconds: None)
 
 
 _C = "(SELECT url, substring(md5(url), 1, 1) AS c FROM (SELECT DISTINCT url FROM pages WHERE url IS NOT NULL))"
@@ -294,14 +295,14 @@ _C = "(SELECT url, substring(md5(url), 1, 1) AS c FROM (SELECT DISTINCT url FROM
 @query(f"""SELECT url, CAST(CASE WHEN c < '2' THEN NULL WHEN c < '4' THEN 404 WHEN c < '6' THEN 301 ELSE 200 END AS INTEGER) AS status_code, CASE WHEN c >= '4' AND c < '6' THEN url || '/moved' END AS redirect_to,
   c >= '6' AND c < 'a' AS noindex, CASE WHEN c >= '6' AND c < '8' THEN 'NoIndex' END AS x_robots FROM {_C}""")
 def url_statuses(spark, sf_dir):
-    return H.check_status(X.table(spark, sf_dir, "pages").select("url"), _client)
+    return N.check_status(X.table(spark, sf_dir, "pages").select("url"), _client)
 
 
 @query(f"""SELECT url, CAST(200 AS INTEGER) AS status_code, CASE WHEN c >= '4' AND c < '6' THEN url || '/moved' ELSE url END AS final_url,
   CASE WHEN c < '6' THEN 'moved' WHEN c < '8' THEN 'x' WHEN c < 'a' THEN '<meta name="robots" content="noindex">' WHEN c < 'c' THEN 'é' ELSE '%PDF ' || chr(65533) END AS body FROM {_C} WHERE c >= '4'""")
 def fetched_texts(spark, sf_dir):
-    got = H.fetch(X.table(spark, sf_dir, "pages").select("url"), _client)
-    return got.select("url", "status_code", "final_url", H.decoded(F.col("content_type"), F.col("body")).alias("body"))
+    got = N.fetch(X.table(spark, sf_dir, "pages").select("url"), _client)
+    return got.select("url", "status_code", "final_url", N.decoded(F.col("content_type"), F.col("body")).alias("body"))
 
 
 # ------------------------------------------------------------------ page signals, on pages that have all of them
@@ -334,7 +335,18 @@ def normalized_documents(spark, sf_dir):
 # ------------------------------------------------------------------ two runs over a store
 
 
+_made: dict[tuple[str, str], Store] = {}
+
+
 def _two_runs(spark, sf_dir) -> Store:
+    """A store after two runs over the pages; made once in an application, for four queries read it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _made:
+        _made[key] = _stored(spark, sf_dir)
+    return _made[key]
+
+
+def _stored(spark, sf_dir) -> Store:
     pages = _pages(spark, sf_dir)
     store = Store(spark, scratch(spark, "store"))
     names = [r["domain"] for r in pages.select("domain").distinct().orderBy("domain").collect()]  # sites of the fixture, three
@@ -375,3 +387,30 @@ def published_changes(spark, sf_dir):
     store, target = _two_runs(spark, sf_dir), scratch(spark, "published")
     store.publish(target, 10)
     return import_changes(spark, f"{target}/changes").select("domain", "url", "change_type")
+
+
+# ------------------------------------------------------------------ a history of five runs
+
+
+_BASE = X.BASE_SQL.split("prev AS")[0].rstrip().rstrip(",")
+
+
+@query(f"""WITH {_BASE}, e AS (SELECT domain, url, page_id % 10 AS k, title FROM base)
+SELECT CAST(3 AS INTEGER) AS run, domain, url, 'page_removed' AS change_type FROM e WHERE k = 2 UNION ALL SELECT 4, domain, url, 'new_page' FROM e WHERE k = 2
+UNION ALL SELECT 5, domain, url, 'page_removed' FROM e WHERE k = 3 UNION ALL SELECT 3, domain, url, 'new_page' FROM e WHERE k = 4
+UNION ALL SELECT 3, domain, url, 'title_change' FROM e WHERE k = 5 AND title <> '' UNION ALL SELECT 4, domain, url, 'content_update' FROM e WHERE k = 6""")
+def history_changes(spark, sf_dir):
+    """Five snapshots in one pass: pages that miss one run, two and more, come late, change their title or their text."""
+    pages = _held(X.base(spark, sf_dir))
+    k, run = F.col("page_id") % 10, F.col("run")
+    runs = spark.createDataFrame([(r, datetime(2024, 1, r)) for r in range(1, 6)], RUNS)
+    rows = pages.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(5))))
+    rows = rows.filter(~((k == 1) & (run == 2) | (k == 2) & run.isin(2, 3) | (k == 3) & (run >= 4) | (k == 4) & (run < 3)))
+    rows = rows.withColumns({
+        "title": F.when((k == 5) & (run >= 3), F.concat("title", F.lit(" (updated)"))).otherwise(F.col("title")),
+        "main_text": F.when((k == 6) & (run >= 4), F.concat(F.lit("breaking news paragraph inserted here. "), "main_text")).otherwise(F.col("main_text")),
+    })
+    per_run = lambda of: of(rows.withColumn("domain", F.struct("run", "domain"))).select("domain.run", "domain.domain", *[c for c in of(rows).columns if c != "domain"])
+    none = lambda ddl: spark.createDataFrame([], "run int, " + ddl)
+    events, _ = H.history_changes(runs, per_run(X.as_urls), per_run(X.as_extracts), none(FEED_ENTRY), none(URL_STATUS), X.site_names(pages), hold=_held)
+    return events.select("run", "domain", "url", "change_type")
