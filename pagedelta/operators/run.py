@@ -94,7 +94,11 @@ def run_once(store: Store, config: Config, inputs: Inputs, run_ts: datetime) ->
 
     # Sites of the config at most.
     failed = [r[0] for r in errors.filter("fatal").select("domain").distinct().collect()]
-    works = (lambda rows: rows.filter(~F.col("domain").isin(failed))) if failed else (lambda rows: rows)
+    # Neither they nor sites that the configuration does not name any more change; their pages stay where they are written.
+    named = {s["domain"] for s in config.sites}
+    kept = [r["domain"] for r in store.manifest().collect() if r["domain"] in failed or r["domain"] not in named]
+    still = sorted({*failed, *kept})
+    works = (lambda rows: rows.filter(~F.col("domain").isin(still))) if still else (lambda rows: rows)
     prev, urls, found, entries = works(before), works(urls), works(found), works(entries)
 
     statuses = inputs.statuses
@@ -108,12 +112,11 @@ def run_once(store: Store, config: Config, inputs: Inputs, run_ts: datetime) ->
     changes, state = C.detect_changes(
         prev, urls, found, entries, statuses, sites, run_ts, first_run, settings.removal_threshold_runs, settings.max_missing_checks, lambda rows: store.work(rows, "rows")
     )
-    if failed:
-        state = state.unionByName(before.filter(F.col("domain").isin(failed)))
     tables = {"hosts": inputs.hosts()} if inputs.hosts is not None else {}  # adds its errors
     tables["errors"] = reduce(DataFrame.unionByName, [errors, *inputs.errors])
-    run = store.save(changes, state, lambda saved: total_urls(saved, sites), run_ts, **tables)
+    run = store.save(changes, state, lambda saved: total_urls(saved, sites), run_ts, kept, **tables)
     store.prune(settings.max_changes_history)
+    store.vacuum()
     store.clear_work()
     return run
 

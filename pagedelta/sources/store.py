@@ -3,13 +3,20 @@
 A run writes a new version and then its pointer, a file of its own that appears by one rename and is never replaced. The
 pointer with the largest number counts, so a reader sees the old state or the new one, never half of it, and wherever a run dies
 it can be repeated: it writes the same version again. Events are written before the pointer.
+
+The state is kept by domain. A run's manifest says of each domain in which run its pages were written, so a run writes the domains
+that it changed and refers to the rest. ``vacuum`` deletes what no manifest of the newest runs, nor of a run that a reader has
+leased, refers to.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+import time
+import uuid
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +29,19 @@ FILE_ROWS = 500_000
 _POINTER = re.compile(r"run=(\d+)\.json")
 
 
+MANIFEST = "domain string, run int"
+
+
+def _run_of(folder: str) -> int:
+    m = re.fullmatch(r"run=(\d+)", folder)
+    return int(m[1]) if m else 0
+
+
+def _unescaped(value: str) -> str | None:
+    """A partition's value as it was before Spark made a folder's name of it."""
+    return None if value == "__HIVE_DEFAULT_PARTITION__" else re.sub(r"%([0-9A-Fa-f]{2})", lambda m: chr(int(m[1], 16)), value)
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -72,9 +92,25 @@ class Store:
         fs, at = self._fs(f"{self.root}/work")
         fs.delete(at, True)
 
-    def load_state(self) -> DataFrame:
-        """Page states of the last committed run."""
-        return self._read(f"{self.root}/pages/run={self.pointer()['run']}", schemas.PAGE_STATE)
+    def manifest(self, run: int | None = None) -> DataFrame:
+        """(domain, run): where the pages of each domain are, as a run, by default the last one, left them; a row for each site."""
+        return self._read(f"{self.root}/manifest/run={self.pointer()['run'] if run is None else run}", MANIFEST)
+
+    def _state(self, manifest: DataFrame) -> DataFrame:
+        """The pages that a manifest refers to; as a filter on folders, of which there is one a site, it reads no others."""
+        by_run: dict[int, list[str | None]] = {}
+        for r in manifest.collect():
+            by_run.setdefault(r["run"], []).append(r["domain"])
+        wanted = F.lit(False)
+        for run, domains in sorted(by_run.items()):
+            own = F.col("domain").isin([d for d in domains if d is not None])
+            wanted = wanted | (F.col("run") == run) & (own | F.col("domain").isNull() if None in domains else own)
+        pages = self._read(f"{self.root}/pages", schemas.PAGE_STATE + ", run int")
+        return pages.filter(wanted).select(*[c.split()[0] for c in schemas.PAGE_STATE.split(", ")])
+
+    def load_state(self, run: int | None = None) -> DataFrame:
+        """Page states of the last committed run, or of one that is leased."""
+        return self._state(self.manifest(run))
 
     def load_sites(self) -> DataFrame:
         return self._read(f"{self.root}/sites/run={self.pointer()['run']}", schemas.SITES)
@@ -104,9 +140,13 @@ class Store:
             newer += n
         return gone
 
-    def save(self, changes: DataFrame, state: DataFrame, sites: Callable[[DataFrame], DataFrame], run_ts: datetime, **tables: DataFrame) -> int:
-        """Write a run and turn the pointer. ``sites`` makes the sites table from the state as it was written; ``tables``: errors, hosts."""
-        run = self.pointer()["run"] + 1
+    def save(self, changes: DataFrame, state: DataFrame, sites: Callable[[DataFrame], DataFrame], run_ts: datetime, kept: Iterable[str] = (), **tables: DataFrame) -> int:
+        """Write a run and turn the pointer. ``sites`` makes the sites table from the whole state as it was written.
+
+        ``state``: pages of the domains that the run changed; ``kept``: domains whose pages stay where they are; ``tables``: errors, hosts.
+        """
+        at = self.pointer()["run"]
+        run, kept = at + 1, list(kept)
         changes.write.mode("overwrite").parquet(f"{self.root}/changes/run={run}")
         for name, rows in tables.items():
             rows.write.mode("overwrite").parquet(f"{self.root}/{name}/run={run}")
@@ -114,11 +154,51 @@ class Store:
         files = F.pmod(F.xxhash64("url"), F.coalesce("_files", F.lit(1)))
         state = state.join(sizes, "domain", "left").repartition("domain", files).drop("_files")
         state.write.mode("overwrite").partitionBy("domain").parquet(f"{self.root}/pages/run={run}")
-        saved = self._read(f"{self.root}/pages/run={run}", schemas.PAGE_STATE)
-        sites(saved).write.mode("overwrite").parquet(f"{self.root}/sites/run={run}")
+        written = self._read(f"{self.root}/pages/run={run}", schemas.PAGE_STATE).select("domain", F.lit(run).alias("run")).distinct()
+        manifest = written.unionByName(self.manifest(at).filter(F.col("domain").isin(kept))) if kept else written
+        manifest.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest/run={run}")
+        sites(self._state(self.manifest(run))).write.mode("overwrite").parquet(f"{self.root}/sites/run={run}")
         self._turn(run, run_ts)
         return run
 
+    @contextmanager
+    def lease(self, seconds: float = 3600) -> Iterator[int]:
+        """The last committed run, which ``vacuum`` leaves alone until the lease ends or runs out."""
+        run = self.pointer()["run"]
+        fs, at = self._fs(f"{self.root}/leases/run={run}_{int(time.time() + seconds)}_{uuid.uuid4().hex}")
+        fs.create(at, True).close()
+        try:
+            yield run
+        finally:
+            fs.delete(at, False)
+
+    def _listed(self, path: str) -> list[str]:
+        fs, at = self._fs(f"{self.root}/{path}")
+        return [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+
+    def vacuum(self, keep: int = 2) -> list[str]:
+        """Delete the states that neither the newest ``keep`` runs nor leased ones refer to; returns the folders that went.
+
+        Folders are listed and compared with manifests of a row for each site; no page is read. A vacuum that dies is finished by the
+        next. Folders of a run that is not committed yet are left alone.
+        """
+        last = self.pointer()["run"]
+        leases = (re.fullmatch(r"run=(\d+)_(\d+)_\w+", name) for name in self._listed("leases"))
+        runs = {run for run in range(max(1, last - keep + 1), last + 1)} | {int(m[1]) for m in leases if m and int(m[2]) > time.time()}
+        runs = {run for run in runs if f"run={run}" in self._listed("manifest")}
+        used = {(r["domain"], r["run"]) for run in runs for r in self.manifest(run).collect()}
+        gone = [f"{name}/{x}" for name in ("manifest", "sites", "hosts") for x in self._listed(name) if _run_of(x) <= last and _run_of(x) not in runs]
+        for x in self._listed("pages"):
+            if 0 < _run_of(x) <= last:
+                held = {d for d, run in used if run == _run_of(x)}
+                domains = [d for d in self._listed(f"pages/{x}") if d.startswith("domain=")]
+                stale = [d for d in domains if _unescaped(d.removeprefix("domain=")) not in held]
+                gone += [f"pages/{x}"] if len(stale) == len(domains) else [f"pages/{x}/{d}" for d in stale]
+        for path in gone:
+            fs, at = self._fs(f"{self.root}/{path}")
+            fs.delete(at, True)
+        return gone
+
     def publish(self, target: str, max_entries: int) -> None:
         """The two JSON artefacts of a run: the sites with their totals, and the retained changelog."""
         self.load_sites().coalesce(1).write.mode("overwrite").json(f"{target}/state")
