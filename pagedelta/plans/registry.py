@@ -512,12 +512,15 @@ def type_labels(spark, sf_dir):
     return X.log(spark, sf_dir).groupBy("change_type", R.display_type(F.col("change_type")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(_LOG + """, d AS (SELECT unnest(['1', '7', '14', '30', '90', '0', 'custom']) AS days)
-SELECT days, CASE days WHEN '1' THEN '24h' WHEN '0' THEN 'all' WHEN 'custom' THEN 'range' ELSE days || 'd' END AS label,
-  CASE days WHEN '1' THEN '24h' WHEN '0' THEN 'all time' WHEN 'custom' THEN 'selected range' ELSE days || 'd' END AS activity_label FROM d""")
+@query(_LOG + """, d AS (SELECT unnest(['1', '7', '14', '30', '90', '0']) AS days)
+SELECT days, CASE days WHEN '1' THEN '24h' WHEN '0' THEN 'all' ELSE days || 'd' END AS label, CASE days WHEN '1' THEN '24h' WHEN '0' THEN 'all time' ELSE days || 'd' END AS activity_label,
+  count(*) AS n FROM d JOIN log ON days = '0' OR ts >= TIMESTAMP '2024-01-31' - to_days(CAST(days AS INTEGER)) GROUP BY days""")
 def time_labels(spark, sf_dir):
-    days = spark.createDataFrame([(d,) for d in ("1", "7", "14", "30", "90", "0", "custom")], "days string")
-    return days.select("days", R.range_label(F.col("days")).alias("label"), R.range_label(F.col("days"), "all time", "selected range").alias("activity_label"))
+    """What the time filters offer, with the events of each."""
+    rows = X.log(spark, sf_dir).select(F.explode(F.array(*map(F.lit, ("1", "7", "14", "30", "90", "0")))).alias("days"), "ts")
+    rows = rows.filter((F.col("days") == "0") | (F.col("ts") >= F.lit(X.AS_OF) - F.make_dt_interval(F.col("days").cast("int"))))
+    n = rows.groupBy("days").agg(F.count(F.lit(1)).alias("n"))
+    return n.select("days", R.range_label(F.col("days")).alias("label"), R.range_label(F.col("days"), "all time", "selected range").alias("activity_label"), "n")
 
 
 @query(_LOG + """, n AS (SELECT change_type, count(*) AS n FROM log GROUP BY 1), p AS (SELECT change_type, CAST(ceil(n / 50.0) AS INTEGER) AS pages FROM n)

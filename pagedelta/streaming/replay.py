@@ -58,15 +58,18 @@ class MissedRuns(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last, n = self.missed.get() if self.missed.exists() else (0, 0)
-        out = []
+        out, gone = [], False
         for r in sorted((r for f in rows for r in f.itertuples(index=False)), key=lambda r: r.run):
             if r.run <= last:
                 continue
-            last, n = int(r.run), 0 if r.found else n + 1
+            last, n, gone = int(r.run), 0 if r.found else n + 1, False
             if n >= self.threshold:
                 out.append((key[0], key[1], last, n))
-                n = 0
-        self.missed.update((last, n))
+                n, gone = 0, True
+        if gone:
+            self.missed.clear()  # a url that was removed needs no state until it is found again
+        else:
+            self.missed.update((last, n))
         yield pd.DataFrame(out, columns=["domain", "url", "run", "missing_runs"])
 
     def close(self) -> None:
