@@ -91,7 +91,6 @@ _TAG = re.compile(
 )
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-_SPACE = re.compile(r"\s+")
 _DIGIT = re.compile(r"\d+")
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>?", re.I) for t in RAW}
 
@@ -115,10 +114,10 @@ class Element:
 
 
 class Block:
-    __slots__ = ("element", "linked", "parts", "skip")  # skip as it was where the block began
+    __slots__ = ("element", "known", "linked", "parts", "skip")
 
     def __init__(self, element: Element) -> None:
-        self.element, self.skip, self.parts, self.linked = element, element.skip, [], 0
+        self.element, self.skip, self.parts, self.linked, self.known = element, element.skip, [], 0, None
 
     @property
     def path(self) -> str:
@@ -126,7 +125,9 @@ class Block:
 
     @property
     def text(self) -> str:
-        return _SPACE.sub(" ", entities.unescape("".join(self.parts))).strip()
+        if self.known is None:  # asked for when the block is whole
+            self.known = " ".join(entities.unescape("".join(self.parts)).split())
+        return self.known
 
     @property
     def size(self) -> int:
