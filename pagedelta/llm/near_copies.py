@@ -15,7 +15,7 @@ pairs whose signatures are near enough, and whose components differ, become rows
 whole sets.
 
 Defined results: as in ``simhash``; a text of fewer than five words has one shingle, the whole text. Equal texts are one vertex,
-named by the XXH64 of the text.
+named by the XXH64 of the text; where texts with one XXH64 differ in a second hash, by both, so 128 bits tell texts apart.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
@@ -41,6 +41,8 @@ WIDE_BITS = 8192
 SHARD = 4096
 BLOCK = 64
 CHUNK = 100_000
+#: More names than this that texts share are no chance.
+MAX_SHARED = 1000
 
 
 def _common(docs: DataFrame, text: Column) -> Column | None:
@@ -50,7 +52,7 @@ def _common(docs: DataFrame, text: Column) -> Column | None:
     some = docs.filter(F.pmod(F.xxhash64(text), F.lit(step)) == 0).select(words.alias("words"))
     each = some.select(F.explode(F.array_distinct(hashes)).alias("h"))
     shared = each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").orderBy(F.desc("n"), "h").limit(MAX_COMMON)
-    at = np.array([r["h"] for r in shared.select("h").collect()], np.int64) & (TABLE_BITS - 1)
+    at = shared.select("h").toArrow().column("h").to_numpy().astype(np.int64) & (TABLE_BITS - 1)
     if not len(at):
         return None
     bits = np.zeros(TABLE_BITS // 64, np.uint64)
@@ -97,24 +99,34 @@ def _near_enough(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     return pairs.filter((NUM + DEN) * apart <= (DEN - NUM) * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
 
 
-def _shingles_of(pairs: DataFrame, docs: DataFrame, text: Column) -> tuple[DataFrame, Column]:
+def _key(docs: DataFrame, text: Column) -> Column:
+    """A 64-bit name of a text. Names that two different texts would share, of which there is hardly ever one, are made anew."""
+    first, second = F.xxhash64(text), F.xxhash64(F.lit(1), text)
+    pairs = docs.select(first.alias("first"), second.alias("second")).groupBy("first").agg(F.min("second").alias("lo"), F.max("second").alias("hi"))
+    shared = [r["first"] for r in pairs.filter("lo <> hi").select("first").limit(MAX_SHARED + 1).collect()]
+    if len(shared) > MAX_SHARED:
+        raise ValueError("so many texts share a hash that the hash must be at fault")
+    return F.when(first.isin(shared), F.xxhash64(F.lit(2), first, second)).otherwise(first) if shared else first
+
+
+def _shingles_of(pairs: DataFrame, docs: DataFrame, text: Column, key: Column) -> tuple[DataFrame, Column]:
     """(key, words) of the texts of the pairs, a row for each copy, and the hashes of their shingles."""
     keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     keys = staged(keys, "near-copies-keys")  # at hand with its size before Spark chooses how to join
     words, _ = simhash.shingle_hashes(F.col("text"))
     _, hashes = simhash.shingle_hashes(F.col("text"), SHINGLE)
-    rows = docs.select(F.xxhash64(text).alias("key"), text.alias("text")).join(keys, "key", "left_semi")
+    rows = docs.select(key.alias("key"), text.alias("text")).join(keys, "key", "left_semi")
     return rows.select("key", words.alias("words")), hashes
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, text: Column, key: Column) -> DataFrame:
     """Those pairs (a, b, na, nb) whose sets are similar enough, after wide signatures have ruled out most of the others."""
     pairs = staged(pairs, "near-copies-pairs")
-    rows, hashes = _shingles_of(pairs, docs, text)
+    rows, hashes = _shingles_of(pairs, docs, text, key)
     with batches_of(docs.sparkSession, simhash.ARROW_ROWS):
         wide = staged(rows.select("key", signatures(hashes, WIDE_BITS).alias("bits")).groupBy("key").agg(F.first("bits").alias("bits")), "near-copies-wide")
     pairs = staged(_near_enough(pairs, wide), "near-copies-pairs")
-    rows, hashes = _shingles_of(pairs, docs, text)
+    rows, hashes = _shingles_of(pairs, docs, text, key)
     sets = staged(rows.select("key", F.array_distinct(hashes).alias("s")).groupBy("key").agg(F.first("s").alias("s")), "near-copies-sets")
     of = lambda key, to: sets.select(F.col("key").alias(key), F.col("s").alias(to))
     both, all_ = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
@@ -182,12 +194,13 @@ def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id (the least id reachable through links)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.xxhash64(text)
+    key = _key(docs, text)
     words, fours = simhash.shingle_hashes(text)
     _, fives = simhash.shingle_hashes(text, SHINGLE)
     rows = docs.select(F.col(id_col).alias("doc_id"), key.alias("key"), words.alias("words"))
     # In three passes, of which one needs memory for the sets and the others for lists on their way to Python.
-    prefixes = staged(rows.select("key", _prefix(fives, _common(docs, text)).alias("p")), "near-copies-prefixes")
+    prefixes = rows.select("key", _prefix(fives, _common(docs, text)).alias("p")).groupBy("key").agg(F.first("p").alias("p"))
+    prefixes = staged(prefixes, "near-copies-prefixes")
     with batches_of(docs.sparkSession, simhash.ARROW_ROWS):
         bits = staged(rows.select("key", signatures(fives).alias("bits")).groupBy("key").agg(F.first("bits").alias("bits")), "near-copies-bits")
         rows = staged(rows.select("doc_id", "key", simhash.fingerprint(fours).alias("fp")), "near-copies")
@@ -199,11 +212,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     edges = edges.unionByName(rows.join(fps, "fp").select(F.col("key").alias("a"), F.col("least").alias("b")))
 
     # Sets that share a shingle of both prefixes.
-    each = prefixes.groupBy("key").agg(F.first("p").alias("p")).select("key", "p.n", F.explode("p.prefix").alias("h"))
-    same = Window.partitionBy("h")
+    each = prefixes.select("key", "p.n", F.explode("p.prefix").alias("h"))
     me = F.struct("key", "n")
-    met = each.withColumns({"lo": F.min(me).over(same), "hi": F.max(me).over(same)}).filter("lo.key < hi.key")
-    met = staged(met, "near-copies-met")
+    # Aggregates and a join, which Spark combines early and can split: a shingle may stand in a third of all texts.
+    ends_of = each.groupBy("h").agg(F.min(me).alias("lo"), F.max(me).alias("hi")).filter("lo.key < hi.key")
+    met = staged(each.join(ends_of, "h"), "near-copies-met")
 
     def ends(end: str) -> DataFrame:
         a, b = F.greatest(me, F.col(end)), F.least(me, F.col(end))
@@ -211,7 +224,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
 
     first = _alike(ends("lo")).unionByName(_alike(ends("hi"))).distinct()
-    edges = edges.unionByName(_confirmed(_near_enough(first, bits), docs, text)).filter("a <> b")
+    edges = edges.unionByName(_confirmed(_near_enough(first, bits), docs, text, key)).filter("a <> b")
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = checkpointed(edges)
     roots = simhash.components(edges)
@@ -219,12 +232,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # What meets and is not yet connected.
     left = met.join(roots.select(F.col("v").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     # Shingles that the same sets have are one group, named by sums over its sets; two groups of one name would be searched as one.
-    alike = F.xxhash64(F.sum(F.xxhash64("key") % F.lit(1 << 40)).over(same), F.bit_xor(F.xxhash64("key", F.lit(1))).over(same), F.count(F.lit(1)).over(same))
-    left = left.withColumns({"r0": F.min("root").over(same), "r1": F.max("root").over(same), "group": alike}).filter("r0 < r1")
-    left = staged(left.select("group", "key", "n", "root").distinct(), "near-copies-left")
+    left = staged(left.select("h", "key", "n", "root"), "near-copies-met")
+    alike = F.xxhash64(F.sum(F.xxhash64("key") % F.lit(1 << 40)), F.bit_xor(F.xxhash64("key", F.lit(1))), F.count(F.lit(1)))
+    groups = left.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), alike.alias("group")).filter("r0 < r1").select("h", "group")
+    left = staged(left.join(groups, "h").select("group", "key", "n", "root").distinct(), "near-copies-left")
     units = simhash.units(left.join(bits, "key"), ("key", "n", "root", "bits"), SHARD)
     more = units.repartition("unit").sortWithinPartitions("unit").mapInPandas(_search, "a long, b long, na long, nb long").distinct()
-    more = checkpointed(_confirmed(more, docs, text))
+    more = checkpointed(_confirmed(more, docs, text, key))
     if not more.isEmpty():
         roots = simhash.components(edges.unionByName(more).distinct())
 
