@@ -127,15 +127,14 @@ def trained(slots: np.ndarray, flat: np.ndarray, row: np.ndarray, y: np.ndarray,
     mean, var = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
     for step in range(1, rounds + 1):
         v = p["v"]
-        sums = np.stack([np.bincount(row, v[term, f], n) for f in range(FACTORS)], 1)
+        sums = [np.bincount(row, v[term, f], n) for f in range(FACTORS)]
         squares = sum(np.bincount(row, v[term, f] ** 2, n) for f in range(FACTORS))
-        raw = p["b"][0] + np.bincount(row, p["w"][term], n) + 0.5 * ((sums**2).sum(1) - squares)
+        raw = p["b"][0] + np.bincount(row, p["w"][term], n) + 0.5 * (sum(s**2 for s in sums) - squares)
         g = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y) / n
-        both = sums[row] - v[term]
         grad = {
             "b": g.sum(keepdims=True),
             "w": np.bincount(term, g[row], m) + ridge * p["w"],
-            "v": np.stack([np.bincount(term, g[row] * both[:, f], m) for f in range(FACTORS)], 1) + ridge * v,
+            "v": np.stack([np.bincount(term, g[row] * (sums[f][row] - v[term, f]), m) for f in range(FACTORS)], 1) + ridge * v,
         }
         for k in p:
             mean[k] = 0.9 * mean[k] + 0.1 * grad[k]
@@ -149,9 +148,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     known = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.dropna().orderBy(F.xxhash64("label_id"), "label_id", "toxic").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("label_id"))
-    got = rows.select("doc_id", terms(F.col("text")).alias("terms"), "toxic").toPandas()
-    got = got.sort_values(["doc_id", "toxic"], kind="stable")  # here, for a sort in Spark would evaluate the terms twice
-    return fit_machine(got["terms"], (got["toxic"] != 0).to_numpy(float))
+    got = rows.select("doc_id", terms(F.col("text")).alias("terms"), "toxic").toArrow()  # collected as rows, every hash would be an object in the driver
+    got = got.sort_by([("doc_id", "ascending"), ("toxic", "ascending")])  # here, for a sort in Spark would evaluate the terms twice
+    return fit_machine(got["terms"].to_pandas(), (got["toxic"].to_numpy() != 0).astype(float))
 
 
 def with_score(docs: DataFrame, machine: Machine, to: str = "score", text_col: str = "text") -> DataFrame:

@@ -51,6 +51,20 @@ def test_a_pair_of_weak_words_is_learnt():
     assert both > 0.9 and max(one, two, none) < 0.5
 
 
+def test_terms_reach_the_driver_as_arrow(spark, monkeypatch):
+    """As rows, each hash of a labelled text would be an object in the driver's memory."""
+    docs = spark.createDataFrame([(i, "you utter scum" if i % 3 == 0 else f"a fine day number {i}") for i in range(60)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 3 = 0 AS INT) AS toxic")
+
+    def rows(_):
+        raise AssertionError("collected as rows")
+
+    for name in ("toPandas", "collect"):
+        monkeypatch.setattr(type(docs), name, rows)
+    machine = toxicity.fit(docs, labels)
+    assert machine.slots.size and machine.bias > -30
+
+
 def test_ranker_is_where_the_loss_of_its_pairs_is_least():
     rng = np.random.default_rng(0)
     y = (rng.random(300) < 0.6).astype(int)
