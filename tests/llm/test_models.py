@@ -84,6 +84,29 @@ def test_ranker_is_where_the_loss_of_its_pairs_is_least():
     assert (strength > ranker.cut).sum() == y.sum()
 
 
+def test_ranker_learns_from_all_pairs_of_all_rows(spark):
+    rng = np.random.default_rng(5)
+    docs = spark.createDataFrame([(i, " ".join(["word", "and", "more#", "TEXT!", f"n{i}"][k] for k in rng.integers(0, 5, rng.integers(3, 60)))) for i in range(120)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 7 > 2 AS INT) AS quality")
+    ranker = quality_ranker.fit(docs, labels)
+    x = quality_ranker.features(docs).toPandas().sort_values("doc_id")[list(quality_ranker.FEATURES)].to_numpy(float)
+    y, z, w = np.arange(120) % 7 > 2, (x - np.array(ranker.mean)) / np.array(ranker.scale), np.array(ranker.weights)
+    diff = (z[y][:, None] - z[~y][None]).reshape(-1, x.shape[1])
+    slope = -(diff / (1 + np.exp(diff @ w))[:, None]).mean(0) + 1e-2 * w
+    assert np.allclose(ranker.mean, x.mean(0)) and np.abs(slope).max() < 1e-4
+    assert (z @ w > ranker.cut).sum() == y.sum()
+
+
+def test_neighbours_of_a_rank():
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    values = [1.0, 1.0, 2.0, 2.0 + 1e-12, 5.0, 5.0, 1e9]
+    rows = spark.createDataFrame([(v,) for v in values], "s double")
+    assert [quality_ranker.around(rows, k) for k in range(1, 7)] == list(itertools.pairwise(values))
+    assert quality_ranker.around(rows.filter("s = 5"), 1) == (5.0, 5.0)
+
+
 def test_scores_equal_a_plain_form_and_ties_count_as_good(spark):
     docs = spark.createDataFrame([(i, f"some words of text number {i} " * (i + 1)) for i in range(30)], "doc_id long, text string")
     measured = quality_ranker.features(docs).toPandas().sort_values("doc_id")
